@@ -18,6 +18,16 @@ BROADCAST_BYTES = 32 << 20
 _stages: list[tuple[SparkSession, str]] = []
 
 
+#: Rows and bytes that pass between Spark and Python at once; long texts make large rows.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session: a worker then holds a few MB of texts, however long they are."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

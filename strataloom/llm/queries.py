@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, tokens, url_reputation, vafile
-from .common import read_table
+from . import bpe, langid, ngram_join, packing, sharding, tokens, toxicity, url_reputation, vafile
+from .common import prepare, read_table
 
 
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,16 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_pages(read_table(spark, sf_dir, "pages"), outcomes)
 
 
+def op3_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokens.byte_encoder)
 
 
@@ -26,6 +35,7 @@ def op5_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return bpe.round_trip_digest(read_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
 
@@ -34,13 +44,29 @@ def op8_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ngram_join.similarity_classes(read_table(spark, sf_dir, "documents"))
+
+
+def op10_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_reputation": op2_host_reputation,
+        "op3_convolutional_toxicity": op3_convolutional_toxicity,
         "op4_grouping_genetic_packing": op4_grouping_genetic_packing,
         "op5_two_pass_shuffle": op5_two_pass_shuffle,
         "op7_prefix_bpe": op7_prefix_bpe,
         "op8_va_file_top_k": op8_va_file_top_k,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_hierarchical_language_id": op10_hierarchical_language_id,
     }
 
 

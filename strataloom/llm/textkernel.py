@@ -48,7 +48,7 @@ class Words:
     end: np.ndarray
     doc: np.ndarray  #: index of each word's text
     first: np.ndarray  #: n + 1 offsets of the texts in the word arrays
-    prefix: np.ndarray | None = None  #: hash of the first characters, if asked for
+    prefix: list[np.ndarray]  #: hashes of the first characters, for each length asked for
 
 
 def code_points(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +75,7 @@ def chunks(texts: list[str | None], most: int = 2_000_000):
         yield lo, len(texts)
 
 
-def split_words(texts: list[str | None], prefix: int = 0) -> Words:
+def split_words(texts: list[str | None], prefix: tuple[int, ...] = ()) -> Words:
     """Lower-cased words (runs of letters and digits) of each text, hashed by a polynomial in 64 bits and mixed."""
     u, first = code_points(texts)
     inside = class_table("word")[u]
@@ -86,10 +86,7 @@ def split_words(texts: list[str | None], prefix: int = 0) -> Words:
         total = np.zeros(len(u) + 1, np.uint64)
         np.cumsum((u.astype(np.uint64) + np.uint64(1)) * up[: len(u)], out=total[1:])
         h = mix((total[end] - total[start]) * down[start])
-        short = None
-        if prefix:
-            stop = np.minimum(start + prefix, end)
-            short = mix((total[stop] - total[start]) * down[start] + np.uint64(77))
+        short = [mix((total[np.minimum(start + n, end)] - total[start]) * down[start] + np.uint64(77 + n)) for n in prefix]
     offsets = np.searchsorted(start, first)
     return Words(h, start, end, np.repeat(np.arange(len(texts)), np.diff(offsets)), offsets, short)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -22,12 +24,9 @@ class ByteEncoder:
     """ids(text) as tokenizers gives them with add_special_tokens=False: the end-of-text string is its special id."""
 
     def __init__(self, path: str, ranks_path: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
-        self.special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+        with open(path, encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.path = path
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.fast = None
         if ranks_path:
@@ -37,6 +36,15 @@ class ByteEncoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        held = Tokenizer.from_file(self.path)
+        held.no_truncation()
+        held.no_padding()
+        return held
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
