@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, sharding, tokens, toxicity, url_reputation, vafile
+from . import bpe, langid, line_dedup, mjpeg, ngram_join, packing, sharding, tokens, toxicity, url_reputation, vafile
 from .common import prepare, read_table
 
 
+def op1_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.clean(docs)
+
+
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is the quality label of the document with its id."""
     outcomes = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -34,6 +40,12 @@ def op5_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_motion_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    stored = mjpeg.store(read_table(spark, sf_dir, "documents"))
+    return mjpeg.digest(mjpeg.read(stored))
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bpe.round_trip_digest(read_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
@@ -59,10 +71,12 @@ def op10_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fuzzy_line_dedup": op1_fuzzy_line_dedup,
         "op2_host_reputation": op2_host_reputation,
         "op3_convolutional_toxicity": op3_convolutional_toxicity,
         "op4_grouping_genetic_packing": op4_grouping_genetic_packing,
         "op5_two_pass_shuffle": op5_two_pass_shuffle,
+        "op6_motion_jpeg_media": op6_motion_jpeg_media,
         "op7_prefix_bpe": op7_prefix_bpe,
         "op8_va_file_top_k": op8_va_file_top_k,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,

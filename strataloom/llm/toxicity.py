@@ -226,7 +226,7 @@ def may_teach(key: Column, folds: int, held: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Network:
     """Train on a bounded sample of the rows of docs that labels marks (doc_id, toxic) and may_teach allows."""
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(may_teach(F.col("doc_id"), 5, 0)).join(marks, "doc_id")
+    known = docs.select("doc_id").where(may_teach(F.col("doc_id"), 5, 0)).distinct().join(marks, "doc_id")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,11 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
                 bag = [ids[p:q].tobytes() for p, q in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(bag, pa.binary()), pa.array(lang)], ["doc_id", "toxic", "ids", "lang"])
 
-    found = []
-    for label, most in (sample or SAMPLE).items():
-        own = rows.where(F.col("toxic") == label).select("doc_id", "toxic", "text")
-        few = own.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
-        found += few.mapInArrow(bags, "doc_id long, toxic int, ids binary, lang int").collect()
+    most_all = sample or SAMPLE
+    few = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most) for label, most in most_all.items()]
+    chosen = F.broadcast(few[0].union(few[1]))  # as many rows as the sample at most
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text").limit(2 * sum(most_all.values()))
+    found = rows.mapInArrow(bags, "doc_id long, toxic int, ids binary, lang int").collect()
     found.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     net = train([np.frombuffer(r["ids"], np.int32).reshape(-1, ROWS) for r in found], np.array([r["toxic"] for r in found]), np.array([r["lang"] for r in found], np.int32))
     return net
