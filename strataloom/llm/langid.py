@@ -188,12 +188,13 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     """The given columns of docs (doc_id by default), lang_pred string and lang_score double."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = columns or ["doc_id"]
+    at = columns.index("text") if "text" in columns else -1  # a text that is returned passes once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, s = held.value.predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(s, pa.float64())], [*columns, "lang_pred", "lang_score"])
+            langs, s = held.value.predict(b.column(at % b.num_columns).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(s, pa.float64())], [*columns, "lang_pred", "lang_score"])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", lang_pred string, lang_score double"
-    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("t")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col("text").alias("t")] * (at < 0)).mapInArrow(run, schema)

@@ -15,12 +15,13 @@
 Lines without letters or digits are never removed. A null text stays null; an empty one
 stays empty. A null id counts as a number beyond 2**62 that its text gives. Rows that
 repeat both id and text are one document, cleaned alike. Texts are cleaned whole; other
-columns stay behind (the pipeline joins nothing: it passes them through `clean`).
+columns pass through.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import by_group, checked, components, partitions, save_stage
 from .common import words as mix
-from .ngram_join import keyed_texts
+from .ngram_join import document_keys, keyed_texts
 from .textkernel import chunks, split_words
 
 SIMILARITY = 0.8
@@ -42,13 +43,13 @@ FAR = 0.31
 #: Lines in a block of a cluster, and local members of a pigeonhole block that are linked before the shuffle.
 BLOCK, CROWD = 1024, 8
 
-_DIGITS = {ord(c): "0" for c in "123456789"}
+_DIGITS = re.compile("[1-9]")
 
 
 def normal_lines(text: str) -> list[str]:
     """The normalised lines of a text; empty where a line has no letter or digit."""
     out = []
-    for line in text.lower().translate(_DIGITS).replace("\0", " ").split("\n"):
+    for line in _DIGITS.sub("0", text.lower()).replace("\0", " ").split("\n"):
         out.append(" ".join("".join(c if c.isalnum() else " " for c in line).split()) if not line.isascii() else " ".join(_ascii_words(line)))
     return out
 
@@ -129,7 +130,7 @@ def simhash(feature: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
 
 def line_table(texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
     """text index, line number, lo, hi and SimHash words of every line that has a word."""
-    clean = [(t or "").translate(_DIGITS).replace("\0", " ") for t in texts]
+    clean = [_DIGITS.sub("0", t or "").replace("\0", " ") for t in texts]
     lines = "\n".join(clean).split("\n")
     per = np.array([t.count("\n") + 1 for t in clean])
     w = split_words(lines)
@@ -169,16 +170,15 @@ def block_keys(sim: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _runs(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted key and ident without repeats, the start of each run and its length."""
-    by = np.lexsort((ident, key))
+    """key and ident sorted by key, and for each row the smallest ident and the size of its run."""
+    by = np.argsort(key)
     key, ident = key[by], ident[by]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-    key, ident = key[new], ident[new]
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
     start = np.flatnonzero(head)
-    return key, ident, start, np.diff(np.append(start, len(key)))
+    size = np.diff(np.append(start, len(key)))
+    least = np.minimum.reduceat(ident, start) if len(start) else ident
+    return key, ident, np.repeat(least, size), np.repeat(size, size)
 
 
 def _edges(key: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -192,10 +192,8 @@ def _block_links(lines: DataFrame, bits: int, parts: int) -> DataFrame:
         keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, ident, start, size = _runs(np.concatenate(keys), np.concatenate(ids))
-            crowd = np.repeat(size > CROWD, size)
-            least = np.repeat(ident[start], size) if len(start) else ident
-            linked = crowd & (ident != least)
+            key, ident, least, size = _runs(np.concatenate(keys), np.concatenate(ids))
+            linked = (size > CROWD) & (ident != least)
             yield _edges(key[~linked], ident[~linked], ident[~linked], np.zeros((~linked).sum()))
             if linked.any():  # crowded blocks are linked here; their links travel under keys of their own
                 yield _edges(ident[linked], ident[linked], least[linked], size[linked])
@@ -221,11 +219,9 @@ def _block_links(lines: DataFrame, bits: int, parts: int) -> DataFrame:
                 yield _edges(key[done], a[done], b[done], size[done])
             keys.append(key[~done])
             ids.append(a[~done])
-        key, ident, start, size = _runs(np.concatenate(keys), np.concatenate(ids))
-        if len(start):
-            least, count = np.repeat(ident[start], size), np.repeat(size, size)
-            on = ident != least
-            yield _edges(key[on], ident[on], least[on], count[on])
+        key, ident, least, size = _runs(np.concatenate(keys), np.concatenate(ids))
+        on = ident != least
+        yield _edges(key[on], ident[on], least[on], size[on])
 
     schema = "key long, a long, b long, size int"
     return lines.select("lo", "sim").mapInArrow(spread, schema).repartition(parts, "key").mapInArrow(meet, schema).select("a", "b", "size")
@@ -293,15 +289,11 @@ def _occurrences(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, row long, pos int, lo long, hi long, sim binary")
 
 
-def _with_row(docs: DataFrame, id_col: str) -> DataFrame:
-    return keyed_texts(docs, id_col).withColumn("row", F.xxhash64("text"))
-
-
 def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
     """doc, row, gone array<int>: positions of the lines of a text that repeat an earlier occurrence; texts without any are absent."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    texts = _with_row(docs, id_col).where("text is not null")
+    texts = keyed_texts(docs, id_col).where("text is not null")
     bulk = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     width = 4 if bulk < 64 << 29 else 8  # eight words once lines may outnumber what half words tell apart
     seen = save_stage(_occurrences(texts.select("doc", "row", "text"), width), "lines")
@@ -348,8 +340,8 @@ def clean(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") ->
     """docs with text rid of repeated lines, and n_lines and n_gone int; every row and column stays."""
     gone = repeated_lines(docs, least, id_col)
     # A row's key is computed beside its own columns, under names that documents do not use.
-    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3)
-    keyed = docs.withColumns({"_line_doc": F.coalesce(F.col(id_col).cast("long"), own), "_line_row": F.xxhash64("text")})
+    doc, row = document_keys(id_col)
+    keyed = docs.withColumns({"_line_doc": doc, "_line_row": row})
     out = keyed.join(checked(gone.select(F.col("doc").alias("_line_doc"), F.col("row").alias("_line_row"), F.col("gone").alias("_line_gone")), 64), ["_line_doc", "_line_row"], "left")
     lines = F.split("text", "\n", -1)
     stays = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_line_gone"), i))

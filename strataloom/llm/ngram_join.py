@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_group, checked, components, partitions, save_stage
@@ -79,27 +79,33 @@ def _sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             yield np.unique(h[s:e])
 
 
-def keyed_texts(docs: DataFrame, id_col: str) -> DataFrame:
-    """id, doc and text; doc is the id, or for a null id a number beyond 2**62 that the text gives."""
+def document_keys(id_col: str = "doc_id") -> tuple[Column, Column]:
+    """The id, or for a null id a number beyond 2**62 that the text gives; and a hash of the text that tells rows of one id apart."""
     own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), own).alias("doc"), "text")
+    return F.coalesce(F.col(id_col).cast("long"), own), F.xxhash64("text")
+
+
+def keyed_texts(docs: DataFrame, id_col: str) -> DataFrame:
+    """id, doc, row and text: doc and row name a document as document_keys does."""
+    doc, row = document_keys(id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), doc.alias("doc"), row.alias("row"), "text")
 
 
 def fingerprints(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """id, doc, lo and hi (the name of the n-gram set; null without words), bands array<long>."""
+    """id, doc, row, lo and hi (the name of the n-gram set; null without words), bands array<long>."""
     a, b = _seeds(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             lo, hi, sig = [], [], []
-            for g in _sets(x.column(2).to_pylist(), n):
+            for g in _sets(x.column(3).to_pylist(), n):
                 name = _names(g)
                 lo.append(name[0])
                 hi.append(name[1])
                 sig.append(signature_bands(g, a, b, bands) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["id", "doc", "lo", "hi", "bands"])
+            yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["id", "doc", "row", "lo", "hi", "bands"])
 
-    return texts.mapInArrow(run, "id long, doc long, lo long, hi long, bands array<long>")
+    return texts.mapInArrow(run, "id long, doc long, row long, lo long, hi long, bands array<long>")
 
 
 def with_grams(members: DataFrame, n: int) -> DataFrame:
@@ -184,6 +190,28 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     class_id: smallest id of the class. n_copies: other rows with the same n-gram set; n_links:
     all other rows at the threshold or above, copies among them; n_text_links: other sets at it.
     """
+    return classes(docs, threshold, recall, n, id_col).select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links", "n_text_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_GRAM, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs without those of a class that another row stands for; the row with the class's own id stays, once."""
+    found = save_stage(classes(docs, threshold, recall, n, id_col).where("n_copies > 0 or n_text_links > 0").select("doc", "row", "class_id"), "classes")
+    rows = found.groupBy("class_id", "doc", "row").agg(F.count("*").alias("n"))
+    stay = rows.groupBy("class_id").agg(F.min(F.struct("doc", "row", "n")).alias("stay"))
+    rows = rows.join(stay, "class_id").withColumn("stays", F.struct("doc", "row") == F.struct("stay.doc", "stay.row"))
+    rows = save_stage(rows.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "stays", "n"), "stays")
+    doc, row = document_keys(id_col)
+    keyed = docs.withColumns({"_doc": doc, "_row": row})
+    out = keyed.join(checked(rows.where("not stays").select("_doc", "_row"), 24), ["_doc", "_row"], "left_anti")
+    repeated = rows.where("stays and n > 1").select("_doc", "_row")
+    if not repeated.isEmpty():  # the row that stays is there more than once
+        repeated = checked(repeated, 24)
+        out = out.join(repeated, ["_doc", "_row"], "left_anti").union(out.join(repeated, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]))
+    return out.select(*docs.columns)
+
+
+def classes(docs: DataFrame, threshold: float, recall: float, n: int, id_col: str) -> DataFrame:
+    """What similarity_classes returns, with the keys id, doc and row in place of doc_id."""
     spark = docs.sparkSession
     parts = partitions(spark)
     bands, rows = choose_bands(threshold, recall)
@@ -209,13 +237,15 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     dealt = held.select("cluster", "blk", "rep", "copies", "grams", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "rep", "copies", "grams")
     found = save_stage(by_group(dealt, ["cluster", "i", "j"], [], _verify(threshold, bands, rows), "rep long, other long, links long, texts long", parts), "links")
     counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    classes = components(found.where("other is not null"), "rep", "other").select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
-    by_set = reps.join(counts, "rep", "left").join(classes, "rep", "left")
+    groups = components(found.where("other is not null"), "rep", "other").select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
+    by_set = reps.join(counts, "rep", "left").join(groups, "rep", "left")
     by_set = by_set.select("lo", "hi", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     by_set = save_stage(by_set.where("copies > 1 or texts > 0"), "bysets")
-    out = stage.select("id", "doc", "lo", "hi").join(checked(by_set, 72), ["lo", "hi"], "left")
+    out = stage.select("id", "doc", "row", "lo", "hi").join(checked(by_set, 72), ["lo", "hi"], "left")
     return out.select(
-        F.col("id").alias("doc_id"),
+        "id",
+        "doc",
+        "row",
         F.coalesce("class_id", "doc").alias("class_id"),
         F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_copies"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),

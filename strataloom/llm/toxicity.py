@@ -250,12 +250,13 @@ def score(docs: DataFrame, net: Network, columns: list[str] | None = None) -> Da
     """The given columns of docs (doc_id by default) and toxicity double."""
     held = docs.sparkSession.sparkContext.broadcast(net)  # BUCKETS x DIM floats: its size is fixed
     columns = columns or ["doc_id"]
+    at = columns.index("text") if "text" in columns else -1  # a text that is returned passes once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = held.value.scores(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*columns, "toxicity"])
+            s = held.value.scores(b.column(at % b.num_columns).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(s, pa.float64())], [*columns, "toxicity"])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", toxicity double"
-    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("t")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col("text").alias("t")] * (at < 0)).mapInArrow(run, schema)
