@@ -5,11 +5,12 @@
 2. A SimHash over the longer words (all words and word pairs where a line has few of them)
    is cut into eight pigeonhole blocks, so lines that differ in up to seven bits must share
    one, and most pairs that differ in more do. The block width follows the number of lines:
-   a line meets about one other by chance at every size. Lines are shuffled on the blocks;
+   one line in four meets another by chance, at every size. Lines are shuffled on the blocks;
    members of a block are linked to its smallest one. Pairs that meet alone are dropped when
    their whole SimHashes lie far apart.
 3. Linked lines form candidate clusters, dealt out in blocks of bounded size. In a cluster,
-   pairs that share a block and are not connected yet are verified by edit similarity.
+   pairs that share a block, lie near by SimHash and are not connected yet are verified by
+   edit similarity.
 4. Of each connected group the first occurrence stays (by document, text, then position).
 
 Lines without letters or digits are never removed. A null text stays null; an empty one
@@ -46,19 +47,12 @@ BLOCK, CROWD = 1024, 8
 _DIGITS = re.compile("[1-9]")
 
 
-def normal_lines(text: str) -> list[str]:
-    """The normalised lines of a text; empty where a line has no letter or digit."""
-    out = []
-    for line in _DIGITS.sub("0", text.lower()).replace("\0", " ").split("\n"):
-        out.append(" ".join("".join(c if c.isalnum() else " " for c in line).split()) if not line.isascii() else " ".join(_ascii_words(line)))
-    return out
+_WORD = re.compile(r"[^\W_]+")
 
 
-def _ascii_words(line: str) -> list[str]:
-    return line.translate(_ASCII).split()
-
-
-_ASCII = {i: " " for i in range(128) if not chr(i).isalnum()}
+def normal_line(line: str) -> str:
+    """Lower-cased words of letters and digits (as 0), one space between them; empty without any."""
+    return " ".join(_WORD.findall(_DIGITS.sub("0", line.lower())))
 
 
 def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
@@ -67,12 +61,23 @@ def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
         return 1.0
     if len(a) > len(b):
         a, b = b, a
-    n, m = len(b), len(a)
-    most = int(n * (1 - least) + 1e-9)
-    if n - m > most:
+    longest = len(b)
+    most = int(longest * (1 - least) + 1e-9)
+    if longest - len(a) > most:
         return 0.0
+    same = 0
+    while same < len(a) and a[same : same + 64] == b[same : same + 64]:
+        same += 64
+    same = min(same, len(a))
+    while same < len(a) and a[same] == b[same]:
+        same += 1
+    a, b, same = a[same:], b[same:], 0
+    while same < len(a) and a[-1 - same] == b[-1 - same]:
+        same += 1
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    n, m = len(b), len(a)
     if not m:
-        return 0.0
+        return 1 - n / longest
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
@@ -93,7 +98,7 @@ def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
         less = less << 1 & full
         up = less | (full & ~(diag | more))
         down = more & diag
-    return 1 - d / n
+    return 1 - d / longest
 
 
 def simhash(feature: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -239,8 +244,8 @@ def _lines_at(docs: DataFrame) -> DataFrame:
             flat = wanted.flatten()
             lines: list[str] = []
             for text, want in zip(x.column(0), wanted, strict=True):
-                held = normal_lines(text.as_py())
-                lines += [held[w["pos"]] for w in want.as_py()]
+                held = text.as_py().split("\n")
+                lines += [normal_line(held[w["pos"]]) for w in want.as_py()]
             yield pa.RecordBatch.from_arrays([*[flat.field(n) for n in names], pa.array(lines, pa.string())], [*names, "line"])
 
     return docs.select("text", "wanted").mapInArrow(run, schema)
@@ -250,7 +255,8 @@ def _verify(least: float, bits: int):
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         blk, lo = t.column("blk").to_numpy(), t.column("lo").to_numpy()
-        keys = block_keys(np.stack([np.frombuffer(s, np.uint64) for s in t.column("sim").to_pylist()]), bits)
+        sim = np.stack([np.frombuffer(s, np.uint64) for s in t.column("sim").to_pylist()])
+        keys, far = block_keys(sim, bits), int(FAR * 64 * sim.shape[1])
         lines = t.column("line").to_pylist()
         left = np.flatnonzero(blk == i)
         right = left if i == j else np.flatnonzero(blk == j)
@@ -265,6 +271,7 @@ def _verify(least: float, bits: int):
         a, b = [], []
         for x in left.tolist():
             near = right[(keys[right] == keys[x]).any(axis=1)]
+            near = near[np.bitwise_count(sim[near] ^ sim[x]).sum(axis=1) <= far]
             for y in near.tolist():
                 if (y > x or i != j) and (u := find(x)) != (v := find(y)) and edit_similarity(lines[x], lines[y], least) >= least - 1e-9:
                     root[max(u, v)] = min(u, v)
@@ -301,12 +308,14 @@ def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "do
     first = seen.groupBy("lo", "hi").agg(F.min(spot).alias("at"), F.count("*").alias("n"), F.first("sim").alias("sim"))
     lines = save_stage(first, "distinct")
     n = lines.count()
-    bits = min(8 * width, max(16, math.ceil(math.log2(max(2, n))) + 3))
+    bits = min(8 * width, max(16, math.ceil(math.log2(max(2, n))) + 5))
     links = save_stage(_block_links(lines, bits, parts), "links")
     # Pairs that met alone: both SimHashes are fetched and compared.
-    alone = links.where("size = 2").select("a", "b").distinct()
+    alone = save_stage(links.where("size = 2").select("a", "b").distinct(), "alone")
+    n_alone = alone.count()
     sims = lines.select("lo", "sim")
-    both = alone.join(sims.toDF("a", "sa"), "a").join(sims.toDF("b", "sb"), "b")
+    one = save_stage(sims.toDF("a", "sa").join(checked(alone, 24, n_alone), "a"), "one")
+    both = sims.toDF("b", "sb").join(checked(one, 72, n_alone), "b")
     apart = sum((F.bit_count(_word("sa", k).bitwiseXOR(_word("sb", k))) for k in range(width)), F.lit(0))
     close = both.where(apart <= int(FAR * 64 * width)).select("a", "b")
     joined = close.union(links.where("size > 2").select("a", "b"))
@@ -316,7 +325,7 @@ def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "do
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = members.join(checked(sizes, 20, n_members), "cluster").select("at.doc", "at.row", F.struct(F.col("at.pos").alias("pos"), "lo", "cluster", "blocks", "sim").alias("w"))
     wanted = save_stage(members.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted")), "wanted")
-    found = _lines_at(texts.join(checked(wanted, 128, n_members), ["doc", "row"]))
+    found = _lines_at(texts.join(wanted, ["doc", "row"]))  # many texts are wanted: both sides are shuffled at any size
     found = found.dropDuplicates(["lo"]).withColumn("blk", F.pmod(F.xxhash64("lo"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j"))))
     dealt = found.select("cluster", "blk", "lo", "sim", "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "lo", "sim", "line")
