@@ -178,7 +178,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 x = features(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    found = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(2 * SAMPLE_ALL).mapInArrow(run, "doc_id long, lang string, x binary").collect()  # ids hold SAMPLE_ALL rows at most
+    found = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(2 * SAMPLE_ALL).mapInArrow(run, "doc_id long, lang string, x binary").toArrow().to_pylist()  # ids hold SAMPLE_ALL rows at most
     found.sort(key=lambda r: (r["lang"], r["doc_id"], r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32)
     return train(x, [r["lang"] for r in found])

@@ -32,7 +32,7 @@ BUCKETS, DIM, WIDTHS, FILTERS, PREFIXES = 1 << 18, 8, (1, 2, 3), 8, (3, 4, 5)
 #: Hashed rows of a word, and the component that the log-odds of each start in.
 ROWS, COMPONENT = 2 + len(PREFIXES), (0, 0, 1, 2, 3)
 #: The training sample holds so many rows of either class at most, by the hash of the id.
-SAMPLE = {1: 2000, 0: 4000}
+SAMPLE = {1: 1000, 0: 2000}
 LANGUAGES = ("en", "fr", "de", "es", "other")
 
 #: Function words that tell languages apart.
@@ -240,8 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     few = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most) for label, most in most_all.items()]
     chosen = F.broadcast(few[0].union(few[1]))  # as many rows as the sample at most
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text").limit(2 * sum(most_all.values()))
-    found = rows.mapInArrow(bags, "doc_id long, toxic int, ids binary, lang int").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["toxic"]))
+    found = rows.mapInArrow(bags, "doc_id long, toxic int, ids binary, lang int").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).to_pylist()
     net = train([np.frombuffer(r["ids"], np.int32).reshape(-1, ROWS) for r in found], np.array([r["toxic"] for r in found]), np.array([r["lang"] for r in found], np.int32))
     return net
 
