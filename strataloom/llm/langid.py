@@ -13,6 +13,7 @@ prediction depends on its text only. Repeated rows get equal results.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -27,7 +28,7 @@ from .toxicity import may_teach
 
 BUCKETS = 4096
 #: Documents of a language in the training sample, by the hash of the id; and of all languages together.
-SAMPLE, SAMPLE_ALL = 300, 4000
+SAMPLE, SAMPLE_ALL = 250, 4000
 
 #: Language families.
 FAMILIES = {
@@ -178,10 +179,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 x = features(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    found = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(2 * SAMPLE_ALL).mapInArrow(run, "doc_id long, lang string, x binary").toArrow().to_pylist()  # ids hold SAMPLE_ALL rows at most
-    found.sort(key=lambda r: (r["lang"], r["doc_id"], r["x"]))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32)
-    return train(x, [r["lang"] for r in found])
+    few = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(2 * SAMPLE_ALL)  # ids hold SAMPLE_ALL rows at most
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["lang"], r["doc_id"], r["x"]))
+        x = np.stack([np.frombuffer(r["x"], np.float32) for r in held]) if held else np.zeros((0, BUCKETS), np.float32)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(x, [r["lang"] for r in held]))]})
+
+    # One task trains on the sample, whose size is fixed; the driver only sees the model.
+    found = few.mapInArrow(run, "doc_id long, lang string, x binary").coalesce(1).mapInArrow(learn, "model binary")
+    return pickle.loads(found.collect()[0][0])
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
