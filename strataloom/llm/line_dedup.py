@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_group, checked, components, partitions, save_stage
@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 LONG = 5
 BLOCKS = 8
 #: Share of SimHash bits in which a pair that meets alone may differ (unrelated lines differ in half).
-FAR = 0.31
+FAR = 0.25
 #: Lines in a block of a cluster, and local members of a pigeonhole block that are linked before the shuffle.
 BLOCK, CROWD = 1024, 8
 
@@ -128,13 +128,16 @@ def simhash(feature: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     total = total[back]
-    if len(line) > n:
-        total = np.add.reduceat(total.astype(np.int32), np.cumsum(seg) - seg, axis=0)
+    if len(line) > n:  # lines of several segments are summed, the others taken as they are
+        begin, many = np.cumsum(seg) - seg, seg > 1
+        long = total[many[line]].astype(np.int32)
+        total = total[begin].astype(np.int32)
+        total[many] = np.add.reduceat(long, np.cumsum(seg[many]) - seg[many], axis=0)
     return np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
 def line_table(texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
-    """text index, line number, lo, hi and SimHash words of every line that has a word."""
+    """text index, line number, lo, hi, whether the text has it here first, and SimHash words of every line that has a word."""
     clean = [_DIGITS.sub("0", t or "").replace("\0", " ") for t in texts]
     lines = "\n".join(clean).split("\n")
     per = np.array([t.count("\n") + 1 for t in clean])
@@ -142,11 +145,10 @@ def line_table(texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
     size = np.diff(w.first)
     with np.errstate(over="ignore"):
         place = mix(np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1], size).astype(np.uint64) + np.uint64(1))
-        one = np.append(mix(w.hash * np.uint64(3) + place), np.uint64(0))
-        two = np.append(mix(w.hash ^ (place * np.uint64(5))), np.uint64(0))
+        one, two = mix(w.hash * np.uint64(3) + place), mix(w.hash ^ (place * np.uint64(5)))
         some = size > 0
-        lo = np.where(some, np.add.reduceat(one, w.first[:-1]), 0) if len(lines) else one[:0]
-        hi = np.where(some, np.add.reduceat(two, w.first[:-1]), 0) if len(lines) else two[:0]
+        one, two = (np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (one, two))
+        lo, hi = (x[w.first[1:]] - x[w.first[:-1]] for x in (one, two))  # sums by line, modulo 2**64
         long = w.end - w.start >= LONG
         few = np.repeat(np.bincount(w.doc[long], minlength=len(lines)) < 4, size)
         pair = np.zeros(len(w.hash), np.uint64)
@@ -163,7 +165,11 @@ def line_table(texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
     sim = simhash(feature[by], first, width)[rows] if len(rows) else np.zeros((0, width), np.uint64)
     text = np.repeat(np.arange(len(texts)), per)
     number = np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per)
-    return text[rows], number[rows].astype(np.int32), lo[rows].view(np.int64), hi[rows].view(np.int64), sim
+    text, number, lo, hi = text[rows], number[rows], lo[rows].view(np.int64), hi[rows].view(np.int64)
+    by = np.lexsort((number, hi, lo, text))
+    head = np.ones(len(by), bool)
+    head[by[1:]] = (lo[by[1:]] != lo[by[:-1]]) | (hi[by[1:]] != hi[by[:-1]]) | (text[by[1:]] != text[by[:-1]])
+    return text, number.astype(np.int32), lo, hi, head, sim
 
 
 def block_keys(sim: np.ndarray, bits: int) -> np.ndarray:
@@ -205,8 +211,7 @@ def _block_links(lines: DataFrame, bits: int, parts: int) -> DataFrame:
 
         held = 0
         for x in batches:
-            sim = np.stack([np.frombuffer(s, np.uint64) for s in x.column(1).to_pylist()]) if x.num_rows else np.zeros((0, 4), np.uint64)
-            keys.append(block_keys(sim, bits).ravel())
+            keys.append(block_keys(_sim_words(x), bits).ravel())
             ids.append(np.repeat(x.column(0).to_numpy(), BLOCKS))
             held += len(ids[-1])
             if held > 4_000_000:
@@ -229,7 +234,7 @@ def _block_links(lines: DataFrame, bits: int, parts: int) -> DataFrame:
         yield _edges(key[on], ident[on], least[on], size[on])
 
     schema = "key long, a long, b long, size int"
-    return lines.select("lo", "sim").mapInArrow(spread, schema).repartition(parts, "key").mapInArrow(meet, schema).select("a", "b", "size")
+    return lines.select("lo", *[c for c in lines.columns if c[0] == "s" and c[1:].isdigit()]).mapInArrow(spread, schema).repartition(parts, "key").mapInArrow(meet, schema).select("a", "b", "size")
 
 
 def _lines_at(docs: DataFrame) -> DataFrame:
@@ -255,7 +260,7 @@ def _verify(least: float, bits: int):
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         blk, lo = t.column("blk").to_numpy(), t.column("lo").to_numpy()
-        sim = np.stack([np.frombuffer(s, np.uint64) for s in t.column("sim").to_pylist()])
+        sim = _sim_words(t)
         keys, far = block_keys(sim, bits), int(FAR * 64 * sim.shape[1])
         lines = t.column("line").to_pylist()
         left = np.flatnonzero(blk == i)
@@ -287,13 +292,22 @@ def _occurrences(texts: DataFrame, width: int) -> DataFrame:
         for x in batches:
             doc, row, texts = x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_pylist()
             for p, q in chunks(texts, 1_000_000):
-                of, pos, lo, hi, sim = line_table(texts[p:q], width)
-                raw = sim.tobytes()
-                step = 8 * width
-                sims = pa.array([raw[k : k + step] for k in range(0, len(raw), step)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(doc[p:q][of]), pa.array(row[p:q][of]), pa.array(pos), pa.array(lo), pa.array(hi), sims], ["doc", "row", "pos", "lo", "hi", "sim"])
+                of, pos, lo, hi, head, sim = line_table(texts[p:q], width)
+                sims = [pa.array(np.ascontiguousarray(sim[:, k]).view(np.int64)) for k in range(width)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[p:q][of]), pa.array(row[p:q][of]), pa.array(pos), pa.array(lo), pa.array(hi), pa.array(head), *sims], ["doc", "row", "pos", "lo", "hi", "head", *_sims(width)])
 
-    return texts.mapInArrow(run, "doc long, row long, pos int, lo long, hi long, sim binary")
+    return texts.mapInArrow(run, "doc long, row long, pos int, lo long, hi long, head boolean, " + ", ".join(f"{c} long" for c in _sims(width)))
+
+
+def _sims(width: int) -> list[str]:
+    """Columns of the SimHash words."""
+    return [f"s{k}" for k in range(width)]
+
+
+def _sim_words(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """(rows, width) words of the columns s0, s1 and so on."""
+    names = [n for n in b.schema.names if n[0] == "s" and n[1:].isdigit()]
+    return np.stack([b.column(n).to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else b.column(n).to_numpy() for n in names], 1).view(np.uint64)
 
 
 def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
@@ -304,31 +318,33 @@ def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "do
     bulk = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     width = 4 if bulk < 64 << 29 else 8  # eight words once lines may outnumber what half words tell apart
     seen = save_stage(_occurrences(texts.select("doc", "row", "text"), width), "lines")
-    spot = F.struct("doc", "row", "pos")
-    first = seen.groupBy("lo", "hi").agg(F.min(spot).alias("at"), F.count("*").alias("n"), F.first("sim").alias("sim"))
-    lines = save_stage(first, "distinct")
+    # The first occurrence by document; all of the buffers are numbers, so that this is a hash aggregation. Of texts that share an id and a line, one is taken.
+    here = F.when(F.col("head"), F.col("doc"))
+    at = F.struct(F.col("doc"), F.col("row"), F.col("pos"))
+    first = seen.groupBy("lo", "hi").agg(F.min("doc").alias("doc"), F.min_by("row", here).alias("row"), F.min_by("pos", here).alias("pos"), F.count("*").alias("n"), *[F.max(c).alias(c) for c in _sims(width)])
+    lines = save_stage(first.select("lo", "hi", at.alias("at"), "n", *_sims(width)), "distinct")
     n = lines.count()
     bits = min(8 * width, max(16, math.ceil(math.log2(max(2, n))) + 5))
     links = save_stage(_block_links(lines, bits, parts), "links")
     # Pairs that met alone: both SimHashes are fetched and compared.
     alone = save_stage(links.where("size = 2").select("a", "b").distinct(), "alone")
     n_alone = alone.count()
-    sims = lines.select("lo", "sim")
-    one = save_stage(sims.toDF("a", "sa").join(checked(alone, 24, n_alone), "a"), "one")
-    both = sims.toDF("b", "sb").join(checked(one, 72, n_alone), "b")
-    apart = sum((F.bit_count(_word("sa", k).bitwiseXOR(_word("sb", k))) for k in range(width)), F.lit(0))
+    pick = lambda prefix: [F.col(c).alias(f"{prefix}{c}") for c in _sims(width)]
+    one = save_stage(lines.select(F.col("lo").alias("a"), *pick("a")).join(checked(alone, 24, n_alone), "a"), "one")
+    both = lines.select(F.col("lo").alias("b"), *pick("b")).join(checked(one, 24 + 8 * width, n_alone), "b")
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _sims(width)), F.lit(0))
     close = both.where(apart <= int(FAR * 64 * width)).select("a", "b")
     joined = close.union(links.where("size > 2").select("a", "b"))
     clusters = save_stage(components(joined).select(F.col("node").alias("lo"), F.col("root").alias("cluster")), "clusters")
     n_members = clusters.count()
     members = lines.join(checked(clusters, 24, n_members), "lo")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(checked(sizes, 20, n_members), "cluster").select("at.doc", "at.row", F.struct(F.col("at.pos").alias("pos"), "lo", "cluster", "blocks", "sim").alias("w"))
+    members = members.join(checked(sizes, 20, n_members), "cluster").select("at.doc", "at.row", F.struct(F.col("at.pos").alias("pos"), "lo", "cluster", "blocks", *_sims(width)).alias("w"))
     wanted = save_stage(members.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted")), "wanted")
     found = _lines_at(texts.join(wanted, ["doc", "row"]))  # many texts are wanted: both sides are shuffled at any size
     found = found.dropDuplicates(["lo"]).withColumn("blk", F.pmod(F.xxhash64("lo"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j"))))
-    dealt = found.select("cluster", "blk", "lo", "sim", "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "lo", "sim", "line")
+    dealt = found.select("cluster", "blk", "lo", *_sims(width), "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "lo", *_sims(width), "line")
     same = save_stage(by_group(dealt, ["cluster", "i", "j"], ["lo"], _verify(least, bits), "a long, b long", parts), "same")
     groups = save_stage(components(same).select(F.col("node").alias("lo"), F.col("root").alias("grp")), "groups")
     n_groups = groups.count()
@@ -340,11 +356,6 @@ def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "do
     return save_stage(gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
 
 
-def _word(sim: str, k: int) -> Column:
-    """Word k of a SimHash held as bytes (their order does not matter for counting bits)."""
-    return F.conv(F.hex(F.substring(sim, 8 * k + 1, 8)), 16, -10).cast("long")
-
-
 def clean(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
     """docs with text rid of repeated lines, and n_lines and n_gone int; every row and column stays."""
     gone = repeated_lines(docs, least, id_col)
