@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,25 @@ def all_facts(files: DataFrame, path: str = "relative_path") -> DataFrame:
     return files.select(F.col(path).alias("path"), "content").mapInArrow(run, FACTS)
 
 
+def cached_facts(files: DataFrame, store: str) -> DataFrame:
+    """all_facts through a Parquet store keyed by path and content hash: only files that it lacks are read again.
+
+    A file without facts leaves a row of kind `none`, so that it counts as known.
+    """
+    spark = files.sparkSession
+    keyed = files.select("relative_path", "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"))
+    try:
+        known = spark.read.parquet(store)
+    except AnalysisException:
+        known = None
+    fresh = keyed if known is None else keyed.join(known.select(F.col("path").alias("relative_path"), "hash").distinct(), ["relative_path", "hash"], "left_anti")
+    rows = all_facts(fresh).join(fresh.select(F.col("relative_path").alias("path"), "hash"), "path", "right")
+    rows.withColumn("kind", F.coalesce("kind", F.lit("none"))).write.mode("append").parquet(store)
+    names = [f.split()[0] for f in FACTS.split(", ")]
+    held = spark.read.parquet(store).join(keyed.select(F.col("relative_path").alias("path"), "hash"), ["path", "hash"], "left_semi")
+    return held.where("kind <> 'none'").select(*names)
+
+
 def split(found: DataFrame) -> dict[str, DataFrame]:
     """imports, calls, defs, type_refs, type_defs."""
     of = lambda k: found.where(F.col("kind") == k)

@@ -23,6 +23,13 @@ def callers_of(targets: DataFrame, defs: DataFrame, calls: DataFrame, residual:
     return pairs.withColumn("own", key).join(own, "own", "left_anti").select("target", "node").distinct()
 
 
+def call_may_reach(target: Column, node: Column, module: Column) -> Column:
+    """A call in a Go or Swift file reaches its own folder's files, or those of the package that it names; other languages go by name alone."""
+    near = (dirname(target) == dirname(node)) | module.endswith(basename(dirname(target)))
+    scoped = target.endswith(".go") | target.endswith(".swift")
+    return ~scoped | F.coalesce(near, F.lit(False)) | (target.endswith(".swift") & module.isNull())
+
+
 def importers_of(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """node: files with an edge to a target that are no targets themselves."""
     t = targets.select(F.col("path").alias("dst")).distinct()

@@ -68,9 +68,19 @@ def summary(correlated: DataFrame) -> DataFrame:
     return correlated.agg(F.count("*").alias("spans"), F.count_if(hit).alias("correlated"), F.countDistinct(F.when(hit, F.struct("path", "name"))).alias("functions"))
 
 
-def function_comment(m: Column | None = None) -> Column:
+def _one_decimal(c: Column) -> Column:
+    return F.format_string("%.1f", F.bround(c, 1))
+
+
+def function_comment() -> Column:
     """A comment line of a metrics row."""
-    return F.concat(
-        F.lit("// calls: "), F.col("call_count").cast("string"), F.lit(", p50: "), F.format_string("%.1f", "p50"), F.lit(" ms, p95: "), F.format_string("%.1f", "p95"),
-        F.lit(" ms, p99: "), F.format_string("%.1f", "p99"), F.lit(" ms, errors: "), F.format_string("%.1f", F.col("error_rate") * 100), F.lit("%"),
-    )
+    ms = lambda c: F.concat(F.lit(f", {c}: "), _one_decimal(F.col(c)), F.lit(" ms"))
+    return F.concat(F.lit("// calls: "), F.col("call_count").cast("string"), ms("p50"), ms("p95"), ms("p99"), F.lit(", errors: "), _one_decimal(F.col("error_rate") * 100), F.lit("%"))
+
+
+def enrich_files(files: DataFrame, metrics_: DataFrame) -> DataFrame:
+    """files (relative_path, content) with a header of comment lines, one for each measured function (path, name), above the content."""
+    lines = metrics_.select(F.col("path").alias("relative_path"), F.struct("name", F.concat(F.lit("// "), F.col("name"), F.lit(" "), function_comment()).alias("line")).alias("l"))
+    heads = lines.groupBy("relative_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("head"))
+    out = files.join(heads, "relative_path", "left")
+    return out.withColumn("content", F.when(F.col("head").isNull(), F.col("content")).otherwise(F.concat("head", F.lit("\n"), F.coalesce("content", F.lit(""))))).drop("head")

@@ -70,7 +70,7 @@ def _expanded(a: Analysis, seeds: DataFrame, s: Settings, project: Project | Non
     callers = None
     if s.callers:
         targets = seeds.select(F.col("relative_path").alias("path"))
-        called = joins.callers_of(targets, a.facts["defs"], a.facts["calls"])
+        called = joins.callers_of(targets, a.facts["defs"], a.facts["calls"], joins.call_may_reach(F.col("target"), F.col("node"), F.col("module")))
         importing = a.imports.join(targets.toDF("dst"), "dst", "left_semi").select(F.col("dst").alias("target"), F.col("src").alias("node"))
         callers = called.union(importing).distinct()
     reached = graph.expand(imports, nodes, s.semantic_depth, a.types if s.types else None, callers)

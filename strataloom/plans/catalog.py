@@ -250,6 +250,40 @@ def union_except_semi_anti(spark, d):
     return n(a.join(b, "k", "left_semi").distinct(), "both").union(n(a.join(b, "k", "left_anti").distinct(), "only_r")).union(n(a.union(b), "all")).union(n(a.union(b).distinct(), "distinct"))
 
 
+@query("SELECT 'h' || (user_id // 10) AS path, event_type AS module, list_sort(list(DISTINCT props)) AS items, bool_or(value > 50) AS is_relative, min(event_id)::INTEGER AS line FROM events GROUP BY ALL")
+def merged_imports(spark, d):
+    """Imports of one file and module become one row."""
+    e = S.table(spark, d, "events")
+    path = F.concat(F.lit("h"), F.floor(F.col("user_id") / 10).cast("string")).alias("path")
+    return joins.merge_imports(e.select(path, F.col("event_type").alias("module"), F.array("props").alias("items"), (F.col("value") > 50).alias("is_relative"), F.col("event_id").cast("int").alias("line")))
+
+
+@query("SELECT user_id AS path, event_type AS name, min(CASE WHEN value > 50 THEN props END) AS module, (event_id // 1000)::INTEGER AS line FROM events GROUP BY ALL")
+def qualified_references(spark, d):
+    """References by path, name and line, with a module where any of them has one."""
+    e = S.table(spark, d, "events")
+    return joins.prefer_qualified(e.select(F.col("user_id").alias("path"), F.col("event_type").alias("name"), F.when(F.col("value") > 50, F.col("props")).alias("module"), F.floor(F.col("event_id") / 1000).cast("int").alias("line")))
+
+
+@query("WITH i AS (SELECT user_id AS path, event_id AS line, event_type AS name, props AS m FROM events WHERE event_type IN ('view', 'click')), n AS (SELECT path, name, arg_max(m, (line, m)) AS m FROM i GROUP BY ALL) SELECT e.event_id AS line, e.user_id AS path, e.event_type AS name, n.m AS module FROM events e LEFT JOIN n ON n.path = e.user_id AND n.name = e.event_type")
+def correlated_types(spark, d):
+    """Names take the module of the last import of their file that lists them."""
+    e = S.table(spark, d, "events")
+    imports = e.where("event_type in ('view', 'click')").select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), F.array("event_type").alias("items"), F.col("props").alias("module"))
+    refs = e.select(F.col("event_id").alias("line"), F.col("user_id").alias("path"), F.col("event_type").alias("name"), F.lit(None).cast("string").alias("module"))
+    return joins.qualify(refs, imports)
+
+
+@query("WITH n AS (SELECT 'r' || n_regionkey || '/' || n_name || '.py' AS path, n_name AS name FROM nation), c AS (SELECT DISTINCT 'r' || (c_nationkey % 5) || '/c' || c_custkey || '.py' AS src, n_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT src, c.name, n.path AS definition_path FROM c JOIN n ON n.name = c.name")
+def type_definition_join(spark, d):
+    """Each reference finds the file that defines its type."""
+    nation = S.table(spark, d, "nation")
+    defs = nation.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("n_name"), F.lit(".py")).alias("path"), F.col("n_name").alias("name"))
+    cust = S.table(spark, d, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    refs = cust.select(F.concat(F.lit("r"), (F.col("c_nationkey") % 5).cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.col("n_name").alias("name"))
+    return joins.type_definitions(refs, defs)
+
+
 # Graphs
 
 SEEDS = "s AS (SELECT min(src) AS node FROM e)"
@@ -378,6 +412,12 @@ def json_attributes(spark, d):
     return S.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")).withColumn("k_int", F.expr("try_cast(k as bigint)"))
 
 
+@query()  # the rounding of printf to one decimal differs between engines
+def function_comments(spark, d):
+    m = telemetry.metrics(S.spans(spark, d), ["function_name"], "duration_ms", ["start_ns", "span_id"], F.col("function_name") == "error")
+    return m.select("function_name", telemetry.function_comment().alias("comment"))
+
+
 # Search, history, diffs
 
 

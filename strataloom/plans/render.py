@@ -82,8 +82,8 @@ FORMATS = {"markdown": markdown_files, "xml": xml_files, "plain": plain_files, "
 def metrics_report(metrics: DataFrame) -> DataFrame:
     """ord, fragment of each function (path, name, call_count, p50, p95, error_rate), by file."""
     text = F.concat(
-        F.lit("### "), F.col("name"), F.lit("\n- calls: "), F.col("call_count").cast("string"), F.lit("\n- p50: "), F.format_string("%.1f", "p50"), F.lit(" ms\n- p95: "),
-        F.format_string("%.1f", "p95"), F.lit(" ms\n- error rate: "), F.format_string("%.1f", F.col("error_rate") * 100), F.lit("%\n"),
+        F.lit("### "), F.col("name"), F.lit("\n- calls: "), F.col("call_count").cast("string"), F.lit("\n- p50: "), F.format_string("%.1f", F.bround("p50", 1)), F.lit(" ms\n- p95: "),
+        F.format_string("%.1f", F.bround("p95", 1)), F.lit(" ms\n- error rate: "), F.format_string("%.1f", F.bround(F.col("error_rate") * 100, 1)), F.lit("%\n"),
     )
     heads = metrics.select(F.struct("path", F.lit("").alias("name")).alias("ord"), F.concat(F.lit("## "), F.col("path"), F.lit("\n")).alias("fragment")).distinct()
     return heads.union(metrics.select(F.struct("path", "name").alias("ord"), text.alias("fragment")))

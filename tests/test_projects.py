@@ -164,6 +164,26 @@ def test_otlp_json_and_telemetry(spark, tmp_path):
     assert got["report"].count() == 2
 
 
+def test_facts_are_cached_by_content(spark, tmp_path):
+    from strataloom.extract.facts import all_facts, cached_facts
+
+    root, store = write(tmp_path / "p", PYTHON), str(tmp_path / "store")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(cached_facts(corpus.scan(spark, root), store)) == rows(all_facts(corpus.scan(spark, root)))
+    write(tmp_path / "p", {"main.py": "import api\n"})
+    files = corpus.scan(spark, root)
+    assert rows(cached_facts(files, store)) == rows(all_facts(files))
+
+
+def test_enriched_files(spark):
+    from strataloom.operators.telemetry import enrich_files
+
+    files = spark.createDataFrame([("a.py", "x"), ("b.py", None)], "relative_path string, content string")
+    m = spark.createDataFrame([("a.py", "f", 3, 1.25, 2.0, 2.0, 1 / 3)], "path string, name string, call_count long, p50 double, p95 double, p99 double, error_rate double")
+    got = dict(enrich_files(files, m).collect())
+    assert got == {"a.py": "// f // calls: 3, p50: 1.2 ms, p95: 2.0 ms, p99: 2.0 ms, errors: 33.3%\nx", "b.py": None}
+
+
 def test_otlp_protobuf(spark, tmp_path):
     def field(n, kind, body):
         head = bytes([n << 3 | kind])
