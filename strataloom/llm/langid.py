@@ -191,8 +191,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return pickle.loads(found.collect()[0][0])
 
 
-def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (doc_id by default), lang_pred string and lang_score double."""
+def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The given columns of docs (doc_id by default), then language (string) and score (double), called by `names`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = columns or ["doc_id"]
     at = columns.index("text") if "text" in columns else -1  # a text that is returned passes once
@@ -200,8 +200,8 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, s = held.value.predict(b.column(at % b.num_columns).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(s, pa.float64())], [*columns, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(s, pa.float64())], [*columns, *names])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", lang_pred string, lang_score double"
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + f", `{names[0]}` string, `{names[1]}` double"
     return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col("text").alias("t")] * (at < 0)).mapInArrow(run, schema)

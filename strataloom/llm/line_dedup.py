@@ -356,8 +356,11 @@ def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "do
     return save_stage(gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
 
 
-def clean(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """docs with text rid of repeated lines, and n_lines and n_gone int; every row and column stays."""
+def clean(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_gone")) -> DataFrame:
+    """docs with text rid of repeated lines, and two int columns (lines, lines gone) named by `counts`; every row and column stays.
+
+    Names that start with _line_ are reserved.
+    """
     gone = repeated_lines(docs, least, id_col)
     # A row's key is computed beside its own columns, under names that documents do not use.
     doc, row = document_keys(id_col)
@@ -366,5 +369,5 @@ def clean(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") ->
     lines = F.split("text", "\n", -1)
     stays = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_line_gone"), i))
     text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_gone": F.coalesce(F.size("_line_gone"), F.lit(0))}
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *[v.cast("int").alias(k) for k, v in counts.items()])
+    sizes = dict(zip(counts, (F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("_line_gone"), F.lit(0))), strict=True))
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *[v.cast("int").alias(k) for k, v in sizes.items()])

@@ -194,19 +194,22 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_GRAM, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs without those of a class that another row stands for; the row with the class's own id stays, once."""
+    """The rows of docs without those of a class that another row stands for; the row with the class's own id stays, once.
+
+    Names that start with _copy_ are reserved.
+    """
     found = save_stage(classes(docs, threshold, recall, n, id_col).where("n_copies > 0 or n_text_links > 0").select("doc", "row", "class_id"), "classes")
     rows = found.groupBy("class_id", "doc", "row").agg(F.count("*").alias("n"))
     stay = rows.groupBy("class_id").agg(F.min(F.struct("doc", "row", "n")).alias("stay"))
     rows = rows.join(stay, "class_id").withColumn("stays", F.struct("doc", "row") == F.struct("stay.doc", "stay.row"))
-    rows = save_stage(rows.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "stays", "n"), "stays")
+    rows = save_stage(rows.select(F.col("doc").alias("_copy_doc"), F.col("row").alias("_copy_row"), "stays", "n"), "stays")
     doc, row = document_keys(id_col)
-    keyed = docs.withColumns({"_doc": doc, "_row": row})
-    out = keyed.join(checked(rows.where("not stays").select("_doc", "_row"), 24), ["_doc", "_row"], "left_anti")
-    repeated = rows.where("stays and n > 1").select("_doc", "_row")
+    keyed = docs.withColumns({"_copy_doc": doc, "_copy_row": row})
+    out = keyed.join(checked(rows.where("not stays").select("_copy_doc", "_copy_row"), 24), ["_copy_doc", "_copy_row"], "left_anti")
+    repeated = rows.where("stays and n > 1").select("_copy_doc", "_copy_row")
     if not repeated.isEmpty():  # the row that stays is there more than once
         repeated = checked(repeated, 24)
-        out = out.join(repeated, ["_doc", "_row"], "left_anti").union(out.join(repeated, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]))
+        out = out.join(repeated, ["_copy_doc", "_copy_row"], "left_anti").union(out.join(repeated, ["_copy_doc", "_copy_row"], "left_semi").dropDuplicates(["_copy_doc", "_copy_row"]))
     return out.select(*docs.columns)
 
 

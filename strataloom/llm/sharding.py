@@ -11,7 +11,7 @@ Nulls: a null key counts as one key; a null text has no bytes. Equal keys always
 shard (the law `key`), yet their rows spread over that shard's buckets by size and
 checksum. Repeated rows each get a slot of their own. An empty table gives no rows.
 Columns beside the key travel along as they are, except that names starting with
-`_shuffle_` are reserved here.
+`_shuffle_`, shard, grown_shard and slot are reserved here.
 """
 
 from __future__ import annotations

@@ -252,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     return pickle.loads(found.coalesce(1).mapInArrow(learn, "model binary").collect()[0][0])
 
 
-def score(docs: DataFrame, net: Network, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (doc_id by default) and toxicity double."""
+def score(docs: DataFrame, net: Network, columns: list[str] | None = None, name: str = "toxicity") -> DataFrame:
+    """The given columns of docs (doc_id by default) and the score, a double called `name`."""
     held = docs.sparkSession.sparkContext.broadcast(net)  # BUCKETS x DIM floats: its size is fixed
     columns = columns or ["doc_id"]
     at = columns.index("text") if "text" in columns else -1  # a text that is returned passes once
@@ -261,8 +261,8 @@ def score(docs: DataFrame, net: Network, columns: list[str] | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = held.value.scores(b.column(at % b.num_columns).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(s, pa.float64())], [*columns, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(s, pa.float64())], [*columns, name])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", toxicity double"
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + f", `{name}` double"
     return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col("text").alias("t")] * (at < 0)).mapInArrow(run, schema)

@@ -225,6 +225,11 @@ def test_pipeline_keeps_one_of_each_and_drops_toxic(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = corpus_pipeline.run(spark, folder).collect()
+    odd = docs.limit(60).withColumns({c: F.lit(c) for c in ("n_lines", "n_gone", "toxicity", "lang_pred", "lang_score", "id", "doc", "t", "c0")}).unionByName(docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]), allowMissingColumns=True)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, folder)
+        assert "toxicity" in odd.columns and odd.columns[: len(docs.columns)] == docs.columns
+    assert odd.count() > 0
     kept = {r["doc_id"] for r in rows}
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").collect()}
     assert len(kept & toxic) <= 0.25 * len(toxic)
