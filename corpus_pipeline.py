@@ -28,23 +28,23 @@ KEPT = 0.34
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     net = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, docs.columns).where("toxicity < 0.5").select(*docs.columns)
+    return toxicity.score(docs, net, docs.columns, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return langid.identify(docs, langid.fit(docs), docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    return langid.identify(docs, langid.fit(docs), docs.columns, ("_lang", "_lang_score")).where("_lang <> 'und'").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     own = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
     before = docs.withColumn("_before", F.length(own))
-    found = line_dedup.clean(before)
-    whole = (F.col("n_gone") == 0) | (F.length("text") >= KEPT * F.col("_before"))
+    found = line_dedup.clean(before, counts=("_lines", "_gone"))
+    whole = (F.col("_gone") == 0) | (F.length("text") >= KEPT * F.col("_before"))
     out = found.where(whole)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
