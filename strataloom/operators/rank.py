@@ -30,7 +30,7 @@ def structure_overhead(files: DataFrame, header: str = "# Code Context: .\n\n")
     return files.agg((F.first(head) + 200 + 20 * F.count("*") + F.coalesce(F.sum(toc), F.lit(0))).cast("bigint").alias("overhead"))
 
 
-def _take(budget: int, size: int, names: list[str]):
+def _take(budget: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = budget
         for b in batches:
@@ -51,18 +51,18 @@ def greedy_budget(df: DataFrame, budget: int, size: str = "tokens", priority: st
     still fit by size: a distributed top-k, then one streaming task. Passes go on until nothing
     left could fit, which is soon as every pass uses up budget or candidates.
     """
-    names = df.columns
-    at = names.index(size)
+    at = df.columns.index(size)
     rest, left, taken = df.where(F.col(size).isNotNull()), budget, None
     while True:
         rest = rest.where(F.col(size) <= left)
         order = [F.desc(priority), F.asc(tie)]
-        part = rest.orderBy(*order).limit(chunk).coalesce(1).sortWithinPartitions(*order)
-        got = settle(part.mapInArrow(_take(left, at, names), df.schema))
+        part = settle(rest.orderBy(*order).limit(chunk))
+        got = settle(part.coalesce(1).sortWithinPartitions(*order).mapInArrow(_take(left, at), df.schema))
         taken = got if taken is None else taken.union(got)
-        edge = rest.orderBy(*order).limit(chunk).agg(F.count("*").alias("n"), F.min(priority).alias("p")).first()
-        left -= got.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+        edge = part.agg(F.count("*").alias("n"), F.min(priority).alias("p")).first()
         if edge["n"] < chunk:
             return taken
-        last = rest.orderBy(*order).limit(chunk).where(F.col(priority) == F.lit(edge["p"])).agg(F.max(tie)).first()[0]
-        rest = rest.where((F.col(priority) < F.lit(edge["p"])) | ((F.col(priority) == F.lit(edge["p"])) & (F.col(tie) > F.lit(last))))
+        left -= got.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+        lowest = edge["p"]
+        last = part.where(F.col(priority) == F.lit(lowest)).agg(F.max(tie)).first()[0]
+        rest = rest.where((F.col(priority) < F.lit(lowest)) | ((F.col(priority) == F.lit(lowest)) & (F.col(tie) > F.lit(last))))
