@@ -6,11 +6,9 @@
    is cut into eight pigeonhole blocks, so lines that differ in up to seven bits must share
    one, and most pairs that differ in more do. The block width follows the number of lines:
    one line in four meets another by chance, at every size. Lines are shuffled on the blocks;
-   members of a block are linked to its smallest one. Pairs that meet alone are dropped when
-   their whole SimHashes lie far apart.
+   members of a block are linked to its smallest one.
 3. Linked lines form candidate clusters, dealt out in blocks of bounded size. In a cluster,
-   pairs that share a block, lie near by SimHash and are not connected yet are verified by
-   edit similarity.
+   pairs that share a block and are not connected yet are verified by edit similarity.
 4. Of each connected group the first occurrence stays (by document, text, then position).
 
 Lines without letters or digits are never removed. A null text stays null; an empty one
@@ -39,8 +37,6 @@ SIMILARITY = 0.8
 #: Letters of a word that SimHash reads; function words are mostly shorter.
 LONG = 5
 BLOCKS = 8
-#: Share of SimHash bits in which a pair that meets alone may differ (unrelated lines differ in half).
-FAR = 0.25
 #: Lines in a block of a cluster, and local members of a pigeonhole block that are linked before the shuffle.
 BLOCK, CROWD = 1024, 8
 
@@ -261,7 +257,7 @@ def _verify(least: float, bits: int):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         blk, lo = t.column("blk").to_numpy(), t.column("lo").to_numpy()
         sim = _sim_words(t)
-        keys, far = block_keys(sim, bits), int(FAR * 64 * sim.shape[1])
+        keys = block_keys(sim, bits)
         lines = t.column("line").to_pylist()
         left = np.flatnonzero(blk == i)
         right = left if i == j else np.flatnonzero(blk == j)
@@ -276,7 +272,6 @@ def _verify(least: float, bits: int):
         a, b = [], []
         for x in left.tolist():
             near = right[(keys[right] == keys[x]).any(axis=1)]
-            near = near[np.bitwise_count(sim[near] ^ sim[x]).sum(axis=1) <= far]
             for y in near.tolist():
                 if (y > x or i != j) and (u := find(x)) != (v := find(y)) and edit_similarity(lines[x], lines[y], least) >= least - 1e-9:
                     root[max(u, v)] = min(u, v)
@@ -326,16 +321,7 @@ def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "do
     n = lines.count()
     bits = min(8 * width, max(16, math.ceil(math.log2(max(2, n))) + 5))
     links = save_stage(_block_links(lines, bits, parts), "links")
-    # Pairs that met alone: both SimHashes are fetched and compared.
-    alone = save_stage(links.where("size = 2").select("a", "b").distinct(), "alone")
-    n_alone = alone.count()
-    pick = lambda prefix: [F.col(c).alias(f"{prefix}{c}") for c in _sims(width)]
-    one = save_stage(lines.select(F.col("lo").alias("a"), *pick("a")).join(checked(alone, 24, n_alone), "a"), "one")
-    both = lines.select(F.col("lo").alias("b"), *pick("b")).join(checked(one, 24 + 8 * width, n_alone), "b")
-    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _sims(width)), F.lit(0))
-    close = both.where(apart <= int(FAR * 64 * width)).select("a", "b")
-    joined = close.union(links.where("size > 2").select("a", "b"))
-    clusters = save_stage(components(joined).select(F.col("node").alias("lo"), F.col("root").alias("cluster")), "clusters")
+    clusters = save_stage(components(links).select(F.col("node").alias("lo"), F.col("root").alias("cluster")), "clusters")
     n_members = clusters.count()
     members = lines.join(checked(clusters, 24, n_members), "lo")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

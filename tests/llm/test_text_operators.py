@@ -149,6 +149,20 @@ def test_line_dedup_never_removes_unlike_lines(spark, sf):
             assert any(line_dedup.edit_similarity(line, s, 0.6) >= 0.6 for s in stays)
 
 
+def test_line_dedup_hears_pairs_with_many_changed_words(spark):
+    """A typo in five of ten words: far apart by words, near by edit similarity."""
+    rng = random.Random(21)
+    texts, near = [], []
+    for _ in range(400):
+        a = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(10)]
+        b = [w[:3] + "z" + w[4:] if i % 2 else w for i, w in enumerate(a)]
+        texts.append(" ".join(a))
+        near.append(" ".join(b))
+    assert all(line_dedup.edit_similarity(a, b) >= 0.8 for a, b in zip(texts, near))
+    gone = {r["doc"] for r in line_dedup.repeated_lines(frame(spark, texts + near)).collect()}
+    assert gone <= set(range(400, 800)) and len(gone) >= 3
+
+
 def test_edit_similarity_equals_the_plain_one():
     rng = random.Random(1)
 
