@@ -2,13 +2,13 @@
 
 1. Lines are normalised (lower case, digits as 0, words of letters and digits joined by one
    space) and named by 128 bits; equal lines become one row with their first occurrence.
-2. A SimHash over the longer words (all words and word pairs where a line has few of them)
-   is cut into eight pigeonhole blocks, so lines that differ in up to seven bits must share
-   one, and most pairs that differ in more do. The block width follows the number of lines:
-   one line in four meets another by chance, at every size. Lines are shuffled on the blocks;
-   members of a block are linked to its smallest one.
-3. Linked lines form candidate clusters, dealt out in blocks of bounded size. In a cluster,
-   pairs that share a block and are not connected yet are verified by edit similarity.
+2. Two feature sets name a line for the search: its longer words, and all words and word pairs
+   where it has few longer ones (between the two, a line has both). Each set gives BANDS MinHash
+   bands of ROWS rows, chosen once for RECALL at the Jaccard similarity of two lines with a fifth
+   of their words replaced; the number of lines plays no part. Lines are shuffled on the bands;
+   members of a band are linked to its smallest one.
+3. Linked lines form candidate clusters, dealt out in blocks of bounded size. In a cluster, all
+   pairs that share a band and are not connected yet are verified by edit similarity.
 4. Of each connected group the first occurrence stays (by document, text, then position).
 
 Lines without letters or digits are never removed. A null text stays null; an empty one
@@ -19,25 +19,29 @@ columns pass through.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_group, checked, components, partitions, save_stage
 from .common import words as mix
-from .ngram_join import document_keys, keyed_texts
-from .textkernel import chunks, split_words
+from .ngram_join import _seeds, choose_bands, document_keys, keyed_texts
+from .textkernel import Words, chunks, split_words
 
 SIMILARITY = 0.8
-#: Letters of a word that SimHash reads; function words are mostly shorter.
+#: Letters of a longer word; function words are mostly shorter.
 LONG = 5
-BLOCKS = 8
-#: Lines in a block of a cluster, and local members of a pigeonhole block that are linked before the shuffle.
+#: Lines of fewer longer words are sought by all words and pairs, lines of at least FEW by longer words; FEW to MANY by both.
+FEW, MANY = 4, 8
+#: Share of pairs with a fifth of their words replaced (Jaccard similarity 0.8 / 1.2) that must share a band, and the rows of one.
+RECALL = 0.95
+BANDS, ROWS = choose_bands(SIMILARITY / (2 - SIMILARITY), RECALL, 5)
+#: Lines in a block of a cluster, and local members of a band that are linked before the shuffle.
 BLOCK, CROWD = 1024, 8
 
 _DIGITS = re.compile("[1-9]")
@@ -132,8 +136,54 @@ def simhash(feature: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
-def line_table(texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
-    """text index, line number, lo, hi, whether the text has it here first, and SimHash words of every line that has a word."""
+def minhash_bands(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) keys of the lines' sets of features; every line must have one."""
+    a, b = _seeds(BANDS * ROWS)
+    x = (feature >> np.uint64(32)).astype(np.uint32) ^ feature.astype(np.uint32)
+    low = np.empty((BANDS * ROWS, len(first) - 1), np.uint32)
+    step = max(1, (1 << 17) // max(1, len(x)))
+    with np.errstate(over="ignore"):
+        for k in range(0, len(a), step):
+            y = np.multiply.outer(a[k : k + step], x)
+            y += b[k : k + step, None]
+            y ^= y >> np.uint32(15)
+            low[k : k + step] = np.minimum.reduceat(y, first[:-1], axis=1)
+        m = low.reshape(BANDS, ROWS, -1).astype(np.uint64)
+        h = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], m.shape[2], 1)
+        for j in range(ROWS):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, j])
+    return h.T.view(np.int64)
+
+
+def band_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """line and key: BANDS keys of each line of words by its longer words, by all words and pairs, or by both."""
+    n = len(w.first) - 1
+    size = np.diff(w.first)
+    long = w.end - w.start >= LONG
+    held = np.bincount(w.doc[long], minlength=n)
+    line, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    few = np.repeat(held < MANY, size)
+    pair = np.zeros(len(w.hash), np.uint64)
+    last = np.zeros(len(w.hash), bool)
+    if len(w.hash):
+        with np.errstate(over="ignore"):
+            pair[:-1] = mix(w.hash[:-1] * np.uint64(7) + w.hash[1:])
+        last[w.first[1:][size > 0] - 1] = True
+    take = long & np.repeat(held >= FEW, size)
+    for feature, owner in (
+        (w.hash[take], w.doc[take]),
+        (np.concatenate([w.hash[few], pair[few & ~last]]), np.concatenate([w.doc[few], w.doc[few & ~last]])),
+    ):
+        if len(feature):
+            by = np.argsort(owner, kind="stable")
+            own, start = np.unique(owner[by], return_index=True)
+            line.append(np.repeat(own, BANDS))
+            key.append(minhash_bands(feature[by], np.append(start, len(by))).ravel())
+    return np.concatenate(line), np.concatenate(key)
+
+
+def line_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
+    """text index, line number, lo, hi, whether the text has it here first, and index among all lines, of every line that has a word; all lines' words."""
     clean = [_DIGITS.sub("0", t or "").replace("\0", " ") for t in texts]
     lines = "\n".join(clean).split("\n")
     per = np.array([t.count("\n") + 1 for t in clean])
@@ -142,38 +192,16 @@ def line_table(texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         place = mix(np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1], size).astype(np.uint64) + np.uint64(1))
         one, two = mix(w.hash * np.uint64(3) + place), mix(w.hash ^ (place * np.uint64(5)))
-        some = size > 0
         one, two = (np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (one, two))
         lo, hi = (x[w.first[1:]] - x[w.first[:-1]] for x in (one, two))  # sums by line, modulo 2**64
-        long = w.end - w.start >= LONG
-        few = np.repeat(np.bincount(w.doc[long], minlength=len(lines)) < 4, size)
-        pair = np.zeros(len(w.hash), np.uint64)
-        if len(w.hash) > 1:
-            pair[:-1] = mix(w.hash[:-1] * np.uint64(7) + w.hash[1:])
-        last = np.zeros(len(w.hash), bool)
-        last[w.first[1:][some] - 1] = True
-    take = long | few
-    feature = np.concatenate([w.hash[take], pair[few & ~last]])
-    owner = np.concatenate([w.doc[take], w.doc[few & ~last]])
-    by = np.argsort(owner, kind="stable")
-    first = np.searchsorted(owner[by], np.arange(len(lines) + 1))
-    rows = np.flatnonzero(some)
-    sim = simhash(feature[by], first, width)[rows] if len(rows) else np.zeros((0, width), np.uint64)
+    rows = np.flatnonzero(size > 0)
     text = np.repeat(np.arange(len(texts)), per)
     number = np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per)
     text, number, lo, hi = text[rows], number[rows], lo[rows].view(np.int64), hi[rows].view(np.int64)
     by = np.lexsort((number, hi, lo, text))
     head = np.ones(len(by), bool)
     head[by[1:]] = (lo[by[1:]] != lo[by[:-1]]) | (hi[by[1:]] != hi[by[:-1]]) | (text[by[1:]] != text[by[:-1]])
-    return text, number.astype(np.int32), lo, hi, head, sim
-
-
-def block_keys(sim: np.ndarray, bits: int) -> np.ndarray:
-    """(lines, BLOCKS) keys: `bits` bits of each half word (or of each word, if there are eight), mixed with the block's number."""
-    sim = np.ascontiguousarray(sim)
-    part = sim.view(np.uint32).astype(np.uint64) if sim.shape[1] * 2 == BLOCKS else sim
-    with np.errstate(over="ignore"):
-        return mix((part & np.uint64((1 << bits) - 1)) * np.uint64(BLOCKS) + np.arange(BLOCKS, dtype=np.uint64)).view(np.int64)
+    return text, number.astype(np.int32), lo, hi, head, rows, w
 
 
 def _runs(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,49 +216,58 @@ def _runs(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key, ident, np.repeat(least, size), np.repeat(size, size)
 
 
-def _edges(key: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b), pa.array(size.astype(np.int32))], ["key", "a", "b", "size"])
+def _edges(key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["key", "a", "b"])
 
 
-def _block_links(lines: DataFrame, bits: int, parts: int) -> DataFrame:
-    """a, b, size: links to the smallest member of each pigeonhole block with size members (BLOCKS at most is told apart)."""
+def _band_links(texts: DataFrame, parts: int) -> DataFrame:
+    """a, b: links of lines (by lo) to the smallest member of each band that they share with another."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, ids, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, ident, least, size = _runs(np.concatenate(keys), np.concatenate(ids))
+            both = np.stack([np.concatenate(keys), np.concatenate(ids)], 1)
+            by = np.lexsort((both[:, 1], both[:, 0]))
+            both = both[by]
+            new = np.ones(len(by), bool)
+            new[1:] = (both[1:] != both[:-1]).any(axis=1)  # a line that many texts have goes once
+            key, ident, least, size = _runs(both[new, 0], both[new, 1])
             linked = (size > CROWD) & (ident != least)
-            yield _edges(key[~linked], ident[~linked], ident[~linked], np.zeros((~linked).sum()))
-            if linked.any():  # crowded blocks are linked here; their links travel under keys of their own
-                yield _edges(ident[linked], ident[linked], least[linked], size[linked])
+            yield _edges(key[~linked], ident[~linked])
+            if linked.any():  # crowded bands are linked here; their links travel under keys of their own
+                yield _edges(ident[linked], ident[linked], least[linked])
 
-        held = 0
         for x in batches:
-            keys.append(block_keys(_sim_words(x), bits).ravel())
-            ids.append(np.repeat(x.column(0).to_numpy(), BLOCKS))
-            held += len(ids[-1])
-            if held > 4_000_000:
-                yield from flush()
-                keys, ids, held = [], [], 0
+            held_texts = x.column(0).to_pylist()
+            for p, q in chunks(held_texts, 1_000_000):
+                _, _, lo, _, head, rows, w = line_table(held_texts[p:q])
+                name, first = np.zeros(len(w.first) - 1, np.int64), np.zeros(len(w.first) - 1, bool)
+                name[rows], first[rows] = lo, head
+                line, key = band_keys(w)
+                keys.append(key[first[line]])
+                ids.append(name[line[first[line]]])
+                held += len(ids[-1])
+                if held > 4_000_000:
+                    yield from flush()
+                    keys, ids, held = [], [], 0
         if keys:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in batches:
-            key, a, b, size = (c.to_numpy(zero_copy_only=False) for c in x.columns)
-            done = size > 0
-            if done.any():
-                yield _edges(key[done], a[done], b[done], size[done])
-            keys.append(key[~done])
-            ids.append(a[~done])
-        key, ident, least, size = _runs(np.concatenate(keys), np.concatenate(ids))
+            done = x.column(2).is_valid()
+            yield x.filter(done)
+            left = x.filter(pc.invert(done))
+            keys.append(left.column(0).to_numpy())
+            ids.append(left.column(1).to_numpy())
+        key, ident, least, _ = _runs(np.concatenate(keys), np.concatenate(ids))
         on = ident != least
-        yield _edges(key[on], ident[on], least[on], size[on])
+        yield _edges(key[on], ident[on], least[on])
 
-    schema = "key long, a long, b long, size int"
-    return lines.select("lo", *[c for c in lines.columns if c[0] == "s" and c[1:].isdigit()]).mapInArrow(spread, schema).repartition(parts, "key").mapInArrow(meet, schema).select("a", "b", "size")
+    schema = "key long, a long, b long"
+    return texts.select("text").mapInArrow(spread, schema).repartition(parts, "key").mapInArrow(meet, schema).select("a", "b")
 
 
 def _lines_at(docs: DataFrame) -> DataFrame:
@@ -252,16 +289,22 @@ def _lines_at(docs: DataFrame) -> DataFrame:
     return docs.select("text", "wanted").mapInArrow(run, schema)
 
 
-def _verify(least: float, bits: int):
+def _verify(least: float):
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         blk, lo = t.column("blk").to_numpy(), t.column("lo").to_numpy()
-        sim = _sim_words(t)
-        keys = block_keys(sim, bits)
         lines = t.column("line").to_pylist()
+        of, key = band_keys(split_words(lines))
+        by = np.argsort(key, kind="stable")
+        of, key = of[by], key[by]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        bands: list[list[np.ndarray]] = [[] for _ in lines]
+        for p, q in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+            if q - p > 1:
+                for x in of[p:q].tolist():
+                    bands[x].append(of[p:q])
         left = np.flatnonzero(blk == i)
-        right = left if i == j else np.flatnonzero(blk == j)
-        root = np.arange(len(lo))
+        root, near = np.arange(len(lo)), np.zeros(len(lo), bool)
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -271,8 +314,10 @@ def _verify(least: float, bits: int):
 
         a, b = [], []
         for x in left.tolist():
-            near = right[(keys[right] == keys[x]).any(axis=1)]
-            for y in near.tolist():
+            near[:] = False
+            for band in bands[x]:
+                near[band] = True
+            for y in np.flatnonzero(near & (blk == j)).tolist():
                 if (y > x or i != j) and (u := find(x)) != (v := find(y)) and edit_similarity(lines[x], lines[y], least) >= least - 1e-9:
                     root[max(u, v)] = min(u, v)
                     a.append(int(lo[x]))
@@ -282,27 +327,15 @@ def _verify(least: float, bits: int):
     return run
 
 
-def _occurrences(texts: DataFrame, width: int) -> DataFrame:
+def _occurrences(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             doc, row, texts = x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_pylist()
             for p, q in chunks(texts, 1_000_000):
-                of, pos, lo, hi, head, sim = line_table(texts[p:q], width)
-                sims = [pa.array(np.ascontiguousarray(sim[:, k]).view(np.int64)) for k in range(width)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[p:q][of]), pa.array(row[p:q][of]), pa.array(pos), pa.array(lo), pa.array(hi), pa.array(head), *sims], ["doc", "row", "pos", "lo", "hi", "head", *_sims(width)])
-
-    return texts.mapInArrow(run, "doc long, row long, pos int, lo long, hi long, head boolean, " + ", ".join(f"{c} long" for c in _sims(width)))
-
-
-def _sims(width: int) -> list[str]:
-    """Columns of the SimHash words."""
-    return [f"s{k}" for k in range(width)]
-
+                of, pos, lo, hi, head, *_ = line_table(texts[p:q])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[p:q][of]), pa.array(row[p:q][of]), pa.array(pos), pa.array(lo), pa.array(hi), pa.array(head)], ["doc", "row", "pos", "lo", "hi", "head"])
 
-def _sim_words(b: pa.RecordBatch | pa.Table) -> np.ndarray:
-    """(rows, width) words of the columns s0, s1 and so on."""
-    names = [n for n in b.schema.names if n[0] == "s" and n[1:].isdigit()]
-    return np.stack([b.column(n).to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else b.column(n).to_numpy() for n in names], 1).view(np.uint64)
+    return texts.mapInArrow(run, "doc long, row long, pos int, lo long, hi long, head boolean")
 
 
 def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
@@ -310,28 +343,24 @@ def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "do
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = keyed_texts(docs, id_col).where("text is not null")
-    bulk = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    width = 4 if bulk < 64 << 29 else 8  # eight words once lines may outnumber what half words tell apart
-    seen = save_stage(_occurrences(texts.select("doc", "row", "text"), width), "lines")
+    seen = save_stage(_occurrences(texts.select("doc", "row", "text")), "lines")
     # The first occurrence by document; all of the buffers are numbers, so that this is a hash aggregation. Of texts that share an id and a line, one is taken.
     here = F.when(F.col("head"), F.col("doc"))
     at = F.struct(F.col("doc"), F.col("row"), F.col("pos"))
-    first = seen.groupBy("lo", "hi").agg(F.min("doc").alias("doc"), F.min_by("row", here).alias("row"), F.min_by("pos", here).alias("pos"), F.count("*").alias("n"), *[F.max(c).alias(c) for c in _sims(width)])
-    lines = save_stage(first.select("lo", "hi", at.alias("at"), "n", *_sims(width)), "distinct")
-    n = lines.count()
-    bits = min(8 * width, max(16, math.ceil(math.log2(max(2, n))) + 5))
-    links = save_stage(_block_links(lines, bits, parts), "links")
+    first = seen.groupBy("lo", "hi").agg(F.min("doc").alias("doc"), F.min_by("row", here).alias("row"), F.min_by("pos", here).alias("pos"), F.count("*").alias("n"))
+    lines = save_stage(first.select("lo", "hi", at.alias("at"), "n"), "distinct")
+    links = _band_links(texts, parts)
     clusters = save_stage(components(links).select(F.col("node").alias("lo"), F.col("root").alias("cluster")), "clusters")
     n_members = clusters.count()
     members = lines.join(checked(clusters, 24, n_members), "lo")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(checked(sizes, 20, n_members), "cluster").select("at.doc", "at.row", F.struct(F.col("at.pos").alias("pos"), "lo", "cluster", "blocks", *_sims(width)).alias("w"))
+    members = members.join(checked(sizes, 20, n_members), "cluster").select("at.doc", "at.row", F.struct(F.col("at.pos").alias("pos"), "lo", "cluster", "blocks").alias("w"))
     wanted = save_stage(members.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted")), "wanted")
     found = _lines_at(texts.join(wanted, ["doc", "row"]))  # many texts are wanted: both sides are shuffled at any size
     found = found.dropDuplicates(["lo"]).withColumn("blk", F.pmod(F.xxhash64("lo"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j"))))
-    dealt = found.select("cluster", "blk", "lo", *_sims(width), "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "lo", *_sims(width), "line")
-    same = save_stage(by_group(dealt, ["cluster", "i", "j"], ["lo"], _verify(least, bits), "a long, b long", parts), "same")
+    dealt = found.select("cluster", "blk", "lo", "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "lo", "line")
+    same = save_stage(by_group(dealt, ["cluster", "i", "j"], ["lo"], _verify(least), "a long, b long", parts), "same")
     groups = save_stage(components(same).select(F.col("node").alias("lo"), F.col("root").alias("grp")), "groups")
     n_groups = groups.count()
     grouped = lines.select("lo", "hi", "at", "n").join(checked(groups, 24, n_groups), "lo", "left")

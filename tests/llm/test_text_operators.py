@@ -163,6 +163,27 @@ def test_line_dedup_hears_pairs_with_many_changed_words(spark):
     assert gone <= set(range(400, 800)) and len(gone) >= 3
 
 
+def test_line_search_recall_does_not_depend_on_size():
+    """Keys are a function of the line alone, and enough pairs of lines with a fifth of the words replaced share one."""
+    rng = random.Random(5)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+
+    for words, changed, least in ((15, 1, 0.99), (30, 1, 0.99), (20, 4, 0.9)):
+        a = [[word() for _ in range(words)] for _ in range(400)]
+        b = [list(x) for x in a]
+        for x in b:
+            for i in rng.sample(range(words), changed):
+                x[i] = word()
+        lines = [" ".join(x) for x in a + b]
+        line, key = line_dedup.band_keys(textkernel.split_words(lines))
+        keys = [set(key[line == i].tolist()) for i in range(800)]
+        assert np.mean([bool(keys[i] & keys[400 + i]) for i in range(400)]) >= least
+        alone = line_dedup.band_keys(textkernel.split_words(lines[7:8]))[1]
+        assert set(alone.tolist()) == keys[7]
+
+
 def test_edit_similarity_equals_the_plain_one():
     rng = random.Random(1)
 
