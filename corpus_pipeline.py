@@ -4,9 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before has
 
 1. toxicity: the convolutional classifier learns from labels; documents that score one half or more go.
 2. language: documents without a letter (`und`) go, all others stay.
-3. lines: repeated lines go, fuzzy ones among them; a document goes with them if other documents
-   leave it less than KEPT of its characters (lines that it repeats itself don't count). Documents
-   that lose nothing stay as they are.
+3. lines: repeated lines go, fuzzy ones among them; a document goes with them if no line with a
+   word is left. Documents that lose nothing stay as they are.
 4. near copies: one document of each class of similar 5-gram sets stays.
 5. packing: what is left becomes token sequences.
 
@@ -21,9 +20,6 @@ from pyspark.sql import functions as F
 from strataloom.llm import langid, line_dedup, ngram_join, packing, tokens, toxicity
 from strataloom.llm.common import prepare, read_table, save_stage
 
-#: Share of the characters of its distinct lines that a document must keep when repeated lines go.
-KEPT = 0.34
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
@@ -38,11 +34,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    own = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    before = docs.withColumn("_before", F.length(own))
-    found = line_dedup.clean(before, counts=("_lines", "_gone"))
-    whole = (F.col("_gone") == 0) | (F.length("text") >= KEPT * F.col("_before"))
-    out = found.where(whole)
+    found = line_dedup.clean(docs, counts=("_lines", "_gone"))
+    out = found.where((F.col("_gone") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -219,6 +219,15 @@ def test_baseline_decoder_reads_coefficients():
     assert plane.shape == (8, 16) and np.abs(plane[:, :8] - np.clip(np.rint(want) + 128, 0, 255)).max() <= 1
 
 
+def test_line_stage_keeps_what_only_one_document_says(spark):
+    import corpus_pipeline
+
+    shared = "\n".join(" ".join(f"shared{i}word{'abcdefgh'[j % 8] * (j % 5 + 1)}" for j in range(60)) for i in "klmnopqr")
+    texts = [(0, shared), (1, shared + "\nonly this document says it"), (2, shared + "\n--"), (3, "--")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(texts, DOCS), "").collect()}
+    assert set(got) == {0, 1, 3} and got[1] == "only this document says it"
+
+
 def test_pipeline_keeps_one_of_each_and_drops_toxic(spark):
     import corpus_pipeline
 
