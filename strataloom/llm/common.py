@@ -43,15 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def save_stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the process ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if not _stages:
         atexit.register(drop_stages)
     _stages.append((spark, path))
+    return path
+
+
+def save_stage(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = stage_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_stages() -> None:

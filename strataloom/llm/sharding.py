@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, save_stage
+from .common import checked, partitions, save_stage, stage_path
 
 #: A bucket holds about this many bytes and rows at most, so that one task can hold it.
 BUCKET_BYTES, BUCKET_ROWS = 64 << 20, 20_000
@@ -52,30 +52,31 @@ def two_pass_shuffle(df: DataFrame, key: str, size: Column, spread: Column, shar
     `order` names the columns that fix a bucket's order before it is shuffled (all of df's by default; maps can't be ordered).
     """
     cols = df.columns
-    order = order or cols
     rows = scatter(df, key, size, spread, shards, seed)
     counts = rows.groupBy("_shuffle_shard", "_shuffle_bucket").agg(F.count("*").alias("_shuffle_n"))
     before = Window.partitionBy("_shuffle_shard").orderBy("_shuffle_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_shuffle_bucket", F.coalesce(F.sum("_shuffle_n").over(before), F.lit(0)).alias("_shuffle_at"))
-    record = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*[F.col(c).alias(c) for c in cols]).alias("r"), F.col("_shuffle_shard").alias("s"), F.col("_shuffle_grown").alias("g"))
+    record = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order or [])], F.struct(*[F.col(c).alias(c) for c in cols]).alias("r"), F.col("_shuffle_shard").alias("s"), F.col("_shuffle_grown").alias("g"))
     n = partitions(df.sparkSession)
-    buckets = rows.repartition(n, "_shuffle_bucket").groupBy("_shuffle_bucket").agg(F.sort_array(F.collect_list(record)).alias("rows"))
+    buckets = rows.repartitionByRange(n, "_shuffle_bucket").groupBy("_shuffle_bucket").agg(F.sort_array(F.collect_list(record)).alias("rows"))
     mixed = buckets.sortWithinPartitions("_shuffle_bucket").select("_shuffle_bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    dealt = mixed.join(counts, "_shuffle_bucket").select("_shuffle_at", F.posexplode("rows").alias("_shuffle_pos", "_shuffle_row"))
+    dealt = mixed.join(checked(counts, 24), "_shuffle_bucket").select("_shuffle_at", F.posexplode("rows").alias("_shuffle_pos", "_shuffle_row"))
     return dealt.select("_shuffle_row.r.*", F.col("_shuffle_row.s").alias("shard"), F.col("_shuffle_row.g").alias("grown_shard"), (F.col("_shuffle_at") + F.col("_shuffle_pos")).cast("long").alias("slot"))
 
 
 def write_shards(shuffled: DataFrame, path: str, shards: int = 24) -> None:
-    """Write each shard as a folder shard=N of Parquet files whose rows stand in slot order; large shards get a file for each range of slots."""
-    shuffled.repartitionByRange(max(shards, partitions(shuffled.sparkSession)), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write two_pass_shuffle's rows: each shard as a folder shard=N of Parquet files whose rows stand in slot order; large shards get a file for each range of slots.
+
+    Pass two deals ranges of buckets to its tasks, so the rows need no further shuffle, whatever the number of shards.
+    """
+    shuffled.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
-    """The digest of a two-pass shuffle of documents: the text stays behind, its size and checksum travel."""
-    slim = docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    out = two_pass_shuffle(slim, "doc_id", F.col("size"), F.col("text_crc32"), shards, seed)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    """The digest of a two-pass shuffle of whole documents, taken from the shards as they were written."""
+    size, crc = F.coalesce(F.octet_length("text"), F.lit(0)), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    out = two_pass_shuffle(docs, "doc_id", size, crc, shards, seed)
+    path = stage_path(docs.sparkSession, "shards")
+    write_shards(out, path, shards)
+    held = docs.sparkSession.read.schema(out.schema).parquet(path)
+    return held.select("doc_id", (size + 8).cast("long").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -82,6 +82,22 @@ def test_sharding_law_and_slots(spark):
     assert order != sorted(order, key=lambda d: -1 if d is None else d)
 
 
+def test_sharding_digest_comes_from_written_texts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 14)
+    paths = []
+
+    def write(shuffled, path, shards, real=sharding.write_shards):
+        paths.append(path)
+        real(shuffled, path, shards)
+
+    monkeypatch.setattr(sharding, "write_shards", write)
+    texts = [(i, f"{i} " * (i * 7 % 900)) for i in range(1500)]
+    rows = sharding.shard_documents(spark.createDataFrame(texts, DOCS)).collect()
+    held = {(r["doc_id"], r["shard"], r["slot"]): r["text"] for r in spark.read.parquet(paths[0]).collect()}
+    assert sorted((k[0], v) for k, v in held.items()) == texts
+    assert {(r["doc_id"], r["shard"], r["slot"]): (r["size"] - 8, r["text_crc32"]) for r in rows} == {k: (len(v), zlib.crc32(v.encode())) for k, v in held.items()}
+
+
 def test_shards_on_disk_keep_their_order(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(400)], DOCS)
     mixed = sharding.two_pass_shuffle(docs, "doc_id", F.octet_length("text"), F.crc32("text"), 4)
