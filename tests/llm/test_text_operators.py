@@ -184,6 +184,25 @@ def test_line_search_recall_does_not_depend_on_size():
         assert set(alone.tolist()) == keys[7]
 
 
+def test_line_dedup_does_not_depend_on_partitions(spark):
+    """A crowd of variants of one line, and near copies of single members in other tasks."""
+    rng = random.Random(31)
+    base = phrase(rng, 24).split()
+    crowd, near = [], []
+    for _ in range(30):
+        a = list(base)
+        for i in rng.sample(range(24), 8):
+            a[i] = phrase(rng, 1)
+        b = list(a)
+        b[rng.randrange(24)] = phrase(rng, 1)
+        crowd.append(" ".join(a))
+        near.append(" ".join(b))
+    docs = frame(spark, crowd + near)
+    got = [{r["doc"] for r in line_dedup.repeated_lines(docs.repartition(n)).collect()} for n in (1, 8)]
+    found = {30 + i for i in range(30) if line_dedup.edit_similarity(crowd[i], near[i]) >= 0.8}
+    assert got[0] == got[1] and len(found - got[0]) <= 1
+
+
 def test_edit_similarity_equals_the_plain_one():
     rng = random.Random(1)
 
