@@ -59,7 +59,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the trained models nor the packing; tests/llm holds the rows against a plain Python version.
+#: SQL can express neither the trained models nor the packing; tests/llm checks shares and exact copies, not against brute force.
 ORACLE_SQL = None
 
 
