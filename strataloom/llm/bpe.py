@@ -6,9 +6,11 @@ these exactly one forms a compatible pair with the token stored for the prefix b
 no merge across their border would come before the merges that build them. That token is
 stored, and back-pointers from the last position give the exact ids.
 
-Null and empty texts have no ids. Texts of any length are encoded whole; words are cut by
-the vocabulary's own normaliser and pattern, with a plain path for Latin text. Memory is
-bounded by word and pair memos that restart when full. Repeated rows are encoded as they come.
+Null and empty texts have no ids. Texts of any length are encoded whole, in slices that begin
+before white space; words are cut by the vocabulary's own normaliser and pattern, with a plain
+path for Latin text. Memory is bounded by word and pair memos that restart when full. Repeated
+rows are encoded as they come. An empty table gives no rows; columns other than the id and the
+text stay behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries of the word memo and of the pair memo of a worker.
-WORDS, PAIRS = 300_000, 1_000_000
+#: Entries of the word memo and of the pair memo of a worker; longer words (LONG characters) are not remembered.
+WORDS, PAIRS, LONG = 200_000, 500_000, 64
+#: Characters that are cut into words at once, about.
+SLICE = 1 << 17
 
 _END = "</w>"
 #: Texts of these characters only need no normaliser but lower case, and their classes are the ones spelled out in _LATIN_WORD.
@@ -185,15 +189,25 @@ class WordEncoder:
             memo[w] = self._word(w, False)
         return list(chain.from_iterable(map(memo.__getitem__, cut)))
 
-    def encode(self, text: str | None) -> list[int]:
+    def pieces(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of a text, slice by slice; slices begin before white space, which no word and no composed letter spans."""
         if not text:
-            return []
-        if "<|" not in text:
-            return self._plain(text)
-        out: list[int] = []
-        for part in self.cut.split(text):
-            out += [self.special[part]] if part in self.special else self._plain(part)
-        return out
+            return
+        for part in self.cut.split(text) if "<|" in text else [text]:
+            if part in self.special:
+                yield [self.special[part]]
+                continue
+            at = 0
+            while len(part) - at > SLICE:
+                stop = max(part.rfind(c, at + 1, at + SLICE) for c in " \n\t")
+                if stop < 0:
+                    stop = min((p for c in " \n\t" if (p := part.find(c, at + SLICE)) >= 0), default=len(part))
+                yield self._plain(part[at:stop])
+                at = stop
+            yield self._plain(part[at:] if at else part)
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self.pieces(text)))
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder: the tokens as they are written, joined by one space."""
@@ -242,14 +256,21 @@ def round_trip_digest(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(path)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
             n, i, d = [], [], []
             for t in b.column(1):
-                ids = enc.encode(t.as_py())
-                n.append(len(ids))
-                i.append(sha(enc.numbers(ids)))
-                d.append(sha(enc.decode(ids)))
+                count, digests = 0, (hashlib.sha256(), hashlib.sha256())
+                for ids in enc.pieces(t.as_py()):
+                    if not ids:
+                        continue
+                    for digest, own in zip(digests, (enc.numbers(ids), enc.decode(ids)), strict=True):
+                        if count:
+                            digest.update(b" ")
+                        digest.update(own.encode("utf-8", "surrogatepass"))
+                    count += len(ids)
+                n.append(count)
+                i.append(digests[0].hexdigest())
+                d.append(digests[1].hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

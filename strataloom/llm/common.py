@@ -9,13 +9,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: A side is broadcast only when its measured size is below this.
 BROADCAST_BYTES = 16 << 20
 
-_stages: list[tuple[SparkSession, str]] = []
+_stages: dict[str, SparkSession] = {}
 
 
 #: Rows and bytes that pass between Spark and Python at once; long texts make large rows.
@@ -33,9 +34,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset and everything runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         held = getattr(spark, "_strataloom_dir", None)
         if held is None:
             held = spark._strataloom_dir = tempfile.mkdtemp(prefix="strataloom-")
@@ -44,11 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the process ends."""
+    """A new path in the shared folder, deleted when the process ends if not before."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if not _stages:
         atexit.register(drop_stages)
-    _stages.append((spark, path))
+    _stages[path] = spark
     return path
 
 
@@ -56,24 +59,64 @@ def save_stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = stage_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._strataloom_path = path
+    return out
 
 
-def drop_stages() -> None:
-    """Delete the stage tables of this process; lazily built results that read them end here."""
-    while _stages:
-        spark, path = _stages.pop()
+def drop_stages(paths: list[str] | None = None) -> None:
+    """Delete the named stage tables (all of this process by default); lazily built results that read them end here."""
+    for path in list(_stages) if paths is None else paths:
+        spark = _stages.pop(path, None)
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session is gone: nothing is left to tidy with
-            return
+            continue
+
+
+class Scratch:
+    """Stage tables of one operator: leaving the block deletes all that were saved through it."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def save(self, df: DataFrame, label: str) -> DataFrame:
+        out = save_stage(df, label)
+        self.paths.append(out._strataloom_path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        gone = [t._strataloom_path for t in tables]
+        drop_stages(gone)
+        self.paths = [p for p in self.paths if p not in gone]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        drop_stages(self.paths)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """What a row takes: fixed parts by type, strings, binaries and arrays of numbers by their own length."""
+    fixed, own = 0, F.lit(0)
+    for f in df.schema:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            own = own + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            own = own + 8 * F.greatest(F.coalesce(F.size(f.name), F.lit(0)), F.lit(0))
+        elif isinstance(f.dataType, StructType):
+            fixed += 8 * len(f.dataType)
+        fixed += 16
+    return own + F.lit(fixed)
 
 
-def checked(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """df marked for broadcast if its measured size allows it, else as it is (a shuffle join follows)."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+def checked(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if the measured bytes of its rows allow it, else as it is (a shuffle join follows)."""
+    held = df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def partitions(spark: SparkSession) -> int:
@@ -139,22 +182,26 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of undirected edges over long ids: rows (node, root), root the smallest id of its component.
 
     Partitions first shrink to forests; large-star and small-star rounds then run until the
     edges are stars. Minima are pre-aggregated and neighbours never gathered, so a hub costs
-    no more than its edges. Self loops, repeated edges and nulls are harmless; nodes without
+    no more than its edges. The result reads a stage table, which `scratch` takes over. Self loops, repeated edges and nulls are harmless; nodes without
     edges give no row. Raises after `most` rounds instead of returning a part.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long")
     e = save_stage(e.distinct(), "cc")
-    seen = None
+    seen, old = None, None
     for _ in range(most):
         sign = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if sign == seen:
+            if scratch is not None:
+                scratch.paths.append(e._strataloom_path)
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
-        seen = sign
+        if old is not None:
+            drop_stages([old])
+        seen, old = sign, e._strataloom_path
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -7,8 +7,9 @@ the languages of each family. The most wins are taken, ties go to the larger mar
 
 Null texts and those without a letter are `und` with score 0. Languages that the table of
 families lacks form a family of their own. With one language in the sample every text with
-letters gets it; with none, `und`. The whole text counts, in slices of bounded size; a
-prediction depends on its text only. Repeated rows get equal results.
+letters gets it; with none, `und`. The whole text counts, in slices of bounded size whose
+counts add up; a prediction depends on its text only. Repeated rows get equal results, whatever
+their ids. Other columns do not matter, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkernel import chunks, class_table, code_points
+from .textkernel import SLICE, class_table, code_points, portions
 from .toxicity import may_teach
 
 BUCKETS = 4096
 #: Documents of a language in the training sample, by the hash of the id; and of all languages together.
 SAMPLE, SAMPLE_ALL = 250, 4000
+#: Texts whose counts are held at once.
+TEXTS = 128
 
 #: Language families.
 FAMILIES = {
@@ -47,28 +50,38 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 
-def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For pairs and triples: bucket of the gram that starts at each position, whether it lies within its text, and the offsets."""
-    u, first = code_points(texts)
-    s = np.where(class_table("letter")[u], u, 32).astype(np.uint32)
-    last = np.repeat(first[1:] - 1, np.diff(first))  # the closing separator, read as a space
-    at = np.arange(len(s))
-    for n in (2, 3):
-        h = np.zeros(len(s), np.uint32)
-        with np.errstate(over="ignore"):
-            for j in range(n):
-                h[: len(s) - j] = (h[: len(s) - j] ^ s[j:]) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x85EBCA77)
-        yield (h >> np.uint32(20)).astype(np.int32), at + n - 1 <= last, first
+def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket of pairs and triples occurs in each text (texts, BUCKETS), and whether a text has a letter; long texts are read in slices."""
+    out, letters = np.zeros((len(texts), BUCKETS), np.int32), np.zeros(len(texts), bool)
+    for lo, hi, whole in portions(texts):
+        parts = [whole] if whole is not None else [[texts[lo][p : p + SLICE + 2]] for p in range(0, len(texts[lo]), SLICE)]
+        for k, part in enumerate(parts):
+            u, first = code_points(part)
+            letter = class_table("letter")[u]
+            letters[lo:hi] |= np.logical_or.reduceat(letter, first[:-1])
+            s = np.where(letter, u, 32).astype(np.uint32)
+            doc = np.repeat(np.arange(hi - lo), np.diff(first))
+            if whole is not None or k == len(parts) - 1:
+                last = first[1:] - 1  # the closing separator, read as a space
+            else:
+                last = np.array([SLICE + 1])
+            for n in (2, 3):
+                h = np.zeros(len(s), np.uint32)
+                with np.errstate(over="ignore"):
+                    for j in range(n):
+                        h[: len(s) - j] = (h[: len(s) - j] ^ s[j:]) * np.uint32(0x9E3779B1)
+                    h ^= h >> np.uint32(15)
+                    h *= np.uint32(0x85EBCA77)
+                on = np.arange(len(s)) + n - 1 <= last[doc]
+                if whole is None and k < len(parts) - 1:
+                    on &= np.arange(len(s)) < SLICE
+                out[lo:hi] += np.bincount(doc[on] * BUCKETS + (h[on] >> np.uint32(20)).astype(np.int64), minlength=(hi - lo) * BUCKETS).reshape(-1, BUCKETS).astype(np.int32)
+    return out, letters
 
 
 def features(texts: list[str | None]) -> np.ndarray:
     """Relative frequencies (texts, BUCKETS)."""
-    out = np.zeros((len(texts), BUCKETS), np.float32)
-    for h, inside, first in _grams(texts):
-        doc = np.repeat(np.arange(len(texts)), np.diff(first))[inside]
-        np.add.at(out, (doc, h[inside]), 1)
+    out = counts(texts)[0].astype(np.float32)
     return out / np.maximum(out.sum(1, keepdims=True), 1)
 
 
@@ -95,16 +108,6 @@ class Model:
     weights: np.ndarray  #: (BUCKETS, machines)
     bias: np.ndarray
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        total = np.zeros((len(texts), len(self.bias)))
-        count = np.zeros(len(texts))
-        for h, inside, first in _grams(texts):
-            w = self.weights[h]
-            w[~inside] = 0
-            total += np.add.reduceat(w, first[:-1], axis=0, dtype=np.float64)
-            count += np.add.reduceat(inside, first[:-1], dtype=np.int64)
-        return total / np.maximum(count, 1)[:, None] + self.bias
-
     def _vote(self, m: np.ndarray, tier: tuple[list[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winner of a tier and its smallest margin over another."""
         names, cols = tier
@@ -120,15 +123,16 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs: list[str] = []
         scores = [np.zeros(0)]
-        for lo, hi in chunks(texts, 1_000_000):
-            part = texts[lo:hi]
+        for lo in range(0, len(texts), TEXTS):
+            part = texts[lo : lo + TEXTS]
             if not self.classes:
                 langs += ["und"] * len(part)
                 scores.append(np.zeros(len(part)))
                 continue
-            u, first = code_points(part)
-            letters = np.logical_or.reduceat(class_table("letter")[u], first[:-1])
-            m = self.margins(part)
+            n, letters = counts(part)
+            # Whole counts times double weights: the same sums wherever a text was cut and whatever stands beside it.
+            m = np.stack([n @ w for w in self.weights.T.astype(np.float64)], 1) if len(self.bias) else np.zeros((len(part), 0))
+            m = m / np.maximum(n.sum(1), 1)[:, None] + self.bias
             family, gap = self._vote(m, self.tiers[0])
             out = np.array([""] * len(part), object)
             for k, tier in enumerate(self.tiers[1:]):
@@ -175,7 +179,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            for lo, hi in chunks(texts, 1_000_000):
+            for lo in range(0, len(texts), TEXTS):
+                hi = min(lo + TEXTS, len(texts))
                 x = features(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 

@@ -11,8 +11,10 @@ sampling, restart intervals or none) whose entropy decoding runs in lockstep ove
 
 Shots: frame histograms of the luma samples differ by a share of their mass; a cut lies
 where that exceeds the mean and some deviations of the differences before it in the shot.
-Null and empty texts have a payload of 64 zero bytes. Equal payloads give equal files.
-Frames that are not baseline JPEG raise ValueError; an empty movi list gives no clips.
+Null and empty texts have a payload of 64 zero bytes. Equal payloads give equal files. Texts of
+any length pass in runs of FRAMES frames (a file has to stay below 4 GiB, as RIFF has it).
+Frames that are not baseline JPEG raise ValueError; an empty movi list gives no clips. An empty
+table gives no rows; columns other than the id and the text stay behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 #: Blocks of a frame, and frames a second.
 COLUMNS, ROWS, RATE = 64, 32, 25
+#: Frames that are coded or decoded side by side, and blocks of the files that are read together.
+FRAMES, BLOCKS = 96, 1 << 18
 
 #: The zigzag order of a block, row by row.
 ZIGZAG = np.array([
@@ -92,16 +96,18 @@ def encode_frames(payload: bytes, columns: int = COLUMNS, rows: int = ROWS) -> l
     fill = -len(flat) % rows
     if fill:
         flat = np.vstack([flat, np.zeros((fill, columns), np.uint8)])
-    data, at = _segments(flat)
-    data = data.tobytes()
     head = _head(8 * columns, 8 * rows, columns)
     out = []
-    for f in range(0, len(flat), rows):
-        parts = [head]
-        for r in range(rows):
-            parts.append(data[at[f + r] : at[f + r + 1]])
-            parts.append(b"\xff" + bytes([0xD0 + r % 8]) if r < rows - 1 else b"\xff\xd9")
-        out.append(b"".join(parts))
+    for lo in range(0, len(flat), FRAMES * rows):
+        some = flat[lo : lo + FRAMES * rows]
+        data, at = _segments(some)
+        data = data.tobytes()
+        for f in range(0, len(some), rows):
+            parts = [head]
+            for r in range(rows):
+                parts.append(data[at[f + r] : at[f + r + 1]])
+                parts.append(b"\xff" + bytes([0xD0 + r % 8]) if r < rows - 1 else b"\xff\xd9")
+            out.append(b"".join(parts))
     return out
 
 
@@ -365,31 +371,48 @@ def decode_jpeg(data: bytes) -> list[np.ndarray]:
     return planes
 
 
-def block_values(files: list[bytes], avis: list[Avi]) -> list[np.ndarray]:
-    """(frames, blocks) mean luma of each block of grey frames, in one lockstep pass over files of equal headers."""
-    scans = [_parse_jpeg(data[p : p + n]) for data, a in zip(files, avis, strict=True) for p, n in a.frames]
-    groups: dict[tuple, list[int]] = {}
-    for i, s in enumerate(scans):
-        groups.setdefault((s.width, s.height, s.interval, tuple(s.parts), tuple(sorted(s.huffman.items()))), []).append(i)
-    flat: list[np.ndarray] = [np.zeros(0)] * len(scans)
-    for own in groups.values():
-        for lo in range(0, len(own), 256):
-            some = own[lo : lo + 256]
-            for i, c in zip(some, decode_coefficients([scans[k] for k in some]), strict=True):
-                flat[i] = np.clip(np.rint(c[0][:, 0] * scans[i].quant[0][0] / 8) + 128, 0, 255).astype(np.uint8)
+def _luma(scan: _Scan, coefficients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decoded samples of the first component: the value of each block's first sample, and the histogram of all in 32 steps."""
+    s = samples(coefficients, scan.quant[0])
+    if scan.width % 8 or scan.height % 8:  # what lies beyond the picture does not count
+        across = -(-scan.width // 8)
+        grid = s.reshape(-1, across, 8, 8).transpose(0, 2, 1, 3).reshape(-1, across * 8)
+        return s[:, 0, 0], np.bincount(grid[: scan.height, : scan.width].ravel() >> 3, minlength=32)
+    if s.strides[1] == 0:  # all blocks are flat: one sample stands for 64
+        return s[:, 0, 0], 64 * np.bincount(s[:, 0, 0] >> 3, minlength=32)
+    return s[:, 0, 0], np.bincount(s.ravel() >> 3, minlength=32)
+
+
+def decode_files(files: list[bytes], avis: list[Avi]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each file of grey frames: (frames, blocks) first samples and (frames, 32) sample histograms; frames with equal headers advance in lockstep."""
+    places = [(i, p, n) for i, a in enumerate(avis) for p, n in a.frames]
+    flat: list[np.ndarray] = []
+    hist: list[np.ndarray] = []
+    for lo in range(0, len(places), FRAMES):
+        scans = [_parse_jpeg(files[i][p : p + n]) for i, p, n in places[lo : lo + FRAMES]]
+        groups: dict[tuple, list[int]] = {}
+        for i, s in enumerate(scans):
+            groups.setdefault((s.width, s.height, s.interval, tuple(s.parts), tuple(sorted(s.huffman.items()))), []).append(i)
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for own in groups.values():
+            for i, c in zip(own, decode_coefficients([scans[k] for k in own]), strict=True):
+                found[i] = _luma(scans[i], c[0])
+        flat += [found[i][0].copy() for i in range(len(scans))]
+        hist += [found[i][1] for i in range(len(scans))]
     out, at = [], 0
     for a in avis:
-        out.append(np.stack(flat[at : at + len(a.frames)]) if a.frames else np.zeros((0, 0), np.uint8))
-        at += len(a.frames)
+        n = len(a.frames)
+        out.append((np.stack(flat[at : at + n]), np.stack(hist[at : at + n])) if n else (np.zeros((0, 0), np.uint8), np.zeros((0, 32), np.int64)))
+        at += n
     return out
 
 
-def shots(luma: np.ndarray, rate: float, sigmas: float = 3.0, least: float = 0.15) -> list[dict]:
-    """Timed clips: a cut where the histogram difference exceeds `least` and mean + sigmas deviations of the shot so far."""
+def shots(luma: np.ndarray, hist: np.ndarray, rate: float, sigmas: float = 3.0, least: float = 0.15) -> list[dict]:
+    """Timed clips: a cut where the difference of sample histograms exceeds `least` and mean + sigmas deviations of the shot so far."""
     if not len(luma):
         return []
-    hist = np.stack([np.bincount(f >> 3, minlength=32) for f in luma]) / luma.shape[1]
-    diff = np.abs(np.diff(hist, axis=0)).sum(1) / 2
+    share = hist / hist.sum(1, keepdims=True)
+    diff = np.abs(np.diff(share, axis=0)).sum(1) / 2
     cuts, n, mean, var = [0], 0, 0.0, 0.0
     for i, d in enumerate(diff.tolist(), 1):
         if d > least and n >= 1 and d > mean + sigmas * max((var / n) ** 0.5, 0.02):
@@ -414,12 +437,13 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 n.append(raw)
                 size.append(len(payload))
                 media.append(write_avi(encode_frames(payload), 8 * COLUMNS, 8 * ROWS))
+                del payload
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "payload_bytes", "media"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_bytes long, payload_bytes long, media binary")
 
 
-def read(df: DataFrame, blocks: int = 1 << 21) -> DataFrame:
+def read(df: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """id, n_bytes, payload_bytes, payload (read back), media_bytes, media_sha256, clips array<struct> of stored files."""
     clip = "clip int, first int, last int, start_ms double, end_ms double, luma double"
     kind = pa.list_(pa.struct([("clip", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("luma", pa.float64())]))
@@ -435,11 +459,11 @@ def read(df: DataFrame, blocks: int = 1 << 21) -> DataFrame:
                     hi += 1
                 files = b.column(3).slice(lo, hi - lo).to_pylist()
                 avis = [parse_avi(f) for f in files]
-                luma = block_values(files, avis)
-                payload = [x.tobytes()[:n] for x, n in zip(luma, sizes[lo:hi], strict=True)]
+                seen = decode_files(files, avis)
+                payload = [x.tobytes()[:n] for (x, _), n in zip(seen, sizes[lo:hi], strict=True)]
                 part = b.slice(lo, hi - lo)
                 sha = [hashlib.sha256(f).hexdigest() for f in files]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(payload, pa.binary()), pa.array([len(f) for f in files], pa.int64()), pa.array(sha), pa.array([shots(x, a.rate) for x, a in zip(luma, avis, strict=True)], kind)], ["id", "n_bytes", "payload_bytes", "payload", "media_bytes", "media_sha256", "clips"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(payload, pa.binary()), pa.array([len(f) for f in files], pa.int64()), pa.array(sha), pa.array([shots(x, h, a.rate) for (x, h), a in zip(seen, avis, strict=True)], kind)], ["id", "n_bytes", "payload_bytes", "payload", "media_bytes", "media_sha256", "clips"])
                 lo = hi
 
     return df.select("id", "n_bytes", "payload_bytes", "media").mapInArrow(run, f"id long, n_bytes long, payload_bytes long, payload binary, media_bytes long, media_sha256 string, clips array<struct<{clip.replace(' ', ':').replace(',:', ',')}>>")

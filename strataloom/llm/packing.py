@@ -2,15 +2,16 @@
 
 Documents become token ids (plus id 0), longer ones are cut from the end into pieces of
 `capacity` so that only their first piece may be shorter, and the pieces are spread over
-regions of bounded size by a salted hash. In each region several islands evolve packings.
+regions of bounded size by a hash of their row number (repeated rows spread, too). In each region several islands evolve packings.
 Crossover injects whole well-filled bins of one parent into the other, removes the bins
 that now hold duplicates and best-fits the displaced pieces; mutation empties the least
 filled bins. After each round the elite of an island migrates to the next one on the ring
 (by a shuffle on region and island). A region stops as soon as it meets its lower bound.
 
 Null and empty texts are one token (id 0). Repeated rows are packed once each. An empty
-table gives no rows. Ties are broken by size, id, piece and checksum, so that equal input
-gives equal output. Columns other than the id and the text stay behind.
+table gives no rows. Within a region ties are broken by size, id, piece and checksum; which
+region a piece falls into follows the partitions of the input. Texts of any length are encoded
+whole. Columns other than the id and the text stay behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def _regions(pieces: DataFrame, capacity: int, n_regions: int) -> DataFrame:
         blobs = [null.astype(np.int8)[order], doc[order], a["piece"].astype(np.int64)[order], a["start"].astype(np.int64)[order], a["length"].astype(np.int64)[order], a["ids_crc32"].astype(np.int64)[order]]
         yield pa.RecordBatch.from_arrays([pa.array([t.column("region")[0].as_py()], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], ["region", "none", "doc", "piece", "start", "length", "crc"])
 
-    keyed = pieces.withColumn("region", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_regions)))
+    keyed = pieces.withColumn("region", F.pmod(F.xxhash64("row"), F.lit(n_regions)))
     return by_group(keyed, ["region"], [], gather, "region long, none binary, doc binary, piece binary, start binary, length binary, crc binary", min(n_regions, 4 * partitions(pieces.sparkSession)))
 
 
@@ -198,7 +199,7 @@ def _round(state: DataFrame, capacity: int, number: int) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
     """pieces (PIECES) with sequence_id long and offset long."""
-    pieces = save_stage(pieces, "pieces")
+    pieces = save_stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")  # fixed, as the table is written once
     n_regions = max(1, -(-pieces.count() // REGION))
     regions = save_stage(_regions(pieces, capacity, n_regions), "regions")
     n = min(max(1, n_regions * islands), 4 * partitions(pieces.sparkSession))

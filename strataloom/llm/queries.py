@@ -27,7 +27,7 @@ def op3_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -65,7 +65,7 @@ def op10_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 

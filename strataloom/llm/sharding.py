@@ -60,7 +60,7 @@ def two_pass_shuffle(df: DataFrame, key: str, size: Column, spread: Column, shar
     n = partitions(df.sparkSession)
     buckets = rows.repartitionByRange(n, "_shuffle_bucket").groupBy("_shuffle_bucket").agg(F.sort_array(F.collect_list(record)).alias("rows"))
     mixed = buckets.sortWithinPartitions("_shuffle_bucket").select("_shuffle_bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    dealt = mixed.join(checked(counts, 24), "_shuffle_bucket").select("_shuffle_at", F.posexplode("rows").alias("_shuffle_pos", "_shuffle_row"))
+    dealt = mixed.join(checked(counts), "_shuffle_bucket").select("_shuffle_at", F.posexplode("rows").alias("_shuffle_pos", "_shuffle_row"))
     return dealt.select("_shuffle_row.r.*", F.col("_shuffle_row.s").alias("shard"), F.col("_shuffle_row.g").alias("grown_shard"), (F.col("_shuffle_at") + F.col("_shuffle_pos")).cast("long").alias("slot"))
 
 

@@ -1,14 +1,23 @@
-"""Vectorised word and character hashing over a batch of texts, without a Python object per word."""
+"""Vectorised word and character hashing over texts in slices of bounded size, without a Python object per word.
+
+A word is a run of letters and digits, lower-cased; a run longer than LONGEST characters counts
+as several words of that length and a rest. So every text can be cut into slices that hold whole
+words, and no kernel call ever sees more than about SLICE characters, whatever a text's length.
+"""
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 from .common import words as mix
 
+#: Characters of a kernel call, about; and the longest word.
+SLICE, LONGEST = 1 << 17, 1 << 16
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 
@@ -41,6 +50,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return held[0], held[1]
 
 
+def fold(text: str) -> str:
+    """Lower case, letter by letter: the same wherever a text is cut, and of the same length."""
+    if not text.isascii():
+        text = text.replace("İ", "i").replace("Σ", "σ")
+    return text.lower()
+
+
 @dataclass
 class Words:
     hash: np.ndarray  #: 64 bits for each word
@@ -51,36 +67,79 @@ class Words:
     prefix: list[np.ndarray]  #: hashes of the first characters, for each length asked for
 
 
-def code_points(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts joined by NUL (a NUL inside becomes a space), and n + 1 offsets."""
-    clean = [("" if t is None else t).replace("\0", " ") for t in texts]
-    if lower:
-        clean = [t.lower() for t in clean]
+def code_points(texts: list[str | None], zeros: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the folded texts joined by NUL (a NUL inside becomes a space), and n + 1 offsets; with `zeros`, 1 to 9 become 0."""
+    clean = [fold("" if t is None else t).replace("\0", " ") for t in texts]
     u = np.frombuffer(("\0".join(clean) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if zeros:
+        u = np.where((u > 48) & (u < 58), np.uint32(48), u)
     first = np.zeros(len(clean) + 1, np.int64)
     first[1:] = np.flatnonzero(u == 0) + 1 if clean else []
     return u, first
 
 
-def chunks(texts: list[str | None], most: int = 2_000_000):
-    """Slices of a batch that hold about `most` characters each, so that one kernel call has bounded memory."""
+def cuts(text: str, most: int = 0) -> list[int]:
+    """0, the places where slices of at most `most` (SLICE) characters begin, and the length; every slice holds whole words.
+
+    Inside a run of letters and digits, places are whole multiples of LONGEST from its beginning.
+    """
+    most = max(most or SLICE, LONGEST)
+    out, at = [0], 0
+    while len(text) - at > most:
+        stop = at + most
+        low = max(at, stop - LONGEST)
+        p = stop
+        while p > low and text[p - 1].isalnum():
+            p -= 1
+        if p == low:  # a long run: where did it begin, counted from this slice's start?
+            while p > at and text[p - 1].isalnum():
+                p -= 1
+            p += (stop - p) // LONGEST * LONGEST
+        at = p
+        out.append(at)
+    return [*out, len(text)]
+
+
+def portions(texts: list[str | None], most: int = 0) -> Iterator[tuple[int, int, list[str | None] | None]]:
+    """(lo, hi, texts[lo:hi]) for runs of texts that a kernel call can take whole, (i, i + 1, None) for a text that has to be cut."""
+    most = max(most or SLICE, LONGEST)
     lo, held = 0, 0
     for i, t in enumerate(texts):
         n = len(t or "") + 1
         if held and held + n > most:
-            yield lo, i
+            yield lo, i, texts[lo:i]
             lo, held = i, 0
-        held += n
+        if n > most + 1:
+            yield i, i + 1, None
+            lo = i + 1
+        else:
+            held += n
     if lo < len(texts):
-        yield lo, len(texts)
+        yield lo, len(texts), texts[lo:]
+
 
+def slices(text: str) -> Iterator[str]:
+    """The text in slices of whole words."""
+    at = cuts(text)
+    for lo, hi in zip(at, at[1:], strict=False):
+        yield text[lo:hi]
 
-def split_words(texts: list[str | None], prefix: tuple[int, ...] = ()) -> Words:
-    """Lower-cased words (runs of letters and digits) of each text, hashed by a polynomial in 64 bits and mixed."""
-    u, first = code_points(texts)
+
+def _split_long(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = -(-(end - start) // LONGEST)
+    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(start, parts) + nth * LONGEST
+    return begin, np.minimum(begin + LONGEST, np.repeat(end, parts))
+
+
+def split_words(texts: list[str | None], prefix: tuple[int, ...] = (), zeros: bool = False) -> Words:
+    """The words of each text, hashed by a polynomial in 64 bits and mixed."""
+    u, first = code_points(texts, zeros)
     inside = class_table("word")[u]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(start) and int((end - start).max()) > LONGEST:
+        start, end = _split_long(start, end)
     up, down = _powers(len(u) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(u) + 1, np.uint64)
@@ -91,18 +150,35 @@ def split_words(texts: list[str | None], prefix: tuple[int, ...] = ()) -> Words:
     return Words(h, start, end, np.repeat(np.arange(len(texts)), np.diff(offsets)), offsets, short)
 
 
-def shingle(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word runs of each text, and n + 1 offsets; a text with 1 to n - 1 words gives one run of them all."""
-    counts = np.diff(w.first)
+    counts = np.diff(first)
     size = np.where(counts >= n, counts - n + 1, (counts > 0).astype(np.int64))
     out = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(size, out=out[1:])
-    at = np.repeat(w.first[:-1] - out[:-1], size) + np.arange(out[-1])
+    at = np.repeat(first[:-1] - out[:-1], size) + np.arange(out[-1])
     left = np.repeat(np.minimum(counts, n), size)
     with np.errstate(over="ignore"):
         h = np.zeros(len(at), np.uint64)
         for k in range(n):
             here = k < left
-            step = w.hash[np.where(here, at + k, 0)] if len(w.hash) else np.zeros(len(at), np.uint64)
+            step = word[np.where(here, at + k, 0)] if len(word) else np.zeros(len(at), np.uint64)
             h = np.where(here, (h + step) * _P + np.uint64(k + 1), h)
     return mix(h), out
+
+
+def shingle_set(text: str, n: int) -> np.ndarray:
+    """The sorted distinct run hashes of one text of any length, slice by slice."""
+    held: list[np.ndarray] = []
+    carry = np.zeros(0, np.uint64)
+    for part in slices(text):
+        word = np.concatenate([carry, split_words([part]).hash])
+        if len(word) >= n:
+            held.append(np.unique(shingle(word, np.array([0, len(word)]), n)[0]))
+            word = word[len(word) - n + 1 :]
+        carry = word
+        if sum(map(len, held[1:])) > len(held[0]) if held else False:
+            held = [np.unique(np.concatenate(held))]
+    if not held:
+        held = [shingle(carry, np.array([0, len(carry)]), n)[0]]
+    return np.unique(np.concatenate(held))

@@ -12,7 +12,11 @@ Scores depend on the whole text and nothing else. Null, empty and wordless texts
 padding and get the score of an empty text. Repeated rows get equal scores. A label that is
 null, or whose document is missing, teaches nothing; several labels of one document count as
 toxic if one is. Without both classes in the sample every score is the share of toxic labels
-(below one half if there are no labels). Texts pass in slices of bounded size.
+(below one half if there are no labels). Texts pass in slices of bounded size whose maxima and
+counts add up, so a text's length costs no memory; a run of more than 65536 letters and digits
+counts as several words. A language gets a threshold of its own if the held part has OWN toxic
+texts of it, else that of all languages together. Other columns do not matter, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,21 +24,26 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import words as mix
-from .textkernel import chunks, split_words
+from .textkernel import portions, slices, split_words
 
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIXES = 1 << 18, 8, (1, 2, 3), 8, (3, 4, 5)
 #: Hashed rows of a word, and the component that the log-odds of each start in.
 ROWS, COMPONENT = 2 + len(PREFIXES), (0, 0, 1, 2, 3)
 #: The training sample holds so many rows of either class at most, by the hash of the id.
 SAMPLE = {1: 1000, 0: 2000}
+#: Bytes of a text that may teach (others are only scored), and of all of the sample.
+TEACH, TEACH_ALL = 1 << 16, 24 << 20
 LANGUAGES = ("en", "fr", "de", "es", "other")
+#: Toxic texts of a language in the held part from which on it has a threshold of its own.
+OWN = 10
 
 #: Function words that tell languages apart.
 FUNCTION_WORDS = {
@@ -46,18 +55,22 @@ FUNCTION_WORDS = {
 
 
 def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket numbers (words, ROWS) above 0, n + 1 offsets, and each text's language number."""
+    """Bucket numbers (words, ROWS) above 0, n + 1 offsets, and each text's count of function words by language."""
     w = split_words(texts, prefix=PREFIXES)
     room = np.uint64(BUCKETS - 1)
     with np.errstate(over="ignore"):
         ids = np.stack([h % room for h in (w.hash, mix(w.hash + np.uint64(1)), *w.prefix)], 1).astype(np.int32) + 1
     lookup = split_words([FUNCTION_WORDS[k] for k in LANGUAGES[:-1]])
-    votes = np.zeros((len(texts), len(LANGUAGES)))
+    votes = np.zeros((len(texts), len(LANGUAGES) - 1), np.int64)
     for k in range(len(LANGUAGES) - 1):
         own = lookup.hash[lookup.first[k] : lookup.first[k + 1]]
-        np.add.at(votes[:, k], w.doc, np.isin(w.hash, own))
-    votes[:, -1] = 0.5
-    return ids, w.first, votes.argmax(1).astype(np.int32)
+        votes[:, k] = np.bincount(w.doc[np.isin(w.hash, own)], minlength=len(texts))
+    return ids, w.first, votes
+
+
+def language(votes: np.ndarray) -> np.ndarray:
+    """The language number with most function words; the last one without any."""
+    return np.where(votes.any(1), votes.argmax(1), votes.shape[1]).astype(np.int32)
 
 
 @dataclass
@@ -94,12 +107,43 @@ class Network:
         top, _ = self.pooled(ids, first)
         return np.maximum(top, 0) @ self.out + self.out_bias
 
+    def windows(self, ids: np.ndarray) -> np.ndarray:
+        """Maxima by filter over the windows that begin early enough for the widest filter."""
+        m = len(ids) - max(WIDTHS) + 1
+        x = self.table[ids[:, 0]]
+        for k in range(1, ROWS):
+            x += self.table[ids[:, k]]
+        tops = []
+        for w, f in zip(WIDTHS, self.filters, strict=True):
+            c = x[:m] @ f[0]
+            for j in range(1, w):
+                c += x[j : m + j] @ f[j]
+            tops.append(c.max(axis=0))
+        return np.concatenate(tops)
+
+    def long_logit(self, text: str) -> tuple[float, int]:
+        """Logit and language of one text of any length, slice by slice: maxima and counts go on from one to the next."""
+        pad = np.zeros((max(WIDTHS) - 1, ROWS), np.int32)
+        carry, votes, top = pad, 0, np.full(len(self.bias), -np.inf, np.float32)
+        for part in chain(slices(text), [None]):
+            ids, own = pad, 0
+            if part is not None:
+                ids, _, own = word_ids([part])
+            feed = np.concatenate([carry, ids])
+            if len(feed) >= max(WIDTHS):
+                top = np.maximum(top, self.windows(feed))
+            carry, votes = feed[len(feed) - len(pad) :], votes + own
+        return float(np.maximum(top + self.bias, 0) @ self.out + self.out_bias), int(language(votes)[0])
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out = [np.zeros(0)]
-        for lo, hi in chunks(texts, 1_000_000):
-            ids, first, lang = word_ids(texts[lo:hi])
-            out.append(1 / (1 + np.exp(-np.clip(self.logits(ids, first) - self.shift[lang], -30, 30))))
-        return np.concatenate(out)
+        logit, lang = np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+        for lo, hi, whole in portions(texts):
+            if whole is None:
+                logit[lo], lang[lo] = self.long_logit(texts[lo])
+            else:
+                ids, first, votes = word_ids(whole)
+                logit[lo:hi], lang[lo:hi] = self.logits(ids, first), language(votes)
+        return 1 / (1 + np.exp(-np.clip(logit - self.shift[lang], -30, 30)))
 
 
 def _start(docs: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Network:
@@ -214,7 +258,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, lang: np.ndarray, epochs: int =
         common = _threshold(logit, y)
     for k in range(len(LANGUAGES)):
         own = held[lang[held] == k]
-        cut = _threshold(logit[own], y[own]) if y[own].sum() >= 10 else None
+        cut = _threshold(logit[own], y[own]) if y[own].sum() >= OWN else None
         net.shift[k] = common if cut is None else cut
     return net
 
@@ -232,15 +276,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            for lo, hi in chunks(texts, 1_000_000):
-                ids, first, lang = word_ids(texts[lo:hi])
+            for lo, hi, _ in portions(texts):
+                ids, first, votes = word_ids(texts[lo:hi])  # no text is longer than TEACH
+                lang = language(votes)
                 bag = [ids[p:q].tobytes() for p, q in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(bag, pa.binary()), pa.array(lang)], ["doc_id", "toxic", "ids", "lang"])
 
     most_all = sample or SAMPLE
     few = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most) for label, most in most_all.items()]
     chosen = F.broadcast(few[0].union(few[1]))  # as many rows as the sample at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text").limit(2 * sum(most_all.values()))
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TEACH).join(chosen, "doc_id").select("doc_id", "toxic", "text").limit(2 * sum(most_all.values()))
+    held = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("held", held).where(F.col("held") <= TEACH_ALL).drop("held")  # at most 2 * SAMPLE rows reach this window
     found = rows.mapInArrow(bags, "doc_id long, toxic int, ids binary, lang int")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,6 +109,6 @@ def judge_pages(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     seen = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_key", plain_host(F.col("host")))
-    out = seen.join(checked(rep.withColumnRenamed("host", "_key"), 200), "_key", "left")
+    out = seen.join(checked(rep.withColumnRenamed("host", "_key")), "_key", "left")
     own = F.when(F.col("lower") >= least, F.lit("allow")).otherwise(F.lit("block"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "n_labelled", F.round("mean", 6).alias("good_rate"), F.round("lower", 6).alias("good_lower"))

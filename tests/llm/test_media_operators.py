@@ -208,9 +208,9 @@ def test_avi_without_an_index_and_shots():
     avi = mjpeg.parse_avi(data)
     bare = mjpeg.parse_avi(data[: data.index(b"idx1")])
     assert avi.frames == bare.frames and len(avi.frames) == 9 and avi.rate == 25 and (avi.width, avi.height) == (512, 256)
-    luma = mjpeg.block_values([data], [avi])[0]
+    luma, hist = mjpeg.decode_files([data], [avi])[0]
     assert luma.tobytes() == a * 4 + b * 5
-    assert [(c["first"], c["last"], c["end_ms"]) for c in mjpeg.shots(luma, avi.rate)] == [(0, 3, 160.0), (4, 8, 360.0)]
+    assert [(c["first"], c["last"], c["end_ms"]) for c in mjpeg.shots(luma, hist, avi.rate)] == [(0, 3, 160.0), (4, 8, 360.0)]
     with pytest.raises(ValueError):
         mjpeg.parse_avi(b"RIFFxxxxWAVE")
 

@@ -177,10 +177,10 @@ def test_line_search_recall_does_not_depend_on_size():
             for i in rng.sample(range(words), changed):
                 x[i] = word()
         lines = [" ".join(x) for x in a + b]
-        line, key = line_dedup.band_keys(textkernel.split_words(lines))
+        *_, line, key = line_dedup.read_lines(lines)
         keys = [set(key[line == i].tolist()) for i in range(800)]
         assert np.mean([bool(keys[i] & keys[400 + i]) for i in range(400)]) >= least
-        alone = line_dedup.band_keys(textkernel.split_words(lines[7:8]))[1]
+        alone = line_dedup.read_lines(lines[7:8])[-1]
         assert set(alone.tolist()) == keys[7]
 
 
@@ -224,18 +224,6 @@ def test_edit_similarity_equals_the_plain_one():
         assert g == pytest.approx(e) or (g < 0.8 and e < 0.8)
 
 
-def test_simhash_counts_majorities():
-    rng = np.random.default_rng(2)
-    feature = rng.integers(0, 2**63, 500).astype(np.uint64)
-    first = np.array([0, 1, 1, 70, 500])
-    got = line_dedup.simhash(feature, first, 4)
-    salt = line_dedup.mix(np.arange(1, 5, dtype=np.uint64))
-    for i, (lo, hi) in enumerate(zip(first, first[1:])):
-        h = line_dedup.mix(feature[lo:hi, None] + salt)
-        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0) if hi > lo else np.zeros(256)
-        assert (np.unpackbits(got[i].view(np.uint8), bitorder="little") == (2 * bits > hi - lo)).all()
-
-
 def _mixed(spark, n=400):
     rng = random.Random(11)
     words = {"en": "the of and to in that for".split(), "de": "der die und das den von zu".split()}
