@@ -5,16 +5,20 @@
 2. Two feature sets name a line for the search: its longer words, and all words and word pairs
    where it has few longer ones (between the two, a line has both). Each set gives BANDS MinHash
    bands of ROWS rows, chosen once for RECALL at the Jaccard similarity of two lines with a fifth
-   of their words replaced; the number of lines plays no part. Lines are shuffled on the bands;
-   members of a band are linked to its smallest one.
-3. Linked lines form candidate clusters, dealt out in blocks of bounded size. In a cluster, all
-   pairs that share a band and are not connected yet are verified by edit similarity.
+   of their words replaced; the number of lines plays no part. Band keys travel as sorted blocks
+   of bytes, one for each range of keys; members of a band are linked to its smallest one.
+3. Linked lines form candidate clusters. One that fits a block is verified as a whole; the lines
+   of a larger one are dealt out by the bands they share, so that no line is copied more often
+   than it has bands (and a band that exceeds a block in pairs of blocks). All pairs that share a
+   band and are not connected yet are verified by edit similarity.
 4. Of each connected group the first occurrence stays (by document, text, then position).
 
 Lines without letters or digits are never removed. A null text stays null; an empty one
 stays empty. A null id counts as a number beyond 2**62 that its text gives. Rows that
-repeat both id and text are one document, cleaned alike. Texts are cleaned whole; other
-columns pass through.
+repeat both id and text are one document, cleaned alike. Texts are cleaned whole, in slices of
+bounded size; a run of more than 65536 letters and digits counts as several words. Other columns
+pass through, whatever their names, save that names with the prefix _line_ are reserved. An
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,14 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, checked, components, partitions, save_stage
+from .common import Scratch, by_group, checked, components, groups, partitions, save_stage
 from .common import words as mix
 from .ngram_join import _seeds, choose_bands, document_keys, keyed_texts
-from .textkernel import Words, chunks, split_words
+from .textkernel import SLICE, fold, portions, slices, split_words
 
 SIMILARITY = 0.8
 #: Letters of a longer word; function words are mostly shorter.
@@ -41,8 +44,14 @@ FEW, MANY = 4, 8
 #: Share of pairs with a fifth of their words replaced (Jaccard similarity 0.8 / 1.2) that must share a band, and the rows of one.
 RECALL = 0.95
 BANDS, ROWS = choose_bands(SIMILARITY / (2 - SIMILARITY), RECALL, 5)
-#: Lines in a block of a cluster, and local members of a band that are linked before the shuffle.
+#: Lines that a task verifies together, and local members of a band that are linked before the shuffle.
 BLOCK, CROWD = 1024, 8
+#: Band keys that a task holds before it sends them, and links or lines in a batch of rows.
+HELD, LINKS = 1 << 19, 1 << 16
+#: Lines and characters that are verified in one go, and buckets of the profile that rules pairs out.
+LINES, CHARS, PROFILE = 8192, 1 << 21, 512
+#: Letter masks of 64 bits that side by side comparison holds.
+MASKS = 1 << 20
 
 _DIGITS = re.compile("[1-9]")
 
@@ -52,19 +61,16 @@ _WORD = re.compile(r"[^\W_]+")
 
 def normal_line(line: str) -> str:
     """Lower-cased words of letters and digits (as 0), one space between them; empty without any."""
-    return " ".join(_WORD.findall(_DIGITS.sub("0", line.lower())))
+    return " ".join(_WORD.findall(_DIGITS.sub("0", fold(line))))
 
 
-def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
-    """1 - Levenshtein distance / longer length, bit-parallel over the shorter string; 0 as soon as `least` is out of reach."""
-    if a == b:
-        return 1.0
+def _trimmed(a: str, b: str, least: float) -> tuple[str, str, int]:
+    """The shorter and the longer string without what they begin and end with alike, and the edits that `least` allows."""
     if len(a) > len(b):
         a, b = b, a
-    longest = len(b)
-    most = int(longest * (1 - least) + 1e-9)
-    if longest - len(a) > most:
-        return 0.0
+    most = int(len(b) * (1 - least) + 1e-9)
+    if len(b) - len(a) > most:
+        return a, b, most
     same = 0
     while same < len(a) and a[same : same + 64] == b[same : same + 64]:
         same += 64
@@ -74,10 +80,12 @@ def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
     a, b, same = a[same:], b[same:], 0
     while same < len(a) and a[-1 - same] == b[-1 - same]:
         same += 1
-    a, b = a[: len(a) - same], b[: len(b) - same]
+    return a[: len(a) - same], b[: len(b) - same], most
+
+
+def _distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance of a (not empty, no longer) and b, bit-parallel over a; something above `most` as soon as that is out of reach."""
     n, m = len(b), len(a)
-    if not m:
-        return 1 - n / longest
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
@@ -93,51 +101,131 @@ def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
         elif less & top:
             d -= 1
         if d - (n - k - 1) > most:
-            return 0.0
+            return most + 1
         more = more << 1 & full | 1
         less = less << 1 & full
         up = less | (full & ~(diag | more))
         down = more & diag
-    return 1 - d / longest
-
-
-def simhash(feature: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
-    """(lines, width) words of SimHash: bit-sliced counters add up to 63 features of a line side by side."""
-    n = len(first) - 1
-    size = np.diff(first)
-    seg = np.maximum(1, -(-size // 63))
-    line = np.repeat(np.arange(n), seg)
-    nth = np.arange(len(line)) - np.repeat(np.cumsum(seg) - seg, seg)
-    start = first[:-1][line] + 63 * nth
-    length = np.minimum(63, np.maximum(0, first[1:][line] - start))
-    order = np.argsort(-length, kind="stable")
-    s, left = start[order], length[order]
-    planes = np.zeros((6, len(line), width), np.uint64)
-    salt = mix(np.arange(1, width + 1, dtype=np.uint64))
-    for t in range(int(left.max(initial=0))):
-        k = int(np.searchsorted(-left, -t, side="left"))  # those with more than t features come first
-        with np.errstate(over="ignore"):
-            carry = mix(feature[s[:k] + t][:, None] + salt)
-        for p in range((t + 1).bit_length()):
-            old = planes[p, :k].copy()
-            planes[p, :k] ^= carry
-            carry &= old
-    total = np.zeros((len(line), 64 * width), np.int16)
-    for p in range(6):
-        total += np.unpackbits(planes[p].view(np.uint8), axis=1, bitorder="little").astype(np.int16) << p
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    total = total[back]
-    if len(line) > n:  # lines of several segments are summed, the others taken as they are
-        begin, many = np.cumsum(seg) - seg, seg > 1
-        long = total[many[line]].astype(np.int32)
-        total = total[begin].astype(np.int32)
-        total[many] = np.add.reduceat(long, np.cumsum(seg[many]) - seg[many], axis=0)
-    return np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view(np.uint64)
-
-
-def minhash_bands(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys of the lines' sets of features; every line must have one."""
+    return d
+
+
+def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
+    """1 - Levenshtein distance / longer length; 0 where it is below `least`."""
+    longest = max(len(a), len(b))
+    a, b, most = _trimmed(a, b, least)
+    d = len(b) if not a else most + 1 if len(b) - len(a) > most else _distance(a, b, most)
+    return 0.0 if d > most else 1 - d / longest if longest else 1.0
+
+
+def _apart(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each pair is further apart than `most` edits: bit-parallel columns, all pairs side by side.
+
+    a: the shorter strings (none empty), of like lengths.
+    """
+    m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    by = np.argsort(-n, kind="stable")
+    a, b, m, n, most = [a[i] for i in by], [b[i] for i in by], m[by], n[by], most[by]
+    width, count = int(-(-m.max() // 64)), len(a)
+    flat = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = np.zeros(int(flat.max()) + 1, np.int32)
+    table[flat] = 1
+    letters = int(table.sum())
+    if count > 1 and count * letters * width > MASKS:
+        half = count // 2
+        parts = [_apart(a[p:q], b[p:q], most[p:q]) for p, q in ((0, half), (half, count))]
+        out = np.zeros(count, bool)
+        out[by] = np.concatenate(parts)
+        return out
+    table = np.cumsum(table, dtype=np.int32) - 1
+    code = table[flat]
+    of = np.repeat(np.arange(count), m)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+    eq = np.zeros((count, letters, width), np.uint64)
+    for bit in range(64):  # at most one letter of a pair and word stands at each bit
+        here = np.flatnonzero((at & 63) == bit)
+        eq[of[here], code[here], at[here] >> 6] |= np.uint64(1 << bit)
+    text = np.zeros((int(n[0]), count), np.int32)
+    of = np.repeat(np.arange(count), n)
+    text[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of] = code[int(m.sum()) :]
+    one, high = np.uint64(1), np.uint64(63)
+    up, down = np.full((count, width), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((count, width), np.uint64)
+    top, final = ((m - 1) & 63).astype(np.uint64), (m - 1) >> 6
+    far, d, rows = np.zeros(count, bool), m.copy(), np.arange(count)
+    for t in range(int(n[0])):
+        k = int(np.searchsorted(-n, -t, side="left"))
+        e, p, q = eq[rows[:k], text[t, :k]], up[:k], down[:k]
+        total = (e & p) + p
+        if width > 1:
+            carry = (total < p)[:, :-1]
+            while True:  # a carry that runs on through a word of ones is rare
+                total[:, 1:] += carry
+                carry = carry & (total[:, 1:] == 0)
+                if not carry[:, :-1].any():
+                    break
+                carry = np.concatenate([np.zeros((k, 1), bool), carry[:, :-1]], 1)
+        diag = (total ^ p) | e | q
+        more, less = q | ~(diag | p), p & diag
+        d[:k] += ((more[rows[:k], final[:k]] >> top[:k]) & one).astype(np.int64) - ((less[rows[:k], final[:k]] >> top[:k]) & one).astype(np.int64)
+        plus, minus = more << one, less << one
+        plus[:, 0] |= one
+        if width > 1:
+            plus[:, 1:] |= more[:, :-1] >> high
+            minus[:, 1:] |= less[:, :-1] >> high
+        up[:k], down[:k] = minus | ~(diag | plus), plus & diag
+        if t & 31 == 31:
+            far[:k] |= d[:k] - (n[:k] - t - 1) > most[:k]
+            if far[:k].all():
+                break
+    out = np.zeros(count, bool)
+    out[by] = far | (d > most)
+    return out
+
+
+def _replaced(a: str, b: str) -> int:
+    """Edits that turn one line into the other by inserting one run of words and replacing others at their places: no fewer than the distance."""
+    p, q = a.split(" "), b.split(" ")
+    if len(p) > len(q):
+        p, q = q, p
+    longer = len(q) - len(p)
+    cost = tail = sum(0 if x == y else max(len(x), len(y)) for x, y in zip(p, q[longer:], strict=True)) + sum(len(x) + 1 for x in q[:longer])
+    if not longer:
+        return cost
+    for i, x in enumerate(p):  # the run moves one word on: word i now meets its own place
+        y, z = q[i], q[i + longer]
+        tail += (0 if x == y else max(len(x), len(y))) - (0 if x == z else max(len(x), len(z))) + len(z) - len(y)
+        cost = min(cost, tail)
+    return cost
+
+
+def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Whether the edit similarity of each pair reaches `least`, as edit_similarity gives it; the distance itself is found only where bounds don't decide."""
+    out = np.zeros(len(a), bool)
+    by_width: dict[int, list[tuple[int, str, str, int]]] = {}
+    for i, (one, two) in enumerate(zip(a, b, strict=True)):
+        x, y, most = _trimmed(one, two, least)
+        if len(y) <= most:
+            out[i] = True
+        elif not x or len(y) - len(x) > most:
+            continue
+        elif _replaced(one, two) <= most:
+            out[i] = True
+        else:
+            by_width.setdefault(1 << (-(-len(x) // 64) - 1).bit_length(), []).append((i, x, y, most))
+    for width, held in by_width.items():
+        step = max(1, min(2048, (1 << 22) // (width * 64)))
+        for lo in range(0, len(held), step):
+            some = held[lo : lo + step]
+            if len(some) > 64:
+                apart = _apart([h[1] for h in some], [h[2] for h in some], np.array([h[3] for h in some]))
+                out[[h[0] for h in some]] = ~apart
+            else:
+                for i, x, y, most in some:
+                    out[i] = _distance(x, y, most) <= most
+    return out
+
+
+def minhash_rows(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(BANDS * ROWS, lines) minima over the lines' sets of features; every line must have one."""
     a, b = _seeds(BANDS * ROWS)
     x = (feature >> np.uint64(32)).astype(np.uint32) ^ feature.astype(np.uint32)
     low = np.empty((BANDS * ROWS, len(first) - 1), np.uint32)
@@ -148,6 +236,12 @@ def minhash_bands(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
             y += b[k : k + step, None]
             y ^= y >> np.uint32(15)
             low[k : k + step] = np.minimum.reduceat(y, first[:-1], axis=1)
+    return low
+
+
+def minhash_bands(low: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) keys of minima."""
+    with np.errstate(over="ignore"):
         m = low.reshape(BANDS, ROWS, -1).astype(np.uint64)
         h = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], m.shape[2], 1)
         for j in range(ROWS):
@@ -155,53 +249,111 @@ def minhash_bands(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
     return h.T.view(np.int64)
 
 
-def band_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """line and key: BANDS keys of each line of words by its longer words, by all words and pairs, or by both."""
-    n = len(w.first) - 1
-    size = np.diff(w.first)
-    long = w.end - w.start >= LONG
-    held = np.bincount(w.doc[long], minlength=n)
-    line, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    few = np.repeat(held < MANY, size)
-    pair = np.zeros(len(w.hash), np.uint64)
-    last = np.zeros(len(w.hash), bool)
-    if len(w.hash):
+def _pairs(word: np.ndarray) -> np.ndarray:
+    """A feature for each word and the one after it."""
+    with np.errstate(over="ignore"):
+        return mix(word[:-1] * np.uint64(7) + word[1:])
+
+
+def _places(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each word and its place, whose sums name a line."""
+    with np.errstate(over="ignore"):
+        place = mix(at.astype(np.uint64) + np.uint64(1))
+        return mix(word * np.uint64(3) + place), mix(word ^ (place * np.uint64(5)))
+
+
+def _long_line(line: str, bands: bool) -> tuple[np.ndarray, ...]:
+    """read_lines of one line of any length, slice by slice."""
+    size = held = 0
+    lo = hi = np.uint64(0)
+    low_long = low_all = np.full((BANDS * ROWS, 1), 0xFFFFFFFF, np.uint32)
+    last = np.zeros(0, np.uint64)
+    for part in slices(line):
+        w = split_words([part], zeros=True)
+        if not len(w.hash):
+            continue
         with np.errstate(over="ignore"):
-            pair[:-1] = mix(w.hash[:-1] * np.uint64(7) + w.hash[1:])
-        last[w.first[1:][size > 0] - 1] = True
-    take = long & np.repeat(held >= FEW, size)
-    for feature, owner in (
-        (w.hash[take], w.doc[take]),
-        (np.concatenate([w.hash[few], pair[few & ~last]]), np.concatenate([w.doc[few], w.doc[few & ~last]])),
-    ):
-        if len(feature):
-            by = np.argsort(owner, kind="stable")
-            own, start = np.unique(owner[by], return_index=True)
-            line.append(np.repeat(own, BANDS))
-            key.append(minhash_bands(feature[by], np.append(start, len(by))).ravel())
-    return np.concatenate(line), np.concatenate(key)
-
-
-def line_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
-    """text index, line number, lo, hi, whether the text has it here first, and index among all lines, of every line that has a word; all lines' words."""
-    clean = [_DIGITS.sub("0", t or "").replace("\0", " ") for t in texts]
-    lines = "\n".join(clean).split("\n")
-    per = np.array([t.count("\n") + 1 for t in clean])
-    w = split_words(lines)
-    size = np.diff(w.first)
+            one, two = (x.sum(dtype=np.uint64) for x in _places(w.hash, size + np.arange(len(w.hash))))
+            lo, hi = lo + one, hi + two
+        size += len(w.hash)
+        if bands:
+            long = w.hash[w.end - w.start >= LONG]
+            held += len(long)
+            if len(long):
+                low_long = np.minimum(low_long, minhash_rows(long, np.array([0, len(long)])))
+            if held < MANY:
+                every = np.concatenate([w.hash, _pairs(np.concatenate([last, w.hash]))])
+                low_all = np.minimum(low_all, minhash_rows(every, np.array([0, len(every)])))
+            last = w.hash[-1:]
+    keys = [minhash_bands(x).ravel() for x, on in ((low_long, held >= FEW), (low_all, held < MANY and size)) if on and bands]
+    key = np.concatenate([np.zeros(0, np.int64), *keys])
+    return np.array([size]), np.array([lo], np.uint64).view(np.int64), np.array([hi], np.uint64).view(np.int64), np.zeros(len(key), np.int64), key
+
+
+def read_lines(lines: list[str], bands: bool = True) -> tuple[np.ndarray, ...]:
+    """Words, lo and hi of each line, then line and key: BANDS keys by its longer words, by all words and pairs, or by both."""
+    if len(lines) == 1 and len(lines[0]) > SLICE:
+        return _long_line(lines[0], bands)
+    w = split_words(lines, zeros=True)
+    n, size = len(lines), np.diff(w.first)
+    one, two = _places(w.hash, np.arange(len(w.hash)) - np.repeat(w.first[:-1], size))
     with np.errstate(over="ignore"):
-        place = mix(np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1], size).astype(np.uint64) + np.uint64(1))
-        one, two = mix(w.hash * np.uint64(3) + place), mix(w.hash ^ (place * np.uint64(5)))
         one, two = (np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (one, two))
-        lo, hi = (x[w.first[1:]] - x[w.first[:-1]] for x in (one, two))  # sums by line, modulo 2**64
-    rows = np.flatnonzero(size > 0)
-    text = np.repeat(np.arange(len(texts)), per)
-    number = np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per)
-    text, number, lo, hi = text[rows], number[rows], lo[rows].view(np.int64), hi[rows].view(np.int64)
-    by = np.lexsort((number, hi, lo, text))
-    head = np.ones(len(by), bool)
-    head[by[1:]] = (lo[by[1:]] != lo[by[:-1]]) | (hi[by[1:]] != hi[by[:-1]]) | (text[by[1:]] != text[by[:-1]])
-    return text, number.astype(np.int32), lo, hi, head, rows, w
+        lo, hi = ((x[w.first[1:]] - x[w.first[:-1]]).view(np.int64) for x in (one, two))  # sums by line, modulo 2**64
+    line, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if bands and len(w.hash):
+        long = w.end - w.start >= LONG
+        held = np.bincount(w.doc[long], minlength=n)
+        few = np.repeat(held < MANY, size)
+        pair = np.append(_pairs(w.hash), np.uint64(0))
+        last = np.zeros(len(w.hash), bool)
+        last[w.first[1:][size > 0] - 1] = True
+        take = long & np.repeat(held >= FEW, size)
+        for feature, owner in (
+            (w.hash[take], w.doc[take]),
+            (np.concatenate([w.hash[few], pair[few & ~last]]), np.concatenate([w.doc[few], w.doc[few & ~last]])),
+        ):
+            if len(feature):
+                by = np.argsort(owner, kind="stable")
+                own, start = np.unique(owner[by], return_index=True)
+                line.append(np.repeat(own, BANDS))
+                key.append(minhash_bands(minhash_rows(feature[by], np.append(start, len(by)))).ravel())
+    return size, lo, hi, np.concatenate(line), np.concatenate(key)
+
+
+def _line_runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Text index, number and the lines themselves, in runs that a kernel call can take; a long line comes alone."""
+    for lo, hi, whole in portions(texts):
+        if whole is not None:
+            lines = "\n".join(t or "" for t in whole).split("\n")
+            per = np.array([(t or "").count("\n") + 1 for t in whole])
+            yield np.repeat(np.arange(lo, hi), per), np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per), lines
+            continue
+        held, size, number = [], 0, 0
+        at, text = 0, texts[lo]
+        while at <= len(text):
+            end = text.find("\n", at)
+            line = text[at : end if end >= 0 else len(text)]
+            if held and size + len(line) > SLICE:
+                yield np.full(len(held), lo), np.arange(number - len(held), number), held
+                held, size = [], 0
+            held.append(line)
+            size += len(line) + 1
+            number += 1
+            at = end + 1 if end >= 0 else len(text) + 1
+        yield np.full(len(held), lo), np.arange(number - len(held), number), held
+
+
+def line_table(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Text index, line number, lo, hi, and whether the text has it here first, of every line that has a word."""
+    for text, number, lines in _line_runs(texts):
+        size, lo, hi, *_ = read_lines(lines, bands=False)
+        rows = np.flatnonzero(size > 0)
+        text, number, lo, hi = text[rows], number[rows], lo[rows], hi[rows]
+        by = np.lexsort((number, hi, lo, text))
+        head = np.ones(len(by), bool)
+        head[by[1:]] = (lo[by[1:]] != lo[by[:-1]]) | (hi[by[1:]] != hi[by[:-1]]) | (text[by[1:]] != text[by[:-1]])
+        yield text, number.astype(np.int32), lo, hi, head
 
 
 def _runs(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,62 +368,74 @@ def _runs(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key, ident, np.repeat(least, size), np.repeat(size, size)
 
 
-def _edges(key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["key", "a", "b"])
+def _range(key: np.ndarray, parts: int) -> np.ndarray:
+    """The range of unsigned keys, 0 to parts - 1, that each key falls into."""
+    return ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
 
+def _blocks(kind: int, key: np.ndarray, rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each range of keys that has any: part, kind, and its rows (pairs of numbers) as bytes."""
+    part = _range(key, parts)
+    by = np.argsort(part, kind="stable")
+    part, rows = part[by], rows[by]
+    start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    ends = [*start[1:].tolist(), len(part)]
+    blobs = [rows[p:q].tobytes() for p, q in zip(start.tolist(), ends, strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(part[start], pa.int32()), pa.array([kind] * len(start), pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "rows"])
 
-def _band_links(texts: DataFrame, parts: int) -> DataFrame:
+
+def _band_links(texts: DataFrame, parts: int, ranges: int) -> DataFrame:
     """a, b: links of lines (by lo) to the smallest member of each band that they share with another."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        names, keys, owners, held, lines = [], [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            both = np.stack([np.concatenate(keys), np.concatenate(ids)], 1)
-            by = np.lexsort((both[:, 1], both[:, 0]))
-            both = both[by]
-            new = np.ones(len(by), bool)
-            new[1:] = (both[1:] != both[:-1]).any(axis=1)  # a line that many texts have goes once
-            key, ident, least, size = _runs(both[new, 0], both[new, 1])
+            name, key, owner = np.concatenate(names), np.concatenate(keys), np.concatenate(owners)
+            _, one = np.unique(name, return_index=True)  # a line that many texts have goes once
+            on = np.zeros(len(name), bool)
+            on[one] = True
+            on = on[owner]
+            key, ident, least, size = _runs(key[on], name[owner[on]])
             linked = (size > CROWD) & (ident != least)
-            yield _edges(key[~linked], ident[~linked])
-            if linked.any():  # crowded bands are linked here; their links travel under keys of their own
-                yield _edges(ident[linked], ident[linked], least[linked])
+            yield _blocks(0, key[~linked], np.stack([key[~linked], ident[~linked]], 1), ranges)
+            if linked.any():  # crowded bands are linked here; their links need no meeting
+                yield _blocks(1, mix(ident[linked].view(np.uint64)), np.stack([ident[linked], least[linked]], 1), ranges)
 
         for x in batches:
-            held_texts = x.column(0).to_pylist()
-            for p, q in chunks(held_texts, 1_000_000):
-                _, _, lo, _, head, rows, w = line_table(held_texts[p:q])
-                name, first = np.zeros(len(w.first) - 1, np.int64), np.zeros(len(w.first) - 1, bool)
-                name[rows], first[rows] = lo, head
-                line, key = band_keys(w)
-                keys.append(key[first[line]])
-                ids.append(name[line[first[line]]])
-                held += len(ids[-1])
-                if held > 4_000_000:
+            for _, _, some in _line_runs(x.column(0).to_pylist()):
+                _, lo, _, line, key = read_lines(some)
+                names.append(lo)
+                keys.append(key)
+                owners.append(line + lines)
+                lines += len(lo)
+                held += len(key)
+                if held >= HELD:
                     yield from flush()
-                    keys, ids, held = [], [], 0
-        if keys:
+                    names, keys, owners, held, lines = [], [], [], 0, 0
+        if names:
             yield from flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in batches:
-            done = x.column(2).is_valid()
-            yield x.filter(done)
-            left = x.filter(pc.invert(done))
-            keys.append(left.column(0).to_numpy())
-            ids.append(left.column(1).to_numpy())
-        key, ident, least, _ = _runs(np.concatenate(keys), np.concatenate(ids))
-        on = ident != least
-        yield _edges(key[on], ident[on], least[on])
+    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind, blobs = t.column("kind").to_pylist(), t.column("rows")
+        links = [np.frombuffer(r.as_buffer(), np.int64).reshape(-1, 2) for k, r in zip(kind, blobs, strict=True) if k == 1]
+        met = [np.frombuffer(r.as_buffer(), np.int64).reshape(-1, 2) for k, r in zip(kind, blobs, strict=True) if k == 0]
+        if met:
+            met = np.concatenate(met)
+            _, ident, least, _ = _runs(met[:, 0].copy(), met[:, 1].copy())
+            on = ident != least
+            links.append(np.stack([ident[on], least[on]], 1))
+        for rows in links:
+            for lo in range(0, len(rows), LINKS):
+                some = rows[lo : lo + LINKS]
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], ["a", "b"])
 
-    schema = "key long, a long, b long"
-    return texts.select("text").mapInArrow(spread, schema).repartition(parts, "key").mapInArrow(meet, schema).select("a", "b")
+    sent = texts.select("text").mapInArrow(spread, "part int, kind int, rows binary")
+    return by_group(sent, ["part"], [], meet, "a long, b long", parts)
 
 
 def _lines_at(docs: DataFrame) -> DataFrame:
-    """Rows of a document with `wanted` array<struct<pos, lo, ...>> become a row for each wanted line, with its normal form."""
+    """Rows of a document with `wanted` array<struct<pos, id, ...>> become a row for each wanted line, with its normal form."""
     kinds = dict(docs.dtypes)["wanted"].removeprefix("array<struct<").removesuffix(">>")
     names = [f.split(":")[0] for f in kinds.split(",")]
     schema = ", ".join(f.replace(":", " ", 1) for f in kinds.split(",")) + ", line string"
@@ -289,86 +453,198 @@ def _lines_at(docs: DataFrame) -> DataFrame:
     return docs.select("text", "wanted").mapInArrow(run, schema)
 
 
-def _verify(least: float):
-    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        blk, lo = t.column("blk").to_numpy(), t.column("lo").to_numpy()
-        lines = t.column("line").to_pylist()
-        of, key = band_keys(split_words(lines))
-        by = np.argsort(key, kind="stable")
-        of, key = of[by], key[by]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        bands: list[list[np.ndarray]] = [[] for _ in lines]
-        for p, q in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
-            if q - p > 1:
-                for x in of[p:q].tolist():
-                    bands[x].append(of[p:q])
-        left = np.flatnonzero(blk == i)
-        root, near = np.arange(len(lo)), np.zeros(len(lo), bool)
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        a, b = [], []
-        for x in left.tolist():
-            near[:] = False
-            for band in bands[x]:
-                near[band] = True
-            for y in np.flatnonzero(near & (blk == j)).tolist():
-                if (y > x or i != j) and (u := find(x)) != (v := find(y)) and edit_similarity(lines[x], lines[y], least) >= least - 1e-9:
-                    root[max(u, v)] = min(u, v)
-                    a.append(int(lo[x]))
-                    b.append(int(lo[y]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
+def _profiles(lines: list[str]) -> np.ndarray:
+    """(lines, PROFILE) counts of hashed letter triples: an edit changes six of them at most."""
+    out = np.zeros(len(lines) * PROFILE, np.int32)
+    for i, j, whole in portions(lines):
+        for k, part in [(i, whole)] if whole is not None else [(i, [lines[i][p : p + SLICE + 2]]) for p in range(0, len(lines[i]), SLICE)]:
+            u = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+            if len(u) < 3:
+                continue
+            size = np.array([len(x) for x in part])
+            of = np.repeat(np.arange(len(part)), size)
+            with np.errstate(over="ignore"):
+                h = ((u[:-2] * np.uint32(0x9E3779B1) ^ u[1:-1]) * np.uint32(0x85EBCA77) ^ u[2:]) * np.uint32(0xC2B2AE3D) >> np.uint32(23)
+            inside = of[2:] == of[:-2]
+            out[k * PROFILE : (k + len(part)) * PROFILE] += np.bincount(of[:-2][inside] * PROFILE + h[inside].astype(np.int64), minlength=len(part) * PROFILE).astype(np.int32)
+    return out.reshape(len(lines), PROFILE)
+
+
+def _connect(group: np.ndarray, ident: np.ndarray, side: np.ndarray, lines: list[str], least: float) -> np.ndarray:
+    """Links (index pairs) that connect the lines of each group that are similar and share a band; side: 1 and 2 meet, 3 meets all."""
+    n = len(lines)
+    order = np.argsort(ident, kind="stable")  # the result does not depend on the order of rows
+    group, side, lines = group[order], side[order], [lines[i] for i in order.tolist()]
+    of, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j, whole in portions(lines):
+        *_, line, k = read_lines(lines[i:j] if whole is None else whole)
+        of.append(line + i)
+        key.append(k)
+    of, key = np.concatenate(of), np.concatenate(key)
+    by = np.lexsort((of, key, group[of]))
+    of, key = of[by], key[by]
+    run = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (group[of[1:]] != group[of[:-1]]))) if len(of) else np.zeros(0, np.int64)
+    root, links, seen = np.arange(n), [], set()
+    size = np.array([len(x) for x in lines], np.int64)
+    profile = _profiles(lines)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def hear(x: np.ndarray, y: np.ndarray) -> None:
+        for lo in range(0, len(x), 4096):
+            p, q = x[lo : lo + 4096], y[lo : lo + 4096]
+            p, q = np.minimum(p, q), np.maximum(p, q)
+            on = (root[p] != root[q]) & ((side[p] | side[q]) == 3)
+            code = [c for c in np.unique(p[on] * n + q[on]).tolist() if c not in seen]
+            if not code:
+                continue
+            seen.update(code)
+            p, q = np.array(code) // n, np.array(code) % n
+            longest = np.maximum(size[p], size[q])
+            most = (longest * (1 - least) + 1e-9).astype(np.int64)
+            near = longest - np.minimum(size[p], size[q]) <= most
+            p, q, most = p[near], q[near], most[near]
+            near = np.concatenate([np.zeros(0, bool), *[np.abs(profile[p[k : k + 512]] - profile[q[k : k + 512]]).sum(1) <= 6 * most[k : k + 512] for k in range(0, len(p), 512)]])
+            p, q = p[near], q[near]
+            hit = similar([lines[i] for i in p], [lines[i] for i in q], least)
+            for i, j in zip(p[hit].tolist(), q[hit].tolist(), strict=True):
+                a, b = find(i), find(j)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    links.append((i, j))
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+    start = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else run
+    if len(run):
+        hear(np.repeat(of[start], np.diff(np.append(start, len(of)))), of)  # each band's first line with all others
+    step = 1
+    while len(of) > step:
+        start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        length = np.diff(np.append(start, len(run)))
+        split = np.logical_or.reduceat(root[of] != np.repeat(root[of[start]], length), start) & (length > step)
+        keep = np.repeat(split, length)
+        of, run = of[keep], run[keep]
+        if len(of) <= step:
+            break
+        pair = run[step:] == run[:-step]
+        hear(of[:-step][pair], of[step:][pair])
+        step += 1
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return order[found]
+
+
+def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Streams groups by (cluster, i, j); many small ones are verified in one go."""
+    held: list[pa.Table] = []
+    rows = chars = 0
+
+    def flush() -> pa.RecordBatch:
+        t = pa.concat_tables(held)
+        ident, blk = t.column("id").to_numpy(), t.column("blk").to_numpy()
+        side = (blk == t.column("i").to_numpy()) + 2 * (blk == t.column("j").to_numpy())
+        found = _connect(np.repeat(np.arange(len(held)), [x.num_rows for x in held]), ident, side, t.column("line").to_pylist(), least)
+        return pa.RecordBatch.from_arrays([pa.array(ident[found[:, 0]]), pa.array(ident[found[:, 1]])], ["a", "b"])
+
+    for t in groups(batches, ["cluster", "i", "j"]):
+        size = sum(c.nbytes for c in t.column("line").chunks)
+        if held and (rows + t.num_rows > LINES or chars + size > CHARS):
+            yield flush()
+            held, rows, chars = [], 0, 0
+        held.append(t)
+        rows, chars = rows + t.num_rows, chars + size
+    if held:
+        yield flush()
+
+
+def _dealt(lines: DataFrame, label: str) -> DataFrame:
+    """Lines (label, blocks, id, line) as members (cluster, i, j, blk, id, line) of each pair of blocks that they belong to."""
+    blk = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j"))))
+    return lines.withColumn("blk", blk).select(F.col(label).alias("cluster"), "blk", "id", "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "id", "line")
+
+
+def _own_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        ident, lines = x.column(0).to_numpy(), x.column(1).to_pylist()
+        for i, j, whole in portions(lines):
+            *_, of, key = read_lines(lines[i:j] if whole is None else whole)
+            yield pa.RecordBatch.from_arrays([pa.array(ident[i:j][of]), pa.array(key)], ["id", "key"])
+
+
+def _similar_lines(found: DataFrame, least: float, parts: int, scratch: Scratch) -> DataFrame:
+    """a, b: ids of similar lines; found: cluster, blocks, id, line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _verify(batches, least)
+
+    def verified(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+
+    same = scratch.save(verified(_dealt(found.where("blocks = 1"), "cluster")), "same")
+    large = found.where("blocks > 1")
+    if large.isEmpty():
+        return same
+    large = scratch.save(large.select("id", "line"), "large")
+    bands = scratch.save(large.mapInArrow(_own_bands, "id long, key long"), "bands")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    by_band = bands.join(shared, "key").join(large, "id")
+    return same.union(scratch.save(verified(_dealt(by_band, "key")), "same"))
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            doc, row, texts = x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_pylist()
-            for p, q in chunks(texts, 1_000_000):
-                of, pos, lo, hi, head, *_ = line_table(texts[p:q])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[p:q][of]), pa.array(row[p:q][of]), pa.array(pos), pa.array(lo), pa.array(hi), pa.array(head)], ["doc", "row", "pos", "lo", "hi", "head"])
+            doc, row = x.column(0).to_numpy(), x.column(1).to_numpy()
+            known: set[tuple[int, int, int]] = set()  # lines of a text that comes in several runs
+            before = -1
+            for of, pos, lo, hi, head in line_table(x.column(2).to_pylist()):
+                if len(of):
+                    if of[0] == before:
+                        head = head & np.array([k not in known for k in zip(lo.tolist(), hi.tolist(), strict=True)])
+                    else:
+                        known = set()
+                    if of[0] == of[-1]:
+                        known.update(zip(lo.tolist(), hi.tolist(), strict=True))
+                    before = of[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(row[of]), pa.array(pos), pa.array(lo), pa.array(hi), pa.array(head)], ["doc", "row", "pos", "lo", "hi", "head"])
 
     return texts.mapInArrow(run, "doc long, row long, pos int, lo long, hi long, head boolean")
 
 
 def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
     """doc, row, gone array<int>: positions of the lines of a text that repeat an earlier occurrence; texts without any are absent."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(docs.sparkSession)
     texts = keyed_texts(docs, id_col).where("text is not null")
-    seen = save_stage(_occurrences(texts.select("doc", "row", "text")), "lines")
-    # The first occurrence by document; all of the buffers are numbers, so that this is a hash aggregation. Of texts that share an id and a line, one is taken.
-    here = F.when(F.col("head"), F.col("doc"))
-    at = F.struct(F.col("doc"), F.col("row"), F.col("pos"))
-    first = seen.groupBy("lo", "hi").agg(F.min("doc").alias("doc"), F.min_by("row", here).alias("row"), F.min_by("pos", here).alias("pos"), F.count("*").alias("n"))
-    lines = save_stage(first.select("lo", "hi", at.alias("at"), "n"), "distinct")
-    links = _band_links(texts, parts)
-    clusters = save_stage(components(links).select(F.col("node").alias("lo"), F.col("root").alias("cluster")), "clusters")
-    n_members = clusters.count()
-    members = lines.join(checked(clusters, 24, n_members), "lo")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(checked(sizes, 20, n_members), "cluster").select("at.doc", "at.row", F.struct(F.col("at.pos").alias("pos"), "lo", "cluster", "blocks").alias("w"))
-    wanted = save_stage(members.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted")), "wanted")
-    found = _lines_at(texts.join(wanted, ["doc", "row"]))  # many texts are wanted: both sides are shuffled at any size
-    found = found.dropDuplicates(["lo"]).withColumn("blk", F.pmod(F.xxhash64("lo"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j"))))
-    dealt = found.select("cluster", "blk", "lo", "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "lo", "line")
-    same = save_stage(by_group(dealt, ["cluster", "i", "j"], ["lo"], _verify(least), "a long, b long", parts), "same")
-    groups = save_stage(components(same).select(F.col("node").alias("lo"), F.col("root").alias("grp")), "groups")
-    n_groups = groups.count()
-    grouped = lines.select("lo", "hi", "at", "n").join(checked(groups, 24, n_groups), "lo", "left")
-    stay = grouped.where("grp is not null").groupBy("grp").agg(F.min("at").alias("stay"))
-    keep = grouped.where("grp is not null or n > 1").join(checked(stay, 40, n_groups), "grp", "left").select("lo", "hi", F.coalesce("stay", "at").alias("stay"))
-    keep = save_stage(keep, "keep")
-    gone = seen.select("doc", "row", "pos", "lo", "hi").join(checked(keep, 48), ["lo", "hi"]).where(F.struct("doc", "row", "pos") != F.col("stay"))
-    return save_stage(gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
+    with Scratch() as scratch:
+        seen = scratch.save(_occurrences(texts.select("doc", "row", "text")), "lines")
+        # The first occurrence by document; all of the buffers are numbers, so that this is a hash aggregation. Of texts that share an id and a line, one is taken.
+        here = F.when(F.col("head"), F.col("doc"))
+        at = F.struct(F.col("doc"), F.col("row"), F.col("pos"))
+        first = seen.groupBy("lo", "hi").agg(F.min("doc").alias("doc"), F.min_by("row", here).alias("row"), F.min_by("pos", here).alias("pos"), F.count("*").alias("n"))
+        # The table is written once, so the numbers that name its lines from here on are fixed.
+        lines = scratch.save(first.select("lo", "hi", at.alias("at"), "n", F.monotonically_increasing_id().alias("id")), "distinct")
+        links = _band_links(texts, parts, 4 * parts)
+        # Two lines that share lo only widen their cluster.
+        clusters = scratch.save(components(links, scratch=scratch).select(F.col("node").alias("lo"), F.col("root").alias("cluster")), "clusters")
+        members = lines.join(checked(clusters), "lo")
+        sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        members = members.join(sizes, "cluster").select("at.doc", "at.row", F.struct(F.col("at.pos").alias("pos"), "id", "cluster", "blocks").alias("w"))
+        wanted = scratch.save(members.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted")), "wanted")
+        found = _lines_at(texts.join(wanted, ["doc", "row"])).dropDuplicates(["id"])  # many texts are wanted: both sides are shuffled at any size
+        found = scratch.save(found.select("cluster", "blocks", "id", "line"), "found")
+        same = _similar_lines(found, least, parts, scratch)
+        groups_ = scratch.save(components(same, scratch=scratch).select(F.col("node").alias("id"), F.col("root").alias("grp")), "groups")
+        grouped = lines.select("lo", "hi", "at", "n", "id").join(checked(groups_), "id", "left")
+        stay = grouped.where("grp is not null").groupBy("grp").agg(F.min("at").alias("stay"))
+        keep = grouped.where("grp is not null or n > 1").join(stay, "grp", "left").select("lo", "hi", F.coalesce("stay", "at").alias("stay"))
+        keep = scratch.save(keep, "keep")
+        gone = seen.select("doc", "row", "pos", "lo", "hi").join(checked(keep), ["lo", "hi"]).where(F.struct("doc", "row", "pos") != F.col("stay"))
+        return save_stage(gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
 
 
 def clean(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_gone")) -> DataFrame:
@@ -380,7 +656,7 @@ def clean(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", co
     # A row's key is computed beside its own columns, under names that documents do not use.
     doc, row = document_keys(id_col)
     keyed = docs.withColumns({"_line_doc": doc, "_line_row": row})
-    out = keyed.join(checked(gone.select(F.col("doc").alias("_line_doc"), F.col("row").alias("_line_row"), F.col("gone").alias("_line_gone")), 64), ["_line_doc", "_line_row"], "left")
+    out = keyed.join(checked(gone.select(F.col("doc").alias("_line_doc"), F.col("row").alias("_line_row"), F.col("gone").alias("_line_gone"))), ["_line_doc", "_line_row"], "left")
     lines = F.split("text", "\n", -1)
     stays = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_line_gone"), i))
     text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
