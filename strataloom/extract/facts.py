@@ -15,12 +15,12 @@ from .languages import facts
 _SCHEMA = pa.schema([("path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("module", pa.string()), ("items", pa.list_(pa.string())), ("flag", pa.bool_()), ("line", pa.int32())])
 
 
-def all_facts(files: DataFrame, path: str = "relative_path") -> DataFrame:
-    """FACTS rows of files (path, content)."""
+def all_facts(files: DataFrame, path: str = "relative_path", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """FACTS rows of files (path, content), of the named kinds only if any are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, *f) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in facts(p, c or "")]
+            rows = [(p, *f) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in facts(p, c or "") if kinds is None or f[0] in kinds]
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in c] if f.name == "items" else c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 

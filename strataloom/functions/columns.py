@@ -32,9 +32,9 @@ def is_binary_extension(path: Column) -> Column:
     return extension(path).isin(*BINARY_EXTENSIONS)
 
 
-def is_binary_content(data: Column, probe: int = 8192) -> Column:
-    """A NUL among the first bytes of a binary column."""
-    return F.locate("00", F.regexp_replace(F.hex(F.substring(data, 1, probe)), "(..)", "$1 ")) > 0
+def is_binary_content(content: Column, probe: int = 8192) -> Column:
+    """A NUL among the first characters of a text."""
+    return F.left(content, F.lit(probe)).contains("\0")
 
 
 def file_type(path: Column) -> Column:
@@ -152,6 +152,11 @@ def rough_tokens(text: Column) -> Column:
     return F.floor(F.octet_length(text) / 4).cast("bigint")
 
 
+def output_estimate(size: Column) -> Column:
+    """Bytes that a rendered file is expected to take: a fifth more than its own, rounded up."""
+    return F.ceil(size * 1.2).cast("bigint")
+
+
 def overhead_tokens(path: Column) -> Column:
     """Header and footer of a rendered file."""
     return tokens(F.concat(F.lit("## "), path, F.lit("\n\n```\n"))) + tokens(F.lit("```\n\n"))
@@ -177,6 +182,13 @@ def epoch_nanos(stamp: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(stamp)) * 1000
 
 
+def time_range(text: Column) -> Column:
+    """struct(start_ns, end_ns) of `start/end` in RFC 3339; null unless both are times and the first comes before the second."""
+    parts = F.split(text, "/")
+    a, b = epoch_nanos(F.get(parts, 0)), epoch_nanos(F.get(parts, 1))
+    return F.when((F.size(parts) == 2) & (a < b), F.struct(a.alias("start_ns"), b.alias("end_ns")))
+
+
 def duration_ms(start_ns: Column, end_ns: Column) -> Column:
     return F.when(end_ns >= start_ns, (end_ns - start_ns) / 1e6)
 
@@ -199,6 +211,18 @@ def is_secure_import(module: Column, most_up: int = 3) -> Column:
     return (F.length(F.trim(module)) > 0) & ~blocked & (ups <= most_up) & ~module.contains("\0")
 
 
+def is_contained(path: Column, root: str) -> Column:
+    """Below the (absolute) root once `.` and `..` are worked out; relative paths start there. Percent signs are not trusted."""
+    base = root.rstrip("/")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(f"{base}/"), path))
+    kept = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
+    empty = F.array().cast("array<string>")
+    # A step up leaves the root of the file system out of reach: what is empty stays so.
+    walked = F.aggregate(kept, empty, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
+    real = F.concat(F.lit("/"), F.array_join(walked, "/"))
+    return F.coalesce(~path.contains("%") & ((real == base) | real.startswith(f"{base}/")), F.lit(False))
+
+
 def is_valid_module(module: Column) -> Column:
     """Up to 255 letters, digits and name punctuation, without `..`."""
     return (F.length(module).between(1, 255)) & module.rlike(r"^[A-Za-z0-9_./:@\-]+$") & ~module.contains("..")

@@ -23,6 +23,9 @@ def settle(df: DataFrame) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or f"file://{tempfile.mkdtemp(prefix='strataloom-graph-')}"
 
 
@@ -95,6 +98,7 @@ def topological_levels(edges: DataFrame) -> DataFrame:
                 return done if done is not None else free
             raise ValueError("the graph has a cycle")
         done = free if done is None else done.union(free)
+        done = settle(done) if level % 16 == 15 else done
         nodes = settle(nodes.join(free, "node", "left_anti"))
         left = settle(left.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
         level += 1
@@ -147,6 +151,17 @@ def cycles(edges: DataFrame) -> DataFrame:
     return groups.where((F.size("members") > 1) | F.col("loop")).select("component", "members")
 
 
+def levels_without_cycles(edges: DataFrame) -> DataFrame:
+    """node, level as topological_levels has them, with the edges inside a strong component left out: an order for any graph."""
+    edges = settle(edges.where("src <> dst"))
+    comp = settle(strong_components(edges))
+    a, b = comp.toDF("src", "a"), comp.toDF("dst", "b")
+    between = edges.join(a, "src").join(b, "dst").where("a <> b").select("src", "dst")
+    levels = topological_levels(between)
+    alone = comp.select("node").join(levels, "node", "left_anti").withColumn("level", F.lit(0))
+    return levels.union(alone)
+
+
 def expand(edges: DataFrame, seeds: DataFrame, depth: int, types: DataFrame | None = None, callers: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
     """node, depth, via: bounded expansion of seeds by imports, types and callers.
 

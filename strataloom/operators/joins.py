@@ -82,8 +82,16 @@ def with_default(left: DataFrame, right: DataFrame, key: str, defaults: dict) ->
 def merge_rows(df: DataFrame, key: str, lists: list[str]) -> DataFrame:
     """One row a key; list columns become sorted unions, others their least value."""
     rest = [c for c in df.columns if c != key and c not in lists]
-    joined = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
-    return df.groupBy(key).agg(*[F.min(c).alias(c) for c in rest], *joined)
+    out = df.groupBy(key).agg(*[F.min(c).alias(c) for c in rest])
+    for c in lists:  # single items meet: a hot key gathers each of them once, not a list for every row
+        out = out.join(_united(df, [key], c), key, "left").withColumn(c, F.coalesce(c, F.array().cast(dict(df.dtypes)[c])))
+    return out.select(key, *rest, *lists)
+
+
+def _united(df: DataFrame, keys: list[str], items: str) -> DataFrame:
+    """keys and the sorted distinct items of their list columns."""
+    single = df.select(*keys, F.explode(items).alias("_item")).where("_item is not null").distinct()
+    return single.groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias(items))
 
 
 def index_stats(defs: DataFrame, calls: DataFrame) -> DataFrame:
@@ -96,9 +104,10 @@ def index_stats(defs: DataFrame, calls: DataFrame) -> DataFrame:
 
 def merge_imports(imports: DataFrame) -> DataFrame:
     """One row for each path and module with the union of its items."""
-    return imports.groupBy("path", "module").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("is_relative").alias("is_relative"), F.min("line").alias("line")
-    )
+    keyed = imports.withColumn("module", F.coalesce("module", F.lit("")))
+    out = keyed.groupBy("path", "module").agg(F.max("is_relative").alias("is_relative"), F.min("line").alias("line"))
+    out = out.join(_united(keyed, ["path", "module"], "items"), ["path", "module"], "left")
+    return out.select("path", "module", F.coalesce("items", F.array().cast(dict(imports.dtypes)["items"])).alias("items"), "is_relative", "line")
 
 
 def qualify(facts: DataFrame, imports: DataFrame) -> DataFrame:

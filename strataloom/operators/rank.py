@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
@@ -30,16 +31,17 @@ def structure_overhead(files: DataFrame, header: str = "# Code Context: .\n\n")
     return files.agg((F.first(head) + 200 + 20 * F.count("*") + F.coalesce(F.sum(toc), F.lit(0))).cast("bigint").alias("overhead"))
 
 
-def _take(budget: int, size: int):
+def _take(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = budget
         for b in batches:
-            keep = []
-            for n in b.column(size).to_pylist():
-                fits = n <= left
-                left -= n if fits else 0
-                keep.append(fits)
-            yield b.filter(pa.array(keep, pa.bool_()))
+            kept = []
+            for n, copies in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                fits = copies if n <= 0 else min(copies, max(0, left) // n)
+                left -= n * fits
+                kept.append(fits)
+            got = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], got], ["p", "t", "s", "kept"]).filter(pc.greater(got, 0))
 
     return run
 
@@ -49,20 +51,26 @@ def greedy_budget(df: DataFrame, budget: int, size: str = "tokens", priority: st
 
     The order makes the choice sequential, so a pass handles the next `chunk` candidates that
     still fit by size: a distributed top-k, then one streaming task. Passes go on until nothing
-    left could fit, which is soon as every pass uses up budget or candidates.
+    left could fit, which is soon as every pass uses up budget or candidates. Passes see priority,
+    tie and size only, each combination once with its number of rows; the rows come back by a join.
+    Nulls come last in priority and tie; rows without a size are never taken. Of rows that agree in
+    all three, as many are taken as fit.
     """
-    at = df.columns.index(size)
-    rest, left, taken = df.where(F.col(size).isNotNull()), budget, None
+    slim = df.select(F.col(priority).alias("p"), F.col(tie).alias("t"), F.col(size).cast("long").alias("s")).where("s is not null")
+    rest, left, taken = settle(slim.groupBy("p", "t", "s").agg(F.count("*").alias("n"))), budget, None
+    order = F.struct(F.col("p").isNull(), -F.col("p"), F.col("t").isNull(), F.col("t"), F.col("s"))
+    kinds = dict(rest.dtypes)
     while True:
-        rest = rest.where(F.col(size) <= left)
-        order = [F.desc(priority), F.asc(tie)]
-        part = settle(rest.orderBy(*order).limit(chunk))
-        got = settle(part.coalesce(1).sortWithinPartitions(*order).mapInArrow(_take(left, at), df.schema))
+        rest = rest.where(F.col("s") <= left)
+        part = settle(rest.orderBy(order).limit(chunk))
+        got = settle(part.coalesce(1).sortWithinPartitions(order).mapInArrow(_take(left), f"p {kinds['p']}, t {kinds['t']}, s long, kept long"))
         taken = got if taken is None else taken.union(got)
-        edge = part.agg(F.count("*").alias("n"), F.min(priority).alias("p")).first()
-        if edge["n"] < chunk:
-            return taken
-        left -= got.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-        lowest = edge["p"]
-        last = part.where(F.col(priority) == F.lit(lowest)).agg(F.max(tie)).first()[0]
-        rest = rest.where((F.col(priority) < F.lit(lowest)) | ((F.col(priority) == F.lit(lowest)) & (F.col(tie) > F.lit(last))))
+        edge = part.agg(F.count("*").alias("n"), F.max(order).alias("last"))
+        if edge.first()["n"] < chunk:
+            break
+        left -= got.agg(F.coalesce(F.sum(F.col("s") * F.col("kept")), F.lit(0))).first()[0]
+        rest = rest.crossJoin(F.broadcast(edge.select("last"))).where(order > F.col("last")).drop("last")  # one row
+    key = F.col(priority).eqNullSafe(F.col("_p")) & F.col(tie).eqNullSafe(F.col("_t")) & (F.col(size) == F.col("_s"))
+    found = df.join(taken.toDF("_p", "_t", "_s", "_kept"), key)
+    nth = F.row_number().over(Window.partitionBy("_p", "_t", "_s").orderBy(F.lit(0)))
+    return found.withColumn("_nth", nth).where("_nth <= _kept").select(*df.columns)

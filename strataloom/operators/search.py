@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,8 +40,8 @@ def search_lines(files: DataFrame, pattern: str, most: int, names: str | None =
     return matching_lines(files, pattern, names).orderBy("path", "line").limit(most)
 
 
-def symbols(facts: dict[str, DataFrame], query: str, kind: str, most: int) -> DataFrame:
-    """path, name, line, kind of facts whose name holds the query: functions, types, imports or references (calls and types)."""
+def symbols(facts: dict[str, DataFrame], query: str, kind: str, most: int | None) -> DataFrame:
+    """path, name, line, kind of facts whose name holds the query: functions, types, imports or references (calls and types); all of them if `most` is None."""
     low = query.lower()
     pick = lambda name, column, label: facts[name].where(F.lower(column).contains(low)).select("path", F.col(column).alias("name"), "line", F.lit(label).alias("kind"))
     found = {
@@ -48,42 +50,66 @@ def symbols(facts: dict[str, DataFrame], query: str, kind: str, most: int) -> Da
         "imports": lambda: pick("imports", "module", "import"),
         "references": lambda: pick("calls", "name", "call").unionByName(pick("type_refs", "name", "type")),
     }[kind]()
-    return found.orderBy("path", "line", "name", "kind").limit(most)
+    return found if most is None else found.orderBy("path", "line", "name", "kind").limit(most)
 
 
-def hunks(a: list[str], b: list[str], context: int = 3) -> list[tuple[int, int, str]]:
-    """(line in a, line in b, text) of each difference: after one, the sides move on to the nearest place where `context` lines agree.
+@dataclass
+class Hunk:
+    """One difference: where it starts (from 1, context included), how many lines of either side it covers, and its text."""
 
-    The text holds the removed lines with `-`, then the added ones with `+`.
+    old_start: int
+    old_lines: int
+    new_start: int
+    new_lines: int
+    removed: int
+    added: int
+    text: str
+
+
+def hunks(a: list[str], b: list[str], context: int = 3) -> list[Hunk]:
+    """The differences in order; after one, the sides move on to the nearest place where `context` lines agree (or both end).
+
+    The text holds up to `context` lines before it (with a blank), the removed lines with `-`, the
+    added ones with `+`, and up to `context` lines after it. The lines after it are not counted as
+    covered, as the next difference may start there.
     """
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
+    out, i, j, need = [], 0, 0, max(1, context)
+    where: dict[tuple, list[int]] | None = None
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
             i, j = i + 1, j + 1
-            continue
-        p, q = _meet(a, b, i, j, context)
-        out.append((i + 1, j + 1, "".join([*(f"-{x}\n" for x in a[i:p]), *(f"+{x}\n" for x in b[j:q])])))
+        if i >= len(a) and j >= len(b):
+            return out
+        if where is None:  # places of each run of lines in b, built once
+            where = {}
+            for q in range(len(b)):
+                where.setdefault(tuple(b[q : q + need]), []).append(q)
+        p, q = _meet(a, where, i, j, len(b), need)
+        before = min(context, i)
+        after = min(context, len(a) - p, len(b) - q)
+        text = [*(f" {x}\n" for x in a[i - before : i]), *(f"-{x}\n" for x in a[i:p]), *(f"+{x}\n" for x in b[j:q]), *(f" {x}\n" for x in a[p : p + after])]
+        first = j - min(context, j)
+        out.append(Hunk(i - before + 1, p - i + before, first + 1, q - first, p - i, q - j, "".join(text)))
         i, j = p, q
-    return out
 
 
-def _meet(a: list[str], b: list[str], i: int, j: int, context: int) -> tuple[int, int]:
-    where: dict[tuple, list[int]] = {}
-    for q in range(j, len(b)):
-        where.setdefault(tuple(b[q : q + context]), []).append(q)
+def _meet(a: list[str], where: dict[tuple, list[int]], i: int, j: int, end: int, context: int) -> tuple[int, int]:
+    """The place (p, q) from (i, j) on with the fewest lines before it whose next lines agree; the ends of both if there is none."""
     best = None
     for p in range(i, len(a)):
-        if best and p - i > best[0]:
+        if best and p - i >= best[0]:
             break
-        for q in where.get(tuple(a[p : p + context]), ()):
-            cost = (p - i) + (q - j)
+        places = where.get(tuple(a[p : p + context]), ())
+        k = bisect_left(places, j)
+        if k < len(places):
+            cost = (p - i) + (places[k] - j)
             if best is None or cost < best[0]:
-                best = (cost, p, q)
-    return (best[1], best[2]) if best else (len(a), len(b))
+                best = (cost, p, places[k])
+    return (best[1], best[2]) if best else (len(a), end)
 
 
 def diff(pairs: DataFrame, context: int = 3) -> DataFrame:
-    """key, hunk, old_line, new_line, removed, added, text for pairs (key, old, new); texts with a NUL give one binary hunk."""
+    """A row for each hunk of pairs (key, old, new); a null text is empty, texts with a NUL give one binary hunk without lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -91,16 +117,16 @@ def diff(pairs: DataFrame, context: int = 3) -> DataFrame:
             for key, old, new in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 old, new = old or "", new or ""
                 if "\0" in old or "\0" in new:
-                    found = [(1, 1, "binary\n")] if old != new else []
+                    found = [Hunk(1, 0, 1, 0, 0, 0, "binary\n")] if old != new else []
                 else:
                     found = hunks(old.splitlines(), new.splitlines(), context)
-                rows += [(key, n, p, q, *(sum(s.startswith(sign) for s in t.splitlines()) for sign in "-+"), t) for n, (p, q, t) in enumerate(found)]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (x.schema.field(0).type, *[pa.int32()] * 5, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "hunk", "old_line", "new_line", "removed", "added", "text"])
+                rows += [(key, n, h.old_start, h.old_lines, h.new_start, h.new_lines, h.removed, h.added, h.text) for n, h in enumerate(found)]
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            kinds = (x.schema.field(0).type, *[pa.int32()] * 7, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "hunk", "old_start", "old_lines", "new_start", "new_lines", "removed", "added", "text"])
 
     kind = dict(pairs.dtypes)["key"]
-    return pairs.select("key", "old", "new").mapInArrow(run, f"key {kind}, hunk int, old_line int, new_line int, removed int, added int, text string")
+    return pairs.select("key", "old", "new").mapInArrow(run, f"key {kind}, hunk int, old_start int, old_lines int, new_start int, new_lines int, removed int, added int, text string")
 
 
 def changed_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -22,6 +22,12 @@ def with_code(spans: DataFrame) -> DataFrame:
     return spans.where("function_name is not null or file_path is not null")
 
 
+def from_base(spans: DataFrame, base: str) -> DataFrame:
+    """Spans whose relative file paths start at the base."""
+    at = F.col("file_path")
+    return spans.withColumn("file_path", F.when(at.startswith("/"), at).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), at)))
+
+
 def cascade(spans: DataFrame, functions: DataFrame) -> DataFrame:
     """Each span (span_id, file_path, function_name) with its function (path, name) and the rank of the strategy that found it.
 
@@ -49,19 +55,31 @@ def cascade(spans: DataFrame, functions: DataFrame) -> DataFrame:
     return spans.join(best, "span_id", "left").select(*[spans[c] for c in spans.columns], F.col("b.f.path").alias("path"), F.col("b.f.name").alias("name"), F.col("b.rank").cast("int").alias("rank"))
 
 
-def metrics(spans: DataFrame, keys: list[str], value: str, arrival: list[str], error: Column | None = None, message: Column | None = None, recent: int = RECENT) -> DataFrame:
-    """Per key: call_count, p50, p95, p99 (nearest rank, of the last `recent` values), error_count, error_rate, last_error."""
-    late = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in arrival])
-    kept = spans.select(*keys, value, F.row_number().over(late).alias("_r")).where(F.col("_r") <= recent)
-    parts = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in (50, 95, 99)]
+def metrics(spans: DataFrame, keys: list[str], value: str, arrival: list[str], error: Column | None = None, message: Column | None = None, recent: int | None = RECENT) -> DataFrame:
+    """Per key: call_count, p50, p95, p99 (nearest rank, of the last `recent` values, or of all if None), error_count, error_rate, last_error."""
+    if recent is None:
+        ranks = _nearest_ranks(spans, keys, value)
+    else:
+        late = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in arrival])
+        kept = spans.select(*keys, value, F.row_number().over(late).alias("_r")).where(F.col("_r") <= recent)
+        ranks = kept.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in (50, 95, 99)])
     error = F.lit(False) if error is None else error
     order = F.struct(*arrival)
     said = F.max_by(F.when(error, message if message is not None else F.lit(None).cast("string")), F.when(error, order))
     counts = spans.groupBy(*keys).agg(F.count("*").alias("call_count"), F.count_if(error).alias("error_count"), said.alias("last_error"))
-    out = counts.join(kept.groupBy(*keys).agg(*parts), keys, "left")
+    out = counts.join(ranks, keys, "left")
     return out.withColumn("error_rate", F.col("error_count") / F.col("call_count"))
 
 
+def _nearest_ranks(spans: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, p50, p95, p99 over all values of a key: equal values are counted before anything is sorted, so a hot key costs its distinct values."""
+    counted = spans.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.select(*keys, value, F.sum("_n").over(up).alias("_upto"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    # The first value whose running share reaches p; shares in whole numbers, as ranks have no fractions.
+    return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * p, F.col(value))).alias(f"p{p}") for p in (50, 95, 99)])
+
+
 def summary(correlated: DataFrame) -> DataFrame:
     """One row: spans, correlated spans, functions that they reach."""
     hit = F.col("name").isNotNull()

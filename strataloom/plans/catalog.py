@@ -44,10 +44,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import project_queries  # noqa: F401  it registers its own here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
@@ -361,7 +364,7 @@ def span_filter_service_time(spark, d):
 
 @query("SELECT event_type AS function_name, count(*) AS call_count, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def function_latency_percentiles(spark, d):
-    m = telemetry.metrics(S.spans(spark, d), ["function_name"], "duration_ms", ["start_ns", "span_id"], recent=1 << 30)
+    m = telemetry.metrics(S.spans(spark, d), ["function_name"], "duration_ms", ["start_ns", "span_id"], recent=None)
     return m.select("function_name", "call_count", "p50", "p95", "p99")
 
 
@@ -435,7 +438,7 @@ def line_search_limit(spark, d):
 def symbol_search_union(spark, d):
     h = S.hrefs(spark, d).select(F.col("page_id").alias("path"), F.col("target").alias("name"), F.col("ord").alias("line"))
     t = S.table(spark, d, "pages").select(F.col("page_id").alias("path"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("name"), F.lit(0).alias("line"))
-    return search.symbols({"calls": h, "type_refs": t}, "the", "references", 1 << 30)
+    return search.symbols({"calls": h, "type_refs": t}, "the", "references", None)
 
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text)::INTEGER AS place FROM conversations QUALIFY place <= 3")

@@ -42,7 +42,11 @@ def markdown_files(files: DataFrame, by_type: bool = False) -> DataFrame:
     body = F.coalesce("content", F.lit(""))
     closed = F.when(body.endswith("\n"), body).otherwise(F.concat(body, F.lit("\n")))
     c = files.columns
-    facts = F.concat(_list_line("Imports", "imports", c), _list_line("Imported by", "imported_by", c), _list_line("Function calls", "function_calls", c), _list_line("Type references", "type_references", c))
+    told = F.lit("")
+    if "history" in c:  # commits, newest first, three at most
+        lines = F.transform(F.slice("history", 1, 3), lambda h: F.concat(F.lit("  - "), F.trim(h["message"]), F.lit(" by "), h["author"], F.lit("\n")))
+        told = F.when(F.size("history") > 0, F.concat(F.lit("Git history:\n"), F.array_join(lines, ""), F.lit("\n"))).otherwise(F.lit(""))
+    facts = F.concat(told, _list_line("Imports", "imports", c), _list_line("Imported by", "imported_by", c), _list_line("Function calls", "function_calls", c), _list_line("Type references", "type_references", c))
     fragment = F.concat(F.lit("## "), F.col("relative_path"), F.lit("\n\n"), facts, F.lit("```"), fence_language(F.col("file_type")), F.lit("\n"), closed, F.lit("```\n\n"))
     group = type_order(F.col("file_type")) if by_type else F.lit(0)
     return files.select(F.struct(group.alias("g"), (-F.col("priority")).alias("p"), F.col("relative_path").alias("path")).alias("ord"), fragment.alias("fragment"))
@@ -79,6 +83,46 @@ def path_lines(files: DataFrame) -> DataFrame:
 FORMATS = {"markdown": markdown_files, "xml": xml_files, "plain": plain_files, "paths": path_lines}
 
 
+#: Headings of a document that name no file.
+HEADINGS = ("## Statistics", "## File Structure", "## Table of Contents")
+
+
+def document(files: DataFrame, label: str = ".", statistics_: bool = True, tree_: bool = True, toc: bool = True) -> DataFrame:
+    """part, place, key, fragment of a whole Markdown document, in that order: header, statistics, tree, table of contents, files.
+
+    Everything stays a table: `write_document` sorts it over the cluster, and no part is gathered.
+    """
+    spark = files.sparkSession
+    fixed = [(0, 0, f"# Code Context: {label}\n\n")]
+    fixed += [(1, 2, "\n")] if statistics_ else []
+    fixed += [(2, 0, "## File Structure\n\n```\n"), (2, 2, "```\n\n")] if tree_ else []
+    fixed += [(3, 0, "## Table of Contents\n\n"), (3, 2, "\n")] if toc else []
+    out = spark.createDataFrame([(p, q, "", t) for p, q, t in fixed], "part int, place int, key string, fragment string")
+    # Falling priority, then path, as one text that sorts so.
+    rank = F.concat(F.format_string("%013.6f", F.lit(100_000.0) + F.col("ord.p")), F.col("ord.path"))
+    at = lambda p, q: (F.lit(p).alias("part"), F.lit(q).alias("place"))
+    if statistics_:
+        common = F.format_string("%012d", F.lit(999_999_999_999) + F.col("ord.b"))
+        rows = statistics(files)
+        out = out.union(rows.select(F.lit(1), F.col("ord.a"), F.when(F.col("ord.a") == 0, F.lit("")).otherwise(F.concat(common, F.col("ord.c"))), "fragment"))
+    if tree_:
+        out = out.union(tree_lines(files).select(*at(2, 1), F.col("sort_key"), F.concat("line", F.lit("\n"))))
+    if toc:
+        out = out.union(toc_lines(files).select(*at(3, 1), rank, F.concat("fragment", F.lit("\n"))))
+    return out.union(markdown_files(files).select(*at(4, 1), rank, "fragment"))
+
+
+def write_document(fragments: DataFrame, path: str) -> None:
+    """Text files whose names follow the order of a document's fragments, which all end a line."""
+    fragments.orderBy("part", "place", "key").select(F.regexp_replace("fragment", r"\n\z", "")).write.text(path)
+
+
+def file_count(fragments: DataFrame) -> DataFrame:
+    """One row: how many lines look like a file's heading."""
+    lines = fragments.select(F.explode(F.split("fragment", "\n")).alias("line"))
+    return lines.where(F.col("line").startswith("## ") & ~F.col("line").isin(*HEADINGS)).agg(F.count("*").alias("file_count"))
+
+
 def metrics_report(metrics: DataFrame) -> DataFrame:
     """ord, fragment of each function (path, name, call_count, p50, p95, error_rate), by file."""
     text = F.concat(

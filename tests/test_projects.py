@@ -1,6 +1,7 @@
 """Small projects in temporary folders: scan, facts, resolution, expansion, search, diff, telemetry."""
 
 import json
+import random
 import struct
 import subprocess
 
@@ -111,6 +112,42 @@ def test_budget_skips_and_render(spark):
     assert [r["fragment"] for r in render.path_lines(files).orderBy("ord").collect()] == ["a.md", "b.rs"]
 
 
+def plain_greedy(rows, budget):
+    left, out = budget, []
+    order = lambda r: (r[1] is None, -(r[1] or 0), r[0] is None, r[0] or "", r[2])
+    for r in sorted((r for r in rows if r[2] is not None), key=order):
+        if r[2] <= left:
+            left -= r[2]
+            out.append(r)
+    return out
+
+
+def test_greedy_budget_at_chunk_borders(spark):
+    """Ties, repeated rows, nulls, sizes of zero: a chunk of any length gives what a plain loop gives."""
+    rng = random.Random(5)
+    for case in range(3):
+        rows = [(rng.choice(["a", "b", "c", None]), rng.choice([2.0, 1.0, None, -1.0]), rng.choice([0, 1, 2, 3, 5, None])) for _ in range(14)] + [("a", 1.0, 2)] * 4
+        df = spark.createDataFrame(rows, "path string, priority double, tokens long")
+        for budget in (7, 100):
+            want = sorted(map(str, plain_greedy(rows, budget)))
+            for chunk in (1, 2, 5, 50) if case else range(1, 16, 3):
+                assert sorted(str(tuple(r)) for r in rank.greedy_budget(df, budget, chunk=chunk).collect()) == want, (budget, chunk)
+
+
+def test_document_with_history(spark, tmp_path):
+    files = spark.createDataFrame([("b.rs", "Rust", 1.0, "fn x() {}", 9, [("fix", "ann"), ("two", "bob"), ("three", "c"), ("four", "d")]), ("a/a.md", "Markdown", 0.5, "hi\n", 3, [])], "relative_path string, file_type string, priority double, content string, size long, history array<struct<message:string, author:string>>")
+    parts = render.document(files, "shop")
+    text = "".join(r["fragment"] for r in parts.orderBy("part", "place", "key").collect())
+    assert text == (
+        "# Code Context: shop\n\n## Statistics\n\n- Total files: 2\n- Total size: 12 B\n  - Markdown: 1\n  - Rust: 1\n\n"
+        "## File Structure\n\n```\n├── a/\n│   ├── a.md\n├── b.rs\n```\n\n## Table of Contents\n\n- [b.rs](#b-rs)\n- [a/a.md](#a-a-md)\n\n"
+        "## b.rs\n\nGit history:\n  - fix by ann\n  - two by bob\n  - three by c\n\n```rust\nfn x() {}\n```\n\n## a/a.md\n\n```markdown\nhi\n```\n\n"
+    )
+    assert render.file_count(parts).first()[0] == 2
+    render.write_document(parts, str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))) == text
+
+
 def test_graph_shapes(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "src long, dst long")
     assert sorted((r["node"], r["component"]) for r in graph.strong_components(e).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)]
@@ -119,6 +156,7 @@ def test_graph_shapes(spark):
     assert graph.shortest_path(e, 1, 6).count() == 0
     with pytest.raises(ValueError):
         graph.topological_levels(e)
+    assert sorted((r["node"], r["level"]) for r in graph.levels_without_cycles(e).collect()) == [(1, 0), (2, 0), (3, 1), (4, 0), (5, 1), (6, 0)]
     dag = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src long, dst long")
     assert sorted((r["node"], r["level"]) for r in graph.topological_levels(dag).collect()) == [(1, 2), (2, 1), (3, 0)]
     none = spark.createDataFrame([], "src long, dst long")
@@ -131,7 +169,7 @@ def test_search_and_diff(spark, tmp_path):
     assert [(r["path"], r["line"]) for r in got] == [("api.py", 4), ("main.py", 1), ("main.py", 3), ("utils.py", 1)]
     assert [r["name"] for r in api.semantic_search(spark, root, "help", "functions").collect()] == ["helper"]
     found = search.hunks(["a", "b", "c", "d", "e"], ["a", "x", "c", "d", "e"], 2)
-    assert found == [(2, 2, "-b\n+x\n")]
+    assert found == [search.Hunk(1, 2, 1, 2, 1, 1, " a\n-b\n+x\n c\n d\n")]
     assert search.hunks(["a"], ["a"]) == []
 
 

@@ -88,13 +88,21 @@ def test_resolution_candidates():
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_hunks_rebuild_the_new_text(a, b):
-    out, i = [], 0
-    for p, _, text in hunks(a, b, 2):
-        out += a[i : p - 1]
-        rows = text.splitlines()
-        out += [r[1:] for r in rows if r[0] == "+"]
-        i = p - 1 + sum(r[0] == "-" for r in rows)
-    assert out + a[i:] == b
+    for context in (0, 1, 2, 3):
+        out, i = [], 0
+        for h in hunks(a, b, context):
+            rows = h.text.splitlines()
+            changed = [k for k, r in enumerate(rows) if r[0] != " "]
+            before = changed[0]
+            at = h.old_start - 1 + before
+            assert [r[1:] for r in rows[:before]] == a[h.old_start - 1 : at] == b[h.new_start - 1 : h.new_start - 1 + before]
+            assert (h.old_lines, h.new_lines, len(changed)) == (before + h.removed, before + h.added, h.removed + h.added)
+            out += a[i:at]
+            out += [r[1:] for r in rows if r[0] == "+"]
+            i = at + h.removed
+            after = [r[1:] for r in rows[changed[-1] + 1 :]]
+            assert after == a[i : i + len(after)] and len(after) <= context
+        assert out + a[i:] == b
 
 
 def test_globs():
