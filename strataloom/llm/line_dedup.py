@@ -45,13 +45,13 @@ FEW, MANY = 4, 8
 RECALL = 0.95
 BANDS, ROWS = choose_bands(SIMILARITY / (2 - SIMILARITY), RECALL, 5)
 #: Lines that a task verifies together, and local members of a band that are linked before the shuffle.
-BLOCK, CROWD = 1024, 8
+BLOCK, CROWD = 2048, 8
 #: Band keys that a task holds before it sends them, and links or lines in a batch of rows.
 HELD, LINKS = 1 << 19, 1 << 16
 #: Lines and characters that are verified in one go, and buckets of the profile that rules pairs out.
 LINES, CHARS, PROFILE = 8192, 1 << 21, 512
-#: Letter masks of 64 bits that side by side comparison holds.
-MASKS = 1 << 20
+#: Letter masks of 64 bits that side by side comparison holds, and how often a comparison looks whether the pair is out of reach.
+MASKS, LOOKS = 1 << 20, 8
 
 _DIGITS = re.compile("[1-9]")
 
@@ -91,6 +91,7 @@ def _distance(a: str, b: str, most: int) -> int:
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, d = full, 0, m
+    every = max(32, n // LOOKS)
     for k, c in enumerate(b):
         eq = at.get(c, 0)
         diag = (((eq & up) + up) ^ up) | eq | down
@@ -106,9 +107,21 @@ def _distance(a: str, b: str, most: int) -> int:
         less = less << 1 & full
         up = less | (full & ~(diag | more))
         down = more & diag
+        if k % every == every - 1 and _least(*(np.frombuffer(x.to_bytes(-(-m // 64) * 8, "little"), np.uint64)[None] for x in (up, down)), np.array([m]), np.array([n - k - 1]), k + 1)[0] > most:
+            return most + 1
     return d
 
 
+def _least(up: np.ndarray, down: np.ndarray, m: np.ndarray, left: np.ndarray, t: int) -> np.ndarray:
+    """The distance that each pair reaches at least, t columns done and `left` to come: the best cell of its column and what it lacks to the corner."""
+    step = np.unpackbits(up.view(np.uint8), axis=1, bitorder="little").view(np.int8) - np.unpackbits(down.view(np.uint8), axis=1, bitorder="little").view(np.int8)
+    cell = np.cumsum(step, axis=1, dtype=np.int32)
+    i = np.arange(1, cell.shape[1] + 1, dtype=np.int32)
+    cell += np.abs((m[:, None] - i).astype(np.int32) - left[:, None].astype(np.int32))
+    cell[i > m[:, None]] = 1 << 30
+    return t + np.minimum(cell.min(axis=1), np.abs(m - left))
+
+
 def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
     """1 - Levenshtein distance / longer length; 0 where it is below `least`."""
     longest = max(len(a), len(b))
@@ -150,7 +163,8 @@ def _apart(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     one, high = np.uint64(1), np.uint64(63)
     up, down = np.full((count, width), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((count, width), np.uint64)
     top, final = ((m - 1) & 63).astype(np.uint64), (m - 1) >> 6
-    far, d, rows = np.zeros(count, bool), m.copy(), np.arange(count)
+    out, d, rows, own = np.zeros(count, bool), m.copy(), np.arange(count), by
+    every = max(32, int(n[0]) // LOOKS)
     for t in range(int(n[0])):
         k = int(np.searchsorted(-n, -t, side="left"))
         e, p, q = eq[rows[:k], text[t, :k]], up[:k], down[:k]
@@ -172,12 +186,17 @@ def _apart(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
             plus[:, 1:] |= more[:, :-1] >> high
             minus[:, 1:] |= less[:, :-1] >> high
         up[:k], down[:k] = minus | ~(diag | plus), plus & diag
-        if t & 31 == 31:
-            far[:k] |= d[:k] - (n[:k] - t - 1) > most[:k]
-            if far[:k].all():
-                break
-    out = np.zeros(count, bool)
-    out[by] = far | (d > most)
+        if t % every == every - 1:  # pairs that are out of reach go
+            far = np.zeros(len(m), bool)
+            far[:k] = _least(up[:k], down[:k], m[:k], n[:k] - t - 1, t + 1) > most[:k]
+            if far.any():
+                out[own[far]] = True
+                stay = ~far
+                eq, text, up, down, top, final, d, m, n, most, own = eq[stay], text[:, stay], up[stay], down[stay], top[stay], final[stay], d[stay], m[stay], n[stay], most[stay], own[stay]
+                rows = np.arange(len(m))
+                if not len(m):
+                    break
+    out[own[d > most]] = True
     return out
 
 
@@ -495,15 +514,31 @@ def _connect(group: np.ndarray, ident: np.ndarray, side: np.ndarray, lines: list
         return x
 
     def hear(x: np.ndarray, y: np.ndarray) -> None:
-        for lo in range(0, len(x), 4096):
-            p, q = x[lo : lo + 4096], y[lo : lo + 4096]
-            p, q = np.minimum(p, q), np.maximum(p, q)
-            on = (root[p] != root[q]) & ((side[p] | side[q]) == 3)
-            code = [c for c in np.unique(p[on] * n + q[on]).tolist() if c not in seen]
-            if not code:
-                continue
-            seen.update(code)
-            p, q = np.array(code) // n, np.array(code) % n
+        """Verify pairs: first one for each two components, then twice as many of those whose components still differ, and so on."""
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        on = (root[x] != root[y]) & ((side[x] | side[y]) == 3)
+        code = np.array([c for c in np.unique(x[on] * n + y[on]).tolist() if c not in seen], np.int64)
+        most_each = 1
+        while len(code):
+            x, y = code // n, code % n
+            a, b = root[x], root[y]
+            code = code[a != b]
+            if not len(code):
+                return
+            two = (np.minimum(a, b) * n + np.maximum(a, b))[a != b]
+            by = np.argsort(two, kind="stable")
+            start = np.flatnonzero(np.append(True, two[by[1:]] != two[by[:-1]]))
+            nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+            now = np.zeros(len(code), bool)
+            now[by[nth < most_each]] = True
+            verify(code[now])
+            code, most_each = code[~now], 2 * most_each
+
+    def verify(code: np.ndarray) -> None:
+        for lo in range(0, len(code), 4096):
+            some = code[lo : lo + 4096]
+            seen.update(some.tolist())
+            p, q = some // n, some % n
             longest = np.maximum(size[p], size[q])
             most = (longest * (1 - least) + 1e-9).astype(np.int64)
             near = longest - np.minimum(size[p], size[q]) <= most
@@ -516,8 +551,8 @@ def _connect(group: np.ndarray, ident: np.ndarray, side: np.ndarray, lines: list
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     links.append((i, j))
-            while (root[root] != root).any():
-                root[:] = root[root]
+        while (root[root] != root).any():
+            root[:] = root[root]
 
     start = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else run
     if len(run):
