@@ -82,6 +82,24 @@ def test_sharding_law_and_slots(spark):
     assert order != sorted(order, key=lambda d: -1 if d is None else d)
 
 
+def test_sharding_slots_do_not_depend_on_partitions(spark, monkeypatch):
+    """Nor do equal records crowd one bucket: a third of all rows repeats one record."""
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 12)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 40)
+    rows = [(i, f"{i} " * (i % 30)) for i in range(1200)] + [(7, "again and again")] * 600 + [(None, None)] * 90
+    docs, got, before = spark.createDataFrame(rows, DOCS), [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (4, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        size = F.coalesce(F.octet_length("text"), F.lit(0))
+        crowd = sharding.scatter(docs.repartition(n), "doc_id", size, F.crc32(F.coalesce("text", F.lit(""))), 24, 20)[0].where("doc_id = 7").groupBy("_shuffle_bucket").count()
+        assert crowd.count() > 1 and crowd.agg(F.max("count")).first()[0] <= 301  # 600 equal records and the one that the range gives, over two buckets
+        found = sharding.shard_documents(docs.repartition(n)).collect()
+        assert len(found) == len(rows)
+        got.append(sorted(str(tuple(r)) for r in found))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
 def test_sharding_digest_comes_from_written_texts(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 14)
     paths = []
@@ -149,16 +167,20 @@ def test_top_k_equals_brute_force(spark):
     m[50:120] = m[7]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None), (901, [1.0, None] * 4), (902, [float("nan")] * 8), (903, []), (904, [1.0] * 3), (905, [2.0] * 3), (0, [float(x) for x in m[0]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, vafile.top_k(df, df.where("vec_id % 100 = 0 or vec_id in (904, 60)")).collect()))
+    marks = lambda i: (i % 100 == 0) | i.isin(904, 60)
+    counts = {}
+    got = sorted(map(tuple, vafile.top_k(df, marks, counts=counts).collect()))
     q = np.floor(1024 * m).astype(int)
+    q, ids = np.vstack([q, q[0]]), [*range(300), 0]  # row 300 repeats row 0, id and all
     want = []
-    for i in (0, 60, 100, 200):
+    for i in (0, 60, 100, 200, 300):
         s = q @ q[i]
-        best = sorted((-int(s[j]), j) for j in range(300) if j != i)[:10]
-        want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(best)]
+        best = sorted((-int(s[j]), ids[j]) for j in range(301) if j != i)[:10]
+        want += [(ids[i], k + 1, j, -x) for k, (x, j) in enumerate(best)]
     want.append((904, 1, 905, 3 * 1024 * 2048))
     assert got == sorted(want)
-    assert vafile.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert 0 < counts["read"] < counts["pairs"] / 2
+    assert vafile.top_k(df.limit(0), marks).count() == 0
 
 
 def test_top_k_scans_in_blocks(spark, monkeypatch):
@@ -167,7 +189,7 @@ def test_top_k_scans_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(240, 6))
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, vafile.top_k(df, df.where("vec_id % 20 = 0"), k=5).collect()))
+    got = sorted(map(tuple, vafile.top_k(df, lambda i: i % 20 == 0, k=5).collect()))
     q = np.floor(1024 * m).astype(int)
     want = [(i, k + 1, j, -x) for i in range(0, 240, 20) for k, (x, j) in enumerate(sorted((-int(q[j] @ q[i]), j) for j in range(240) if j != i)[:5])]
     assert got == sorted(want)
