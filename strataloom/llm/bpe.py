@@ -18,12 +18,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import thrifty
+
 #: Entries of the word memo and of the pair memo of a worker; longer words (LONG characters) are not remembered.
 WORDS, PAIRS, LONG = 200_000, 500_000, 64
 #: Characters that are cut into words at once, about.
@@ -86,6 +89,7 @@ class PrefixBpe:
                 fail[to] = self.step[up].get(s, 0) if at else 0
                 queue.append(to)
         self.fail = fail
+        self.size = {i: len(symbols) for i, symbols in spelled.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _chain(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -119,31 +123,35 @@ class PrefixBpe:
             self.pairs[key] = held
         return held
 
-    def encode_symbols(self, symbols: list[str]) -> list[int]:
-        last: list[tuple[int, int]] = [(-1, 0)]
-        step, fail, ends, at = self.step, self.fail, self.ends, 0
-        for i, s in enumerate(symbols, 1):
+    def encode_symbols(self, symbols: Iterable[str], many: bool = False) -> list[int] | array:
+        """The ids of one word; with `many` symbols the stored tokens and the ids take four bytes each."""
+        last = array("i", [-1]) if many else [-1]
+        step, fail, ends, at, i = self.step, self.fail, self.ends, 0, 0
+        for s in symbols:
+            i += 1
             while at and s not in step[at]:
                 at = fail[at]
             at = step[at].get(s, 0)
             for token, n in ends[at]:
-                before = last[i - n]
-                if i == n or self.compatible(before[0], token):
-                    last.append((token, n))
+                if i == n or self.compatible(last[i - n], token):
+                    last.append(token)
                     break
             else:
                 raise ValueError(f"no token ends with {s!r}")
-        out, i = [], len(symbols)
+        out, size = array("i") if many else [], self.size
         while i:
-            token, n = last[i]
+            token = last[i]
             out.append(token)
-            i -= n
-        return out[::-1]
+            i -= size[token]
+        out.reverse()
+        return out
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> list[int] | array:
         """word: byte-level letters; the last one takes the end mark."""
-        symbols = [*word[:-1], word[-1] + self.end]
         base = self.base
+        if len(word) > LONG:
+            return self.encode_symbols((s for s in chain(islice(word, len(word) - 1), [word[-1] + self.end]) if s in base), True)
+        symbols = [*word[:-1], word[-1] + self.end]
         return self.encode_symbols([s for s in symbols if s in base])
 
 
@@ -169,12 +177,13 @@ class WordEncoder:
         self.letters = {b: letters[b] for b in range(256)}
         self.words: dict[str, tuple[int, ...]] = {}
 
-    def _word(self, word: str, byte_level: bool) -> tuple[int, ...]:
+    def _word(self, word: str, byte_level: bool) -> tuple[int, ...] | array:
         if not byte_level:
             word = word.encode().decode("latin-1").translate(self.letters)
-        return tuple(self.bpe.encode_word(word))
+        ids = self.bpe.encode_word(word)
+        return ids if len(word) > LONG else tuple(ids)
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> Iterator[list[int]]:
         if _LATIN.match(text):
             cut, mark = _LATIN_WORD.findall(text.lower()), ""
         else:
@@ -183,11 +192,23 @@ class WordEncoder:
         memo = self.words
         if len(memo) > WORDS:
             memo.clear()
-        if mark:  # byte-level words have a memo key of their own
-            return list(chain.from_iterable(memo.get(mark + w) or memo.setdefault(mark + w, self._word(w, True)) for w in cut))
-        for w in set(cut).difference(memo):
-            memo[w] = self._word(w, False)
-        return list(chain.from_iterable(map(memo.__getitem__, cut)))
+        for w in set(cut):  # byte-level words have a memo key of their own
+            if len(w) <= LONG and mark + w not in memo:
+                memo[mark + w] = self._word(w, bool(mark))
+        if max(map(len, cut), default=0) <= LONG:
+            keys = map(mark.__add__, cut) if mark else cut
+            yield list(chain.from_iterable(map(memo.__getitem__, keys)))
+            return
+        out: list[int] = []
+        for w in cut:
+            if len(w) <= LONG:
+                out += memo[mark + w]
+                continue
+            yield out
+            ids, out = self._word(w, bool(mark)), []
+            for k in range(0, len(ids), SLICE):
+                yield list(ids[k : k + SLICE])
+        yield out
 
     def pieces(self, text: str | None) -> Iterator[list[int]]:
         """The ids of a text, slice by slice; slices begin before white space, which no word and no composed letter spans."""
@@ -202,9 +223,9 @@ class WordEncoder:
                 stop = max(part.rfind(c, at + 1, at + SLICE) for c in " \n\t")
                 if stop < 0:
                     stop = min((p for c in " \n\t" if (p := part.find(c, at + SLICE)) >= 0), default=len(part))
-                yield self._plain(part[at:stop])
+                yield from self._plain(part[at:stop])
                 at = stop
-            yield self._plain(part[at:] if at else part)
+            yield from self._plain(part[at:] if at else part)
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.pieces(text)))
@@ -236,7 +257,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             ids = pa.array([enc.encode(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, ids array<int>")
+    return df.select(id_col, text_col).mapInArrow(thrifty(run), f"{id_col} {dict(df.dtypes)[id_col]}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -248,7 +269,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             texts = pa.array([None if t is None else enc.decode(t) for t in b.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), texts], [id_col, "text"])
 
-    return df.select(id_col, "ids").mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, text string")
+    return df.select(id_col, "ids").mapInArrow(thrifty(run), f"{id_col} {dict(df.dtypes)[id_col]}, text string")
 
 
 def round_trip_digest(df: DataFrame, path: str) -> DataFrame:
@@ -273,4 +294,4 @@ def round_trip_digest(df: DataFrame, path: str) -> DataFrame:
                 d.append(digests[1].hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
