@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +22,9 @@ _stages: dict[str, SparkSession] = {}
 
 
 #: Rows and bytes that pass between Spark and Python at once; long texts make large rows.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+#: Batches after which a worker gives back memory that it does not use.
+BREATH = 16
 
 
 def prepare(spark: SparkSession) -> None:
@@ -123,6 +127,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _give_back() -> None:
+    """Return free memory to the system: idle workers would keep it otherwise, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _keep_little() -> None:
+    """Large arrays go back to the system as soon as they are freed, for all of the process."""
+    with contextlib.suppress(OSError, AttributeError):
+        for key, value in ((-3, 4 << 20), (-1, 8 << 20), (-8, 2)):  # thresholds of mapping and of trimming, number of arenas
+            ctypes.CDLL(None).mallopt(key, value)
+
+
+def thrifty(fn: Callable) -> Callable:
+    """fn for mapInArrow, in a worker that gives back memory as it goes and when it is done."""
+
+    def breathing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(batches, 1):
+            yield b
+            if k % BREATH == 0:
+                _give_back()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_little()
+        try:
+            yield from fn(breathing(batches))
+        finally:
+            _give_back()
+
+    return run
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys in a stream that is sorted by them; a run may span batches."""
     held: list[pa.RecordBatch] = []
@@ -154,7 +191,7 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable, sch
         for table in groups(batches, keys):
             yield from fn(table)
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(thrifty(run), schema)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +227,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, scr
     no more than its edges. The result reads a stage table, which `scratch` takes over. Self loops, repeated edges and nulls are harmless; nodes without
     edges give no row. Raises after `most` rounds instead of returning a part.
     """
-    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long")
+    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInArrow(thrifty(_forest), "a long, b long")
     e = save_stage(e.distinct(), "cc")
     seen, old = None, None
     for _ in range(most):

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import thrifty
 from .textkernel import SLICE, class_table, code_points, portions
 from .toxicity import may_teach
 
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(x, [r["lang"] for r in held]))]})
 
     # One task trains on the sample, whose size is fixed; the driver only sees the model.
-    found = few.mapInArrow(run, "doc_id long, lang string, x binary").coalesce(1).mapInArrow(learn, "model binary")
+    found = few.mapInArrow(thrifty(run), "doc_id long, lang string, x binary").coalesce(1).mapInArrow(thrifty(learn), "model binary")
     return pickle.loads(found.collect()[0][0])
 
 
@@ -209,4 +210,4 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, na
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + f", `{names[0]}` string, `{names[1]}` double"
-    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col("text").alias("t")] * (at < 0)).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col("text").alias("t")] * (at < 0)).mapInArrow(thrifty(run), schema)

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, checked, components, groups, partitions, save_stage
+from .common import Scratch, by_group, checked, components, groups, partitions, save_stage, thrifty
 from .common import words as mix
 from .ngram_join import _seeds, choose_bands, document_keys, keyed_texts
-from .textkernel import SLICE, fold, portions, slices, split_words
+from .textkernel import SLICE, fold, portions, slices, split_lines, split_words
 
 SIMILARITY = 0.8
 #: Letters of a longer word; function words are mostly shorter.
@@ -47,7 +47,7 @@ BANDS, ROWS = choose_bands(SIMILARITY / (2 - SIMILARITY), RECALL, 5)
 #: Lines that a task verifies together, and local members of a band that are linked before the shuffle.
 BLOCK, CROWD = 2048, 8
 #: Band keys that a task holds before it sends them, and links or lines in a batch of rows.
-HELD, LINKS = 1 << 19, 1 << 16
+HELD, LINKS = 1 << 18, 1 << 16
 #: Lines and characters that are verified in one go, and buckets of the profile that rules pairs out.
 LINES, CHARS, PROFILE = 8192, 1 << 21, 512
 #: Letter masks of 64 bits that side by side comparison holds, and how often a comparison looks whether the pair is out of reach.
@@ -309,12 +309,12 @@ def _long_line(line: str, bands: bool) -> tuple[np.ndarray, ...]:
     return np.array([size]), np.array([lo], np.uint64).view(np.int64), np.array([hi], np.uint64).view(np.int64), np.zeros(len(key), np.int64), key
 
 
-def read_lines(lines: list[str], bands: bool = True) -> tuple[np.ndarray, ...]:
-    """Words, lo and hi of each line, then line and key: BANDS keys by its longer words, by all words and pairs, or by both."""
-    if len(lines) == 1 and len(lines[0]) > SLICE:
-        return _long_line(lines[0], bands)
-    w = split_words(lines, zeros=True)
-    n, size = len(lines), np.diff(w.first)
+def read_lines(text: str, bands: bool = True) -> tuple[np.ndarray, ...]:
+    """Words, lo and hi of each line of a text, then line and key: BANDS keys by its longer words, by all words and pairs, or by both."""
+    if len(text) > SLICE and "\n" not in text:
+        return _long_line(text, bands)
+    w = split_lines(text, zeros=True)
+    n, size = len(w.first) - 1, np.diff(w.first)
     one, two = _places(w.hash, np.arange(len(w.hash)) - np.repeat(w.first[:-1], size))
     with np.errstate(over="ignore"):
         one, two = (np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (one, two))
@@ -340,33 +340,30 @@ def read_lines(lines: list[str], bands: bool = True) -> tuple[np.ndarray, ...]:
     return size, lo, hi, np.concatenate(line), np.concatenate(key)
 
 
-def _line_runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-    """Text index, number and the lines themselves, in runs that a kernel call can take; a long line comes alone."""
+def _line_runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+    """Text index and number of lines, and the lines, joined: in runs that a kernel call can take; a long line comes alone."""
     for lo, hi, whole in portions(texts):
         if whole is not None:
-            lines = "\n".join(t or "" for t in whole).split("\n")
             per = np.array([(t or "").count("\n") + 1 for t in whole])
-            yield np.repeat(np.arange(lo, hi), per), np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per), lines
+            yield np.repeat(np.arange(lo, hi), per), np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per), "\n".join(t or "" for t in whole)
             continue
-        held, size, number = [], 0, 0
-        at, text = 0, texts[lo]
+        text, at, number = texts[lo], 0, 0
         while at <= len(text):
-            end = text.find("\n", at)
-            line = text[at : end if end >= 0 else len(text)]
-            if held and size + len(line) > SLICE:
-                yield np.full(len(held), lo), np.arange(number - len(held), number), held
-                held, size = [], 0
-            held.append(line)
-            size += len(line) + 1
-            number += 1
-            at = end + 1 if end >= 0 else len(text) + 1
-        yield np.full(len(held), lo), np.arange(number - len(held), number), held
+            end = text.rfind("\n", at, at + SLICE)  # as many whole lines as fit, or one that does not
+            if end < 0:
+                end = text.find("\n", at)
+            if end < 0 or len(text) - at <= SLICE:
+                end = len(text)
+            part = text[at:end]
+            n = part.count("\n") + 1
+            yield np.full(n, lo), np.arange(number, number + n), part
+            at, number = end + 1, number + n
 
 
 def line_table(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
     """Text index, line number, lo, hi, and whether the text has it here first, of every line that has a word."""
-    for text, number, lines in _line_runs(texts):
-        size, lo, hi, *_ = read_lines(lines, bands=False)
+    for text, number, run in _line_runs(texts):
+        size, lo, hi, *_ = read_lines(run, bands=False)
         rows = np.flatnonzero(size > 0)
         text, number, lo, hi = text[rows], number[rows], lo[rows], hi[rows]
         by = np.lexsort((number, hi, lo, text))
@@ -449,7 +446,7 @@ def _band_links(texts: DataFrame, parts: int, ranges: int) -> DataFrame:
                 some = rows[lo : lo + LINKS]
                 yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], ["a", "b"])
 
-    sent = texts.select("text").mapInArrow(spread, "part int, kind int, rows binary")
+    sent = texts.select("text").mapInArrow(thrifty(spread), "part int, kind int, rows binary")
     return by_group(sent, ["part"], [], meet, "a long, b long", parts)
 
 
@@ -469,7 +466,7 @@ def _lines_at(docs: DataFrame) -> DataFrame:
                 lines += [normal_line(held[w["pos"]]) for w in want.as_py()]
             yield pa.RecordBatch.from_arrays([*[flat.field(n) for n in names], pa.array(lines, pa.string())], [*names, "line"])
 
-    return docs.select("text", "wanted").mapInArrow(run, schema)
+    return docs.select("text", "wanted").mapInArrow(thrifty(run), schema)
 
 
 def _profiles(lines: list[str]) -> np.ndarray:
@@ -496,7 +493,7 @@ def _connect(group: np.ndarray, ident: np.ndarray, side: np.ndarray, lines: list
     group, side, lines = group[order], side[order], [lines[i] for i in order.tolist()]
     of, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, whole in portions(lines):
-        *_, line, k = read_lines(lines[i:j] if whole is None else whole)
+        *_, line, k = read_lines("\n".join(lines[i:j] if whole is None else whole))
         of.append(line + i)
         key.append(k)
     of, key = np.concatenate(of), np.concatenate(key)
@@ -607,7 +604,7 @@ def _own_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         ident, lines = x.column(0).to_numpy(), x.column(1).to_pylist()
         for i, j, whole in portions(lines):
-            *_, of, key = read_lines(lines[i:j] if whole is None else whole)
+            *_, of, key = read_lines("\n".join(lines[i:j] if whole is None else whole))
             yield pa.RecordBatch.from_arrays([pa.array(ident[i:j][of]), pa.array(key)], ["id", "key"])
 
 
@@ -618,14 +615,14 @@ def _similar_lines(found: DataFrame, least: float, parts: int, scratch: Scratch)
         return _verify(batches, least)
 
     def verified(dealt: DataFrame) -> DataFrame:
-        return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+        return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(thrifty(run), "a long, b long")
 
     same = scratch.save(verified(_dealt(found.where("blocks = 1"), "cluster")), "same")
     large = found.where("blocks > 1")
     if large.isEmpty():
         return same
     large = scratch.save(large.select("id", "line"), "large")
-    bands = scratch.save(large.mapInArrow(_own_bands, "id long, key long"), "bands")
+    bands = scratch.save(large.mapInArrow(thrifty(_own_bands), "id long, key long"), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     by_band = bands.join(shared, "key").join(large, "id")
     return same.union(scratch.save(verified(_dealt(by_band, "key")), "same"))
@@ -648,7 +645,7 @@ def _occurrences(texts: DataFrame) -> DataFrame:
                     before = of[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(row[of]), pa.array(pos), pa.array(lo), pa.array(hi), pa.array(head)], ["doc", "row", "pos", "lo", "hi", "head"])
 
-    return texts.mapInArrow(run, "doc long, row long, pos int, lo long, hi long, head boolean")
+    return texts.mapInArrow(thrifty(run), "doc long, row long, pos int, lo long, hi long, head boolean")
 
 
 def repeated_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:

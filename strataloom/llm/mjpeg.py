@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 #: Blocks of a frame, and frames a second.
 COLUMNS, ROWS, RATE = 64, 32, 25
 #: Frames that are coded or decoded side by side, and blocks of the files that are read together.
@@ -440,7 +442,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 del payload
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "payload_bytes", "media"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_bytes long, payload_bytes long, media binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(thrifty(run), "id long, n_bytes long, payload_bytes long, media binary")
 
 
 def read(df: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -466,7 +468,7 @@ def read(df: DataFrame, blocks: int = BLOCKS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(payload, pa.binary()), pa.array([len(f) for f in files], pa.int64()), pa.array(sha), pa.array([shots(x, h, a.rate) for (x, h), a in zip(seen, avis, strict=True)], kind)], ["id", "n_bytes", "payload_bytes", "payload", "media_bytes", "media_sha256", "clips"])
                 lo = hi
 
-    return df.select("id", "n_bytes", "payload_bytes", "media").mapInArrow(run, f"id long, n_bytes long, payload_bytes long, payload binary, media_bytes long, media_sha256 string, clips array<struct<{clip.replace(' ', ':').replace(',:', ',')}>>")
+    return df.select("id", "n_bytes", "payload_bytes", "media").mapInArrow(thrifty(run), f"id long, n_bytes long, payload_bytes long, payload binary, media_bytes long, media_sha256 string, clips array<struct<{clip.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def clip_rows(read_back: DataFrame) -> DataFrame:

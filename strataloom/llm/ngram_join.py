@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, checked, components, partitions, save_stage
+from .common import Scratch, by_group, checked, components, partitions, save_stage, thrifty
 from .common import words as mix
 from .textkernel import portions, shingle, shingle_set, split_words
 
@@ -113,7 +113,7 @@ def fingerprints(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sig.append(signature_bands(g, a, b, bands) if len(g) else None)
             yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["id", "doc", "row", "lo", "hi", "grams", "bands"])
 
-    return texts.mapInArrow(run, "id long, doc long, row long, lo long, hi long, grams long, bands array<long>")
+    return texts.mapInArrow(thrifty(run), "id long, doc long, row long, lo long, hi long, grams long, bands array<long>")
 
 
 def with_grams(members: DataFrame, n: int) -> DataFrame:
@@ -137,7 +137,7 @@ def with_grams(members: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[c.take(pa.array(own)) for c in x.columns[1:]], pa.array(sets, pa.binary())], ["lo", "hi", *rest, "grams"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("lo", "hi", *rest)) + ", grams binary"
-    return members.select("text", "lo", "hi", *rest).mapInArrow(run, schema)
+    return members.select("text", "lo", "hi", *rest).mapInArrow(thrifty(run), schema)
 
 
 class Postings:

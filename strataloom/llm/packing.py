@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, partitions, save_stage
+from .common import by_group, partitions, save_stage, thrifty
 
 CAPACITY = 2048
 #: Pieces in a region, and the size of the search: islands, members of a population, generations between migrations, migrations.
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, encoder: Callable, capacity: int = CAPACITY) -
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), PIECES)
 
 
 class Bins:
@@ -194,7 +194,7 @@ def _round(state: DataFrame, capacity: int, number: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"region": r["region"], "island": r["island"], "elite": best.astype(np.int32).tobytes(), "bins": -bins, "level": level, "done": -bins <= least_bins(sizes, capacity)}], schema)
 
     schema = pa.schema([("region", pa.int64()), ("island", pa.int32()), ("elite", pa.binary()), ("bins", pa.int64()), ("level", pa.float64()), ("done", pa.bool_())])
-    return state.mapInArrow(run, "region long, island int, elite binary, bins long, level double, done boolean")
+    return state.mapInArrow(thrifty(run), "region long, island int, elite binary, bins long, level double, done boolean")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
@@ -229,7 +229,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, ro
                 cols = [pa.array(doc, mask=none.astype(bool)), pa.array(piece.astype(np.int32)), pa.array(at), pa.array(length), pa.array(crc), pa.array((r["region"] << 24) + bins.astype(np.int64)), pa.array(offset)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return regions.join(best, "region").mapInArrow(unfold, f"{PIECES}, sequence_id long, offset long")
+    return regions.join(best, "region").mapInArrow(thrifty(unfold), f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, encoder: Callable, capacity: int = CAPACITY) -> DataFrame:

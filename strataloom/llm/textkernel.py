@@ -125,6 +125,14 @@ def slices(text: str) -> Iterator[str]:
         yield text[lo:hi]
 
 
+def split_lines(text: str, zeros: bool = False) -> Words:
+    """The words of each line of a text (or of several, joined by line feeds), without a string for each line; with `zeros`, digits are 0."""
+    u = np.frombuffer((fold(text) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if zeros:
+        u = np.where((u > 48) & (u < 58), np.uint32(48), u)
+    return _words(u, np.append(0, np.flatnonzero(u == 10) + 1), ())
+
+
 def _split_long(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts = -(-(end - start) // LONGEST)
     nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -134,7 +142,10 @@ def _split_long(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def split_words(texts: list[str | None], prefix: tuple[int, ...] = (), zeros: bool = False) -> Words:
     """The words of each text, hashed by a polynomial in 64 bits and mixed."""
-    u, first = code_points(texts, zeros)
+    return _words(*code_points(texts, zeros), prefix)
+
+
+def _words(u: np.ndarray, first: np.ndarray, prefix: tuple[int, ...]) -> Words:
     inside = class_table("word")[u]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -147,7 +158,7 @@ def split_words(texts: list[str | None], prefix: tuple[int, ...] = (), zeros: bo
         h = mix((total[end] - total[start]) * down[start])
         short = [mix((total[np.minimum(start + n, end)] - total[start]) * down[start] + np.uint64(77 + n)) for n in prefix]
     offsets = np.searchsorted(start, first)
-    return Words(h, start, end, np.repeat(np.arange(len(texts)), np.diff(offsets)), offsets, short)
+    return Words(h, start, end, np.repeat(np.arange(len(first) - 1), np.diff(offsets)), offsets, short)
 
 
 def shingle(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import thrifty
 from .common import words as mix
 from .textkernel import portions, slices, split_words
 
@@ -288,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TEACH).join(chosen, "doc_id").select("doc_id", "toxic", "text").limit(2 * sum(most_all.values()))
     held = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("held", held).where(F.col("held") <= TEACH_ALL).drop("held")  # at most 2 * SAMPLE rows reach this window
-    found = rows.mapInArrow(bags, "doc_id long, toxic int, ids binary, lang int")
+    found = rows.mapInArrow(thrifty(bags), "doc_id long, toxic int, ids binary, lang int")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["toxic"], r["ids"]))
@@ -296,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(net)]})
 
     # One task trains on the sample, whose size is fixed; the driver only sees the model.
-    return pickle.loads(found.coalesce(1).mapInArrow(learn, "model binary").collect()[0][0])
+    return pickle.loads(found.coalesce(1).mapInArrow(thrifty(learn), "model binary").collect()[0][0])
 
 
 def score(docs: DataFrame, net: Network, columns: list[str] | None = None, name: str = "toxicity") -> DataFrame:
@@ -312,4 +313,4 @@ def score(docs: DataFrame, net: Network, columns: list[str] | None = None, name:
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + f", `{name}` double"
-    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col("text").alias("t")] * (at < 0)).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col("text").alias("t")] * (at < 0)).mapInArrow(thrifty(run), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, partitions, save_stage
+from .common import Scratch, by_group, partitions, save_stage, thrifty
 
 #: Rows of a data block and of a query block: a task's memory.
 DATA_BLOCK, QUERY_BLOCK = 8192, 1024
@@ -132,7 +132,7 @@ def scan(approximation: DataFrame, queries: DataFrame, blocks: int, k: int, bits
                         yield pa.RecordBatch.from_arrays([pa.array(own[w]), pa.array(rids[x]), pa.array(low[w, x])], ["qid", "rid", "low"])
 
     dealt = approximation.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, ["qb", "d"])
-    return dealt.select("d", "rids", "low", "width", "code", "qids", "q", "least").mapInArrow(run, "qid long, rid long, low double")
+    return dealt.select("d", "rids", "low", "width", "code", "qids", "q", "least").mapInArrow(thrifty(run), "qid long, rid long, low double")
 
 
 def read_exact(wanted: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def read_exact(wanted: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFram
 
     asked = asked.select(F.col("rid").alias("qid"), F.col("id").alias("query_id"), F.col("v").alias("qv"))
     pairs = wanted.select("qid", "rid").join(asked, "qid").join(rows.select("rid", "v", F.size("v").alias("d"), F.col("id").alias("vec_id")), "rid")
-    return pairs.select("qid", "query_id", "qv", "rid", "v", "d", "vec_id").mapInArrow(run, "qid long, query_id long, rid long, vec_id long, score long")
+    return pairs.select("qid", "query_id", "qv", "rid", "v", "d", "vec_id").mapInArrow(thrifty(run), "qid long, query_id long, rid long, vec_id long, score long")
 
 
 def best(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -177,10 +177,10 @@ def test_line_search_recall_does_not_depend_on_size():
             for i in rng.sample(range(words), changed):
                 x[i] = word()
         lines = [" ".join(x) for x in a + b]
-        *_, line, key = line_dedup.read_lines(lines)
+        *_, line, key = line_dedup.read_lines("\n".join(lines))
         keys = [set(key[line == i].tolist()) for i in range(800)]
         assert np.mean([bool(keys[i] & keys[400 + i]) for i in range(400)]) >= least
-        alone = line_dedup.read_lines(lines[7:8])[-1]
+        alone = line_dedup.read_lines(lines[7])[-1]
         assert set(alone.tolist()) == keys[7]
 
 
