@@ -86,22 +86,23 @@ def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
 def topological_levels(edges: DataFrame) -> DataFrame:
     """node, level: 0 for nodes that depend on nothing, else one above the highest of their dependencies (src depends on dst).
 
-    Raises ValueError if a cycle is left.
+    Counts of open dependencies go down level by level, so that every edge is met once. Raises
+    ValueError if a cycle is left.
     """
-    left = settle(edges)
-    nodes = settle(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    done, level = None, 0
-    while True:
-        free = settle(nodes.join(left.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            if nodes.isEmpty():
-                return done if done is not None else free
-            raise ValueError("the graph has a cycle")
-        done = free if done is None else done.union(free)
-        done = settle(done) if level % 16 == 15 else done
-        nodes = settle(nodes.join(free, "node", "left_anti"))
-        left = settle(left.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    edges = settle(edges.select("src", "dst").distinct())
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    open_ = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    state = nodes.join(open_, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("left"))
+    state = settle(state.withColumn("level", F.when(F.col("left") == 0, F.lit(0))))
+    level = 0
+    while not (front := state.where(F.col("level") == level)).isEmpty():
+        met = front.select(F.col("node").alias("dst")).join(edges, "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met"))
+        left = F.col("left") - F.coalesce("met", F.lit(0))
         level += 1
+        state = settle(state.join(met, "node", "left").select("node", left.alias("left"), F.coalesce("level", F.when(left == 0, F.lit(level))).alias("level")))
+    if not state.where("level is null").isEmpty():
+        raise ValueError("the graph has a cycle")
+    return state.select("node", "level")
 
 
 def _spread_least(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,13 +166,15 @@ def levels_without_cycles(edges: DataFrame) -> DataFrame:
 def expand(edges: DataFrame, seeds: DataFrame, depth: int, types: DataFrame | None = None, callers: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
     """node, depth, via: bounded expansion of seeds by imports, types and callers.
 
-    Imports reach max(1, depth) steps; types (src, dst) reach `depth` and none at 0; callers are
-    one step and never go on. What is seen once is not expanded again; in a level imports come
+    Imports reach max(1, depth) steps; types (src, dst) reach `depth` and none at 0; callers (node,
+    and target if they belong to some seeds only) are one step and never go on. What is seen once is not expanded again; in a level imports come
     before types. Ignored nodes are dropped at the end but seeds stay.
     """
     seen = seeds.select("node").distinct().withColumns({"depth": F.lit(0), "via": F.lit("seed")})
     if callers is not None:
-        first = callers.join(seeds.select(F.col("node").alias("target")), "target").select("node").distinct().join(seen, "node", "left_anti")
+        if "target" in callers.columns:
+            callers = callers.join(seeds.select(F.col("node").alias("target")), "target", "left_semi")
+        first = callers.select("node").distinct().join(seen, "node", "left_anti")
         seen = seen.union(first.withColumns({"depth": F.lit(1), "via": F.lit("caller")}))
     seen = settle(seen)
     front_i = front_t = seen.where("via = 'seed'").select("node")

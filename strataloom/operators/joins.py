@@ -23,6 +23,28 @@ def callers_of(targets: DataFrame, defs: DataFrame, calls: DataFrame, residual:
     return pairs.withColumn("own", key).join(own, "own", "left_anti").select("target", "node").distinct()
 
 
+def calling_files(targets: DataFrame, defs: DataFrame, calls: DataFrame) -> DataFrame:
+    """node: the files that callers_of names for any target, without a row for each pair, so that a common name costs its calls and definitions only.
+
+    Outside Go and Swift the name alone decides: a semi join. Within them, a call reaches its own
+    folder or the package that it names, which makes the folder part of the key.
+    """
+    exported = defs.where("is_exported").join(targets.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("target"), "name").distinct()
+    asked = calls.select(F.col("path").alias("node"), "name", "module").distinct()
+    scoped = F.col("target").endswith(".go") | F.col("target").endswith(".swift")
+    free = asked.join(exported.where(~scoped).select("name").distinct(), "name", "left_semi")
+    # Scoped targets: the same folder, or (by its name) the last part of the call's module; a Swift call without a module reaches any.
+    near = exported.where(scoped).select("name", dirname(F.col("target")).alias("folder"))
+    here = asked.withColumn("folder", dirname(F.col("node"))).join(near, ["name", "folder"], "left_semi").drop("folder")
+    package = near.select("name", basename(F.col("folder")).alias("package")).distinct()
+    named = asked.where("module is not null").join(package, "name").where(F.col("module").endswith(F.col("package"))).select("node", "name", "module")
+    swift = exported.where(F.col("target").endswith(".swift")).select("name").distinct()
+    loose = asked.where("module is null").join(swift, "name", "left_semi")
+    found = free.select("node").union(here.select("node")).union(named.select("node")).union(loose.select("node")).distinct()
+    own = targets.select(basename(F.col("path")).alias("own")).distinct()
+    return found.withColumn("own", basename(F.col("node"))).join(own, "own", "left_anti").select("node")
+
+
 def call_may_reach(target: Column, node: Column, module: Column) -> Column:
     """A call in a Go or Swift file reaches its own folder's files, or those of the package that it names; other languages go by name alone."""
     near = (dirname(target) == dirname(node)) | module.endswith(basename(dirname(target)))

@@ -7,7 +7,6 @@ candidate that exists wins. Modules that nothing matches are external, with a co
 from __future__ import annotations
 
 import posixpath
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,10 +17,37 @@ from pyspark.sql import functions as F
 CANDIDATES = "path string, module string, item string, ord int, target string, confidence double"
 
 _SCRIPT = {"js": ("js", "jsx", "ts", "tsx"), "ts": ("ts", "tsx", "js", "jsx")}
+_SCRIPT_FILES = ("js", "jsx", "mjs", "cjs", "ts", "tsx")
 _RUST_STD = ("std", "core", "alloc", "proc_macro", "test")
-#: Bare names that always mean an outside package.
-NODE_BUILTINS = frozenset("assert buffer child_process cluster console crypto dns events fs http http2 https net os path perf_hooks process querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib".split())
-COMMON_PACKAGES = frozenset("react react-dom next vue express lodash axios typescript jest webpack babel eslint prettier moment redux rxjs jquery chalk commander dotenv uuid".split())
+#: First parts of module names that always mean an outside package: Node's own, common packages of JavaScript, more of TypeScript, Python's own, common packages of Python.
+NODE_BUILTINS = frozenset(
+    "assert buffer child_process cluster crypto dgram dns domain events fs http https net os path punycode querystring readline repl stream string_decoder tls tty url util v8 vm zlib process console timers module".split()
+)
+COMMON_PACKAGES = frozenset(
+    "react react-dom vue angular lodash express next webpack babel eslint typescript jest mocha chai sinon axios moment dayjs socket.io cors helmet bcrypt jsonwebtoken passport multer nodemailer mongoose sequelize prisma"
+    " graphql apollo redux mobx zustand styled-components emotion tailwindcss".split()
+)
+TYPED_PACKAGES = frozenset("@types/node @types/react @types/express ts-node tsx tsc".split())
+PYTHON_STANDARD = frozenset(
+    "os sys json math random datetime collections itertools functools re time subprocess pathlib typing asyncio unittest logging argparse urllib http email csv sqlite3 threading multiprocessing abc enum dataclasses"
+    " contextlib io pickle copy hashlib base64 secrets uuid platform socket ssl select queue struct array bisect heapq weakref types importlib pkgutil inspect ast dis traceback linecache tokenize keyword builtins __future__"
+    " gc signal atexit concurrent xml html ftplib poplib imaplib smtplib telnetlib socketserver xmlrpc ipaddress shutil tempfile glob fnmatch stat filecmp zipfile tarfile gzip bz2 lzma zlib configparser netrc plistlib"
+    " statistics decimal fractions numbers cmath operator difflib textwrap unicodedata stringprep codecs encodings locale gettext warnings pprint reprlib graphlib".split()
+)
+PYTHON_PACKAGES = frozenset(
+    "numpy pandas requests flask django pytest matplotlib scipy sklearn tensorflow torch beautifulsoup4 selenium pygame pillow sqlalchemy celery redis pymongo aiohttp fastapi pydantic click tqdm colorama setuptools pip wheel".split()
+)
+
+
+def is_external(file: str, module: str) -> bool:
+    """Whether the module's first part is an outside package, whatever files there are."""
+    ext = file.rsplit(".", 1)[-1].lower()
+    if ext in ("py", "pyi"):
+        return module.split(".")[0] in PYTHON_STANDARD | PYTHON_PACKAGES
+    if ext in _SCRIPT_FILES:
+        first = module.split("/")[0]
+        return first in NODE_BUILTINS or first in COMMON_PACKAGES or module in TYPED_PACKAGES or module.startswith("node:")
+    return ext == "rs" and module.split("::")[0] in _RUST_STD
 
 
 @dataclass
@@ -83,7 +109,7 @@ def _python(file: str, module: str, item: str | None, p: Project) -> Iterator[tu
     if dots:
         base = _up(here, dots - 1)
         bases = [] if base is None else [base]
-    elif rest and rest[0] in sys.stdlib_module_names:
+    elif is_external(file, module):
         return
     else:
         bases = ["", here]
@@ -101,7 +127,7 @@ def _script(extensions: tuple[str, ...]):
         here = posixpath.dirname(file)
         if module.startswith("."):
             bases = [here]
-        elif module in NODE_BUILTINS or module in COMMON_PACKAGES or module.startswith(("node:", "@types/")):
+        elif is_external(file, module):
             return
         else:
             bases = ["", "src", here]
@@ -150,9 +176,9 @@ def candidates(file: str, module: str, item: str | None, project: Project) -> li
 
 
 def external_confidence(file: str, module: str) -> float:
-    ext = file.rsplit(".", 1)[-1].lower()
-    sure = {"rs": module.split("::")[0] in _RUST_STD, "py": module.split(".")[0] in sys.stdlib_module_names, "go": "." not in module.split("/")[0]}
-    return 1.0 if sure.get(ext, module in NODE_BUILTINS) else 0.5
+    """1.0 for what is known to lie outside, 0.5 for what merely was not found."""
+    known = is_external(file, module) or (file.endswith(".go") and "." not in module.split("/")[0])
+    return 1.0 if known else 0.5
 
 
 def resolve(imports: DataFrame, files: DataFrame, project: Project | None = None) -> DataFrame:

@@ -108,6 +108,12 @@ def _meet(a: list[str], where: dict[tuple, list[int]], i: int, j: int, end: int,
     return (best[1], best[2]) if best else (len(a), end)
 
 
+def _lines(text: str) -> list[str]:
+    """Lines that a line feed ends (with or without a carriage return); one empty line after a last feed does not count."""
+    rows = [x.removesuffix("\r") for x in text.split("\n")]
+    return rows[:-1] if not rows[-1] else rows
+
+
 def diff(pairs: DataFrame, context: int = 3) -> DataFrame:
     """A row for each hunk of pairs (key, old, new); a null text is empty, texts with a NUL give one binary hunk without lines."""
 
@@ -119,7 +125,7 @@ def diff(pairs: DataFrame, context: int = 3) -> DataFrame:
                 if "\0" in old or "\0" in new:
                     found = [Hunk(1, 0, 1, 0, 0, 0, "binary\n")] if old != new else []
                 else:
-                    found = hunks(old.splitlines(), new.splitlines(), context)
+                    found = hunks(_lines(old), _lines(new), context)
                 rows += [(key, n, h.old_start, h.old_lines, h.new_start, h.new_lines, h.removed, h.added, h.text) for n, h in enumerate(found)]
             cols = list(zip(*rows, strict=True)) or [()] * 9
             kinds = (x.schema.field(0).type, *[pa.int32()] * 7, pa.string())

@@ -70,9 +70,9 @@ def _expanded(a: Analysis, seeds: DataFrame, s: Settings, project: Project | Non
     callers = None
     if s.callers:
         targets = seeds.select(F.col("relative_path").alias("path"))
-        called = joins.callers_of(targets, a.facts["defs"], a.facts["calls"], joins.call_may_reach(F.col("target"), F.col("node"), F.col("module")))
-        importing = a.imports.join(targets.toDF("dst"), "dst", "left_semi").select(F.col("dst").alias("target"), F.col("src").alias("node"))
-        callers = called.union(importing).distinct()
+        called = joins.calling_files(targets, a.facts["defs"], a.facts["calls"])
+        importing = a.imports.join(targets.toDF("dst"), "dst", "left_semi").select(F.col("src").alias("node"))
+        callers = called.union(importing.select("node")).distinct()
     reached = graph.expand(imports, nodes, s.semantic_depth, a.types if s.types else None, callers)
     out = reached.select(F.col("node").alias("relative_path")).join(a.files.drop("priority"), "relative_path")
     given = seeds.select("relative_path", F.col("priority").alias("given"))
@@ -115,13 +115,36 @@ def corpus_query(spark: SparkSession, s: Settings) -> DataFrame:
             a = analyse(whole, project)
             files = _with_importers(_expanded(a, files.select("relative_path", "priority"), s, project), a.edges)
             edges = a.edges
-        parts.append(fit(files, edges, s.budget()).withColumn("root", F.lit(root)))
+        files = fit(files, edges, s.budget()).withColumn("root", F.lit(root))
+        parts.append(with_history(files, spark, root, s.history) if s.history else files)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+def with_history(files: DataFrame, spark: SparkSession, root: str, depth: int) -> DataFrame:
+    """files with history: the last `depth` commits of each (message, author), newest first; empty outside a repository."""
+    try:
+        top = Path(gitlog.repository_root(root))
+    except gitlog.GitError:
+        return files.withColumn("history", F.array().cast("array<struct<message:string,author:string>>"))
+    below = Path(root).resolve().relative_to(top.resolve()).as_posix()
+    at = F.col("relative_path") if below == "." else F.concat(F.lit(f"{below}/"), F.col("relative_path"))
+    rows = gitlog.history(spark, str(top), depth).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "message", "author"))).alias("h"))
+    told = files.withColumn("_at", at).join(rows.withColumnRenamed("path", "_at"), "_at", "left").drop("_at")
+    return told.withColumn("history", F.coalesce(F.transform("h", lambda x: F.struct(x["message"].alias("message"), x["author"].alias("author"))), F.array().cast("array<struct<message:string,author:string>>"))).drop("h")
+
+
+def whole_document(spark: SparkSession, s: Settings) -> DataFrame:
+    """part, place, key, fragment of a Markdown document for each root, in order of root_no: header, statistics, tree, contents, files."""
+    out = None
+    for n, root in enumerate(s.directories):
+        one = render.document(corpus_query(spark, replace(s, paths=[root])), root).withColumn("root_no", F.lit(n))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def document(spark: SparkSession, s: Settings) -> DataFrame:
     """Fragments (ord, fragment) of the corpus query in the chosen format."""
     return render.FORMATS[s.format](corpus_query(spark, s))

@@ -29,7 +29,7 @@ c AS (SELECT path, path AS relative_path, strlen(text)::BIGINT AS size, text AS
 """
 TRANSITIONS = """
 e AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1
-  WHERE a.event_type = 'error' AND b.event_type = 'error' AND a.user_id <> b.user_id)
+  WHERE a.user_id <> b.user_id)
 """
 
 
@@ -319,7 +319,7 @@ def bounded_expansion(spark, d):
     return graph.expand(*_graph(spark, d), 2)
 
 
-@query("WITH RECURSIVE " + TRANSITIONS + ", s AS (SELECT min(src) AS a, max(dst) AS z FROM e), r AS (SELECT a AS node, 0 AS depth FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 20) SELECT min(depth)::BIGINT AS length FROM r, s WHERE node = z HAVING min(depth) IS NOT NULL")
+@query("WITH RECURSIVE " + TRANSITIONS + ", s AS (SELECT min(src) AS a, max(dst) AS z FROM e), r AS (SELECT a AS node, 0 AS depth FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < (SELECT count(DISTINCT src) FROM e)) SELECT min(depth)::BIGINT AS length FROM r, s WHERE node = z HAVING min(depth) IS NOT NULL")
 def shortest_path_len(spark, d):
     e, _ = _graph(spark, d)
     a, z = e.agg(F.min("src"), F.max("dst")).first()
@@ -339,9 +339,9 @@ def cycles(spark, d):
     return graph.cycles(_graph(spark, d)[0])
 
 
-@query("WITH RECURSIVE " + TRANSITIONS + ", f AS (SELECT * FROM e WHERE src < dst AND dst - src <= 20), n AS (SELECT src AS node FROM f UNION SELECT dst FROM f), r AS (SELECT node, 0 AS level FROM n UNION SELECT f.src, r.level + 1 FROM r JOIN f ON f.dst = r.node) SELECT node, max(level)::INTEGER AS level FROM r GROUP BY node")
+@query("WITH RECURSIVE " + TRANSITIONS + ", f AS (SELECT * FROM e WHERE src < dst), n AS (SELECT src AS node FROM f UNION SELECT dst FROM f), r AS (SELECT node, 0 AS level FROM n UNION SELECT f.src, r.level + 1 FROM r JOIN f ON f.dst = r.node) SELECT node, max(level)::INTEGER AS level FROM r GROUP BY node")
 def topo_levels(spark, d):
-    return graph.topological_levels(_graph(spark, d)[0].where("src < dst and dst - src <= 20"))
+    return graph.topological_levels(_graph(spark, d)[0].where("src < dst"))
 
 
 @query("WITH f AS (SELECT 's' || s_suppkey AS path, s_acctbal / 1000 AS priority FROM supplier UNION ALL SELECT 'p' || p_partkey, p_size / 10.0::DOUBLE FROM part), e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), g AS (SELECT dst AS path, sum(0.2::DOUBLE * priority) AS gain FROM e JOIN f ON f.path = e.src GROUP BY dst) SELECT path, round(CASE WHEN gain > 0 THEN least(priority + gain, 5.0) ELSE priority END, 6) AS priority FROM f LEFT JOIN g USING (path)")
@@ -415,7 +415,15 @@ def json_attributes(spark, d):
     return S.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")).withColumn("k_int", F.expr("try_cast(k as bigint)"))
 
 
-@query()  # the rounding of printf to one decimal differs between engines
+ONE_DECIMAL = "printf('%.1f', round_even({}::DECIMAL(30, 12), 1)::DOUBLE)"
+
+
+@query(
+    "WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events),"
+    " m AS (SELECT event_type AS f, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM k WHERE r <= 1000 GROUP BY 1),"
+    " c AS (SELECT event_type AS f, count(*) AS n, 100.0::DOUBLE * (count(*) FILTER (event_type = 'error') / count(*)::DOUBLE) AS rate FROM events GROUP BY 1)"
+    f" SELECT f AS function_name, '// calls: ' || n || ', p50: ' || {ONE_DECIMAL.format('p50')} || ' ms, p95: ' || {ONE_DECIMAL.format('p95')} || ' ms, p99: ' || {ONE_DECIMAL.format('p99')} || ' ms, errors: ' || {ONE_DECIMAL.format('rate')} || '%' AS comment FROM m JOIN c USING (f)"
+)
 def function_comments(spark, d):
     m = telemetry.metrics(S.spans(spark, d), ["function_name"], "duration_ms", ["start_ns", "span_id"], F.col("function_name") == "error")
     return m.select("function_name", telemetry.function_comment().alias("comment"))
@@ -461,6 +469,17 @@ def diff_stats(spark, d):
     return search.numstat_totals(li.select(F.col("l_orderkey").cast("string").alias("path"), plus.alias("insertions"), F.col("l_linenumber").cast("string").alias("deletions")))
 
 
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: i || ' ' || x) AS a FROM documents), k AS (SELECT *, (1 + doc_id % len(a))::INTEGER AS k FROM l)
+SELECT doc_id AS key, 0 AS hunk, greatest(1, k - 3)::INTEGER AS old_start, (least(3, k - 1) + 1)::INTEGER AS old_lines, greatest(1, k - 3)::INTEGER AS new_start, (least(3, k - 1) + 1)::INTEGER AS new_lines, 1 AS removed, 1 AS added,
+array_to_string(list_concat(list_transform(CASE WHEN k > 1 THEN a[greatest(1, k - 3):k - 1] ELSE [] END, lambda x: ' ' || x || chr(10)), ['-' || a[k] || chr(10), '+changed' || chr(10)], list_transform(a[k + 1:k + 3], lambda x: ' ' || x || chr(10))), '') AS text FROM k""")
+def one_line_diff(spark, d):
+    """Each document, its lines numbered, against itself with one line changed."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x))
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), lines.alias("a"))
+    at = F.pmod(F.col("key"), F.size("a"))
+    return search.diff(docs.select("key", F.array_join("a", "\n").alias("old"), F.array_join(F.transform("a", lambda x, i: F.when(i == at, F.lit("changed")).otherwise(x)), "\n").alias("new")))
+
+
 @query()
 def two_doc_diff(spark, d):
     """Each document against the next one."""

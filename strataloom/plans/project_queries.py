@@ -121,6 +121,12 @@ def project_callers(spark, d):
     return joins.callers_of(files.where("doc_id % 5 = 0").select("path"), found["defs"], found["calls"], joins.call_may_reach(F.col("target"), F.col("node"), F.col("module")))
 
 
+@query(WITH + "SELECT DISTINCT a.path AS node FROM f a JOIN f b ON b.i = a.i + 6 WHERE b.i % 5 = 0 AND a.i % 5 <> 0 AND a.k <> 5")
+def project_calling_files(spark, d):
+    files, found = P.files(spark, d), _facts(spark, d, "def", "call")
+    return joins.calling_files(files.where("doc_id % 5 = 0").select("path"), found["defs"], found["calls"])
+
+
 EXPANDED = WITH + """, s AS (SELECT i FROM f WHERE i % 97 = 0),
 r AS (SELECT DISTINCT f.i, f.k, f.path, f.i % 97 = 0 AS seed FROM s, (VALUES (-6), (0), (6), (12), (18)) v(d) JOIN f ON f.i = s.i + v.d)
 SELECT r.path AS relative_path, CASE WHEN b.path IS NULL THEN '' ELSE b.path END AS imports, CASE WHEN a.path IS NULL THEN '' ELSE a.path END AS imported_by, r.seed

@@ -112,6 +112,11 @@ def document(files: DataFrame, label: str = ".", statistics_: bool = True, tree_
     return out.union(markdown_files(files).select(*at(4, 1), rank, "fragment"))
 
 
+def joined(fragments: DataFrame) -> str:
+    """The text of a document that is known to be small (a token budget bounds it)."""
+    return "".join(r["fragment"] for r in fragments.orderBy("part", "place", "key").toLocalIterator())
+
+
 def write_document(fragments: DataFrame, path: str) -> None:
     """Text files whose names follow the order of a document's fragments, which all end a line."""
     fragments.orderBy("part", "place", "key").select(F.regexp_replace("fragment", r"\n\z", "")).write.text(path)

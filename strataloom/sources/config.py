@@ -27,6 +27,7 @@ class Settings:
     callers: bool = False
     types: bool = False
     format: str = "markdown"
+    history: int = 0  #: commits of each file to show
 
     def check(self) -> Settings:
         if self.format not in ("markdown", "xml", "plain", "paths"):

@@ -34,8 +34,8 @@ def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: users of one error event and the next, where that is an error too."""
-    e = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id")
+    """src, dst: the users of one event and the next, where they differ."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
     nxt = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("dst"))
     return e.join(nxt, "event_id").select(F.col("user_id").alias("src"), "dst").where("src <> dst").distinct()
 

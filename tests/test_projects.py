@@ -50,6 +50,28 @@ def test_scan_ignores_and_errors(spark, tmp_path):
     assert names(corpus.scan(spark, root, corpus.ScanOptions(include=["*.py"], ignore=["a.*"]))) == []
 
 
+def test_scan_obeys_folders_above_and_reads_only_what_is_asked(spark, tmp_path, monkeypatch):
+    subprocess.run(["git", "init", "-q", tmp_path], check=True)
+    (tmp_path / "home/git").mkdir(parents=True)
+    (tmp_path / "home/git/ignore").write_text("*.swp\n")
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home"))
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", str(tmp_path / "none"))
+    (tmp_path / ".git/info/exclude").write_text("secret*\n")
+    root = write(tmp_path / "a/b", {
+        ".gitignore": "!kept.tmp\nlocal/\n", "x.py": "x", "x.swp": "x", "secret.py": "x", "kept.tmp": "x", "gone.tmp": "x", "deep/gone.tmp": "x", "deep/.ignore": "*.md\n!y.md\n",
+        "deep/z.md": "x", "deep/y.md": "x", "local/q.py": "x", "only/here.py": "x", "raw.dat": b"a\0b", "pic.PNG": b"\x89PNG", "z.md": "x",
+    })
+    (tmp_path / ".gitignore").write_text("*.tmp\n/a/b/only/\n")
+    assert names(corpus.scan(spark, root)) == ["deep/y.md", "kept.tmp", "pic.PNG", "raw.dat", "x.py", "z.md"]
+    assert names(corpus.scan(spark, root, corpus.ScanOptions(skip_binary=True))) == ["deep/y.md", "kept.tmp", "x.py", "z.md"]
+    assert [f[1] for f in corpus.list_files(root, corpus.ScanOptions(include=["*.md"], ignore=["deep/"]))] == ["z.md"]
+    for f in (tmp_path / "a/b").rglob("*"):
+        if f.is_file() and not f.name.startswith("."):
+            f.chmod(0)
+    bare = corpus.scan(spark, root, content=False)
+    assert names(bare) == ["deep/y.md", "kept.tmp", "pic.PNG", "raw.dat", "x.py", "z.md"] and bare.where("content is not null or error is not null").count() == 0
+
+
 def test_patterns_are_checked():
     for bad in ("/etc/passwd", "../x", "a\0b", "x" * 1001):
         with pytest.raises(BadPattern):
@@ -260,3 +282,67 @@ def test_streaming_windows(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("metrics").agg(F.sum("call_count")).first()[0] == rows.count()
+
+
+def test_calling_files_are_those_of_the_pairs(spark):
+    from strataloom.operators import joins
+
+    rng = random.Random(9)
+    path = lambda: rng.choice(["a/x", "a/y", "b/x", "b/pack/z", "pack/w", "q"]) + rng.choice([".py", ".go", ".swift", ".rs"])
+    defs = spark.createDataFrame([(path(), rng.choice("fgh"), rng.random() < 0.8, 1) for _ in range(40)], "path string, name string, is_exported boolean, line int")
+    calls = spark.createDataFrame([(path(), rng.choice("fghk"), rng.choice([None, "pack", "x/pack", "b", "a"]), 1) for _ in range(120)], "path string, name string, module string, line int")
+    for k in range(4):
+        targets = defs.select("path").distinct().orderBy(F.xxhash64("path", F.lit(k))).limit(4)
+        want = joins.callers_of(targets, defs, calls, joins.call_may_reach(F.col("target"), F.col("node"), F.col("module"))).select("node").distinct()
+        assert sorted(want.collect()) == sorted(joins.calling_files(targets, defs, calls).collect())
+
+
+def test_service_answers(spark, tmp_path):
+    from strataloom.plans import service
+
+    root = write(tmp_path / "p", PYTHON)
+    ask = lambda method, **p: service.handle(spark, {"jsonrpc": "2.0", "id": 7, "method": method, "params": p})
+    assert ask("health_check")["result"]["status"] == "healthy"
+    got = ask("analyze_local", prompt="why", path=root, include_context=True)["result"]
+    assert got["file_count"] == 4 and "## main.py" in got["markdown"] and got["markdown"].startswith("# Code Context: .") and got["token_count"] > 0
+    got = ask("search_codebase", path=root, query="HELPER", max_results=2)["result"]
+    assert [(r["file_path"], r["line_number"]) for r in got["results"]] == [("api.py", 4), ("main.py", 1)] and got["files_searched"] == 4
+    assert [r["symbol_name"] for r in ask("semantic_search", path=root, query="hel", search_type="functions")["result"]["results"]] == ["helper"]
+    got = ask("diff_files", file1_path=f"{root}/main.py", file2_path=f"{root}/api.py")["result"]
+    assert got["added_lines"] == 4 and got["removed_lines"] == 3 and not got["is_binary"] and got["hunks"][0]["old_start"] == 1
+    assert ask("file_metadata", file_path=f"{root}/main.py")["result"]["language"] == "python"
+    assert ask("nothing")["error"]["code"] == -32601 and ask("search_codebase", path=root)["error"]["code"] == -32602
+    assert ask("search_codebase", path="../x", query="a")["error"]["code"] == -32602 and service.handle(spark, {"method": "x"})["error"]["code"] == -32600
+    now = [0.0]
+    answers = service.Answers(most=1, seconds=10, clock=lambda: now[0])
+    for at, method in ((0, "health_check"), (5, "health_check"), (20, "health_check")):
+        now[0] = at
+        answers.handle(spark, {"jsonrpc": "2.0", "id": at, "method": method})
+    assert answers.stats() == {"entries": 1, "hits": 1, "misses": 2}
+
+
+def test_token_counts_of_a_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strataloom.operators import token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    texts = [None, "", "one two", "x\n\n  y\n" * 50, "\n".join("word " * rng.randint(1, 9) + "end" for _ in range(60_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, "one two")], "tokens int, content string")
+    got = token_counts.with_token_counts(df.withColumnRenamed("tokens", "id"), path)
+    assert sorted(map(tuple, got.select("id", "tokens").collect())) == [(i, len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)] + [(9, 2)]
+
+
+def test_history_in_documents(spark, tmp_path):
+    root = write(tmp_path, PYTHON)
+    git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (tmp_path / "utils.py").write_text("y = 2\n")
+    git("commit", "-qam", "two")
+    text = render.joined(api.whole_document(spark, config.Settings(paths=[root], include=["utils.py"], history=2)).drop("root_no"))
+    assert "## utils.py\n\nGit history:\n  - two by t\n  - one by t\n\n```python\ny = 2\n```" in text

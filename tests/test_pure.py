@@ -82,7 +82,7 @@ def test_resolution_candidates():
     assert first("cmd/m.go", "ex.org/app/store", None, {"store"}, Project(go_module="ex.org/app")) == "store"
     assert first("Sources/A/x.swift", "B", None, {"Sources/B"}) == "Sources/B"
     assert candidates("a.py", "....x", None, Project()) == []
-    assert external_confidence("a.py", "os.path") == 1.0 and external_confidence("a.py", "numpy") == 0.5
+    assert external_confidence("a.py", "os.path") == 1.0 and external_confidence("a.py", "numpy") == 1.0 and external_confidence("a.py", "ours") == 0.5
 
 
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
