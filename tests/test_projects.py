@@ -62,6 +62,8 @@ def test_scan_obeys_folders_above_and_reads_only_what_is_asked(spark, tmp_path,
         "deep/z.md": "x", "deep/y.md": "x", "local/q.py": "x", "only/here.py": "x", "raw.dat": b"a\0b", "pic.PNG": b"\x89PNG", "z.md": "x",
     })
     (tmp_path / ".gitignore").write_text("*.tmp\n/a/b/only/\n")
+    assert [f[1] for f in corpus.list_files(root, corpus.ScanOptions())] == ["deep/y.md", "kept.tmp", "pic.PNG", "raw.dat", "x.py", "z.md"]
+    (tmp_path / "a/b/x.swp").unlink()  # Spark's workers have the environment that the session started with
     assert names(corpus.scan(spark, root)) == ["deep/y.md", "kept.tmp", "pic.PNG", "raw.dat", "x.py", "z.md"]
     assert names(corpus.scan(spark, root, corpus.ScanOptions(skip_binary=True))) == ["deep/y.md", "kept.tmp", "x.py", "z.md"]
     assert [f[1] for f in corpus.list_files(root, corpus.ScanOptions(include=["*.md"], ignore=["deep/"]))] == ["z.md"]
