@@ -53,6 +53,35 @@ def symbols(facts: dict[str, DataFrame], query: str, kind: str, most: int | None
     return found if most is None else found.orderBy("path", "line", "name", "kind").limit(most)
 
 
+def _runs_of(words: Column, n: int) -> Column:
+    """The distinct runs of n words, each joined by blanks; null if there are none."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+
+def texts_with_passage(docs: DataFrame, items: DataFrame, words: int = 4) -> DataFrame:
+    """doc, item for each text (doc, text) that holds a passage (item, passage): a containment join made equi.
+
+    A text that holds a passage holds all of its words but the first and the last whole (these may
+    be parts of longer ones), so up to `words` of them in a row are the key. Texts give keys of the
+    lengths that occur only. Passages of one or two words have no key and are compared with every text.
+    """
+    inner = F.split("passage", " ")
+    length = F.least(F.size(inner) - 2, F.lit(words))
+    items = items.select("item", "passage", length.alias("n"), F.array_join(F.slice(inner, 2, F.greatest(length, F.lit(0))), " ").alias("key"))
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # `words` + 2 values at most
+    split = docs.select("doc", "text", F.split("text", " ").alias("w"))
+    out = None
+    for n in lengths:
+        own = items.where(F.col("n") == n)
+        if n <= 0:
+            pairs = docs.join(own, F.col("text").contains(F.col("passage")))
+        else:
+            pairs = split.select("doc", "text", F.explode(_runs_of(F.col("w"), n)).alias("key")).join(own, "key").where(F.col("text").contains(F.col("passage")))
+        out = pairs.select("doc", "item") if out is None else out.union(pairs.select("doc", "item"))
+    return docs.select("doc").limit(0).crossJoin(items.select("item").limit(0)) if out is None else out.distinct()
+
+
 @dataclass
 class Hunk:
     """One difference: where it starts (from 1, context included), how many lines of either side it covers, and its text."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -145,6 +146,17 @@ def whole_document(spark: SparkSession, s: Settings) -> DataFrame:
     return out
 
 
+def ask(spark: SparkSession, s: Settings, command: list[str], seconds: float = 600.0) -> str:
+    """What a program says that reads the prompt and the document; both must fit the token budget, which bounds what the driver holds."""
+    if s.budget() is None:
+        raise ValueError("a program is only given a document within a token budget")
+    text = render.joined(whole_document(spark, replace(s, paths=s.directories[:1])).drop("root_no"))
+    done = subprocess.run(command, input=f"{s.prompt or ''}\n\n{text}".lstrip("\n"), capture_output=True, text=True, timeout=seconds)
+    if done.returncode:
+        raise RuntimeError(done.stderr.strip()[-200:] or f"{command[0]} failed")
+    return done.stdout
+
+
 def document(spark: SparkSession, s: Settings) -> DataFrame:
     """Fragments (ord, fragment) of the corpus query in the chosen format."""
     return render.FORMATS[s.format](corpus_query(spark, s))

@@ -146,10 +146,10 @@ def lca_path(spark, d):
     return p.join(nxt, "page_id").select("page_id", C.common_ancestor(F.col("path"), F.col("other")).alias("ancestor"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 40), '^(.).*$', '\\1', 's') AS head, upper(substr(text, 1, 1)) || substr(text, 2, 39) AS shown FROM documents")
+@query("SELECT doc_id, substr(text, 1, 1) AS head, CASE substr(text, 1, 1) WHEN 'ß' THEN 'SS' ELSE upper(substr(text, 1, 1)) END || substr(text, 2) AS shown FROM documents")
 def capitalised(spark, d):
     t = F.col("text")
-    return S.table(spark, d, "documents").select("doc_id", F.left(t, F.lit(1)).alias("head"), C.capitalise(F.left(t, F.lit(40))).alias("shown"))
+    return S.table(spark, d, "documents").select("doc_id", F.left(t, F.lit(1)).alias("head"), C.capitalise(t).alias("shown"))
 
 
 @query("SELECT event_id, epoch_us(ts) * 1000 AS nanos FROM events")
@@ -181,7 +181,7 @@ SELECT page_id, ord::INTEGER AS ord, arg_min(w, o) AS resolved, min(o)::INTEGER
 )
 def import_resolve_ranked(spark, d):
     """Links resolve to documents whose first word they name: as written, without punctuation, capitalised."""
-    bare = F.substring("target", 2, 1_000_000)
+    bare = F.substring("target", F.lit(2), F.length("target"))
     cand = F.array(F.struct(F.lit(0).alias("o"), bare.alias("w")), F.struct(F.lit(1).alias("o"), F.regexp_replace(bare, "[.,]$", "").alias("w")), F.struct(F.lit(2).alias("o"), C.capitalise(bare).alias("w")))
     rows = S.hrefs(spark, d).select("page_id", "ord", F.explode(cand).alias("c")).select("page_id", "ord", "c.o", "c.w")
     known = S.table(spark, d, "documents").select(F.split("text", " ", 2)[0].alias("w"))
@@ -195,15 +195,9 @@ def reverse_edges(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)")
 def type_refs_by_passage(spark, d):
-    """A theta join made equi: a text that holds a passage holds its second to fifth words whole (the first may end a longer word)."""
     docs, items = S.table(spark, d, "documents"), S.table(spark, d, "benchmark")
-    w, p = F.split("text", " "), F.split("passage", " ")
-    items = items.select("item_id", F.col("text").alias("passage")).withColumns({"n": F.size(p), "key": F.array_join(F.slice(p, 2, 4), " ")})
-    after = [F.slice(w, k, F.size(w)) for k in (2, 3, 4)]
-    grams = F.array_distinct(F.transform(F.arrays_zip(w.alias("a"), *[x.alias(n) for x, n in zip(after, "bcd", strict=True)]), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"], z["d"])))
-    long = docs.select("doc_id", "text", F.explode(grams).alias("key")).join(items.where("n >= 6"), "key").where(F.col("text").contains(F.col("passage")))
-    short = docs.join(items.where("n < 6"), F.col("text").contains(F.col("passage")))
-    return long.select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
+    found = search.texts_with_passage(docs.select(F.col("doc_id").alias("doc"), "text"), items.select(F.col("item_id").alias("item"), F.col("text").alias("passage")))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 @query("SELECT DISTINCT c.c_custkey AS src, s.s_suppkey AS dst FROM customer c JOIN supplier s ON split_part(c.c_name, '#', 2) = split_part(s.s_name, '#', 2)")

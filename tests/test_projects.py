@@ -348,3 +348,23 @@ def test_history_in_documents(spark, tmp_path):
     git("commit", "-qam", "two")
     text = render.joined(api.whole_document(spark, config.Settings(paths=[root], include=["utils.py"], history=2)).drop("root_no"))
     assert "## utils.py\n\nGit history:\n  - two by t\n  - one by t\n\n```python\ny = 2\n```" in text
+
+
+def test_passages_of_any_length(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "ab", "b", "ba", "c"])
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(99, "")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 8)))) for i in range(50)]
+    got = search.texts_with_passage(spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, passage string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, k) for i, t in docs for k, p in items if p in t)
+    assert search.texts_with_passage(spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame([], "item long, passage string")).count() == 0
+
+
+def test_a_program_reads_prompt_and_document(spark, tmp_path):
+    root = write(tmp_path, PYTHON)
+    got = api.ask(spark, config.Settings(paths=[root], include=["main.py"], prompt="why?", max_tokens=5000), ["cat"])
+    assert got.startswith("why?\n\n# Code Context: ") and "helper(1)" in got
+    with pytest.raises(RuntimeError):
+        api.ask(spark, config.Settings(paths=[root], max_tokens=5000), ["false"])
+    with pytest.raises(ValueError):
+        api.ask(spark, config.Settings(paths=[root]), ["cat"])
