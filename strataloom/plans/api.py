@@ -198,6 +198,11 @@ def diff_query(spark: SparkSession, repo: str, old: str, new: str, s: Settings)
     return out, search.numstat_totals(gitlog.numstat(spark, root, old, new))
 
 
+def diff_document(spark: SparkSession, repo: str, old: str, new: str, s: Settings) -> DataFrame:
+    """Fragments of the report on what changed between two revisions."""
+    return render.diff_document(*diff_query(spark, repo, old, new, s), old, new)
+
+
 def telemetry_query(spark: SparkSession, traces: str, roots: list[str], service: str | None = None, between: tuple[int, int] | None = None) -> dict[str, DataFrame]:
     """metrics by function, the correlated spans and a one-row summary."""
     spans = otlp.read(spark, traces).where("error is null")

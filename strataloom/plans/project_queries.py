@@ -229,3 +229,20 @@ def whole_document(spark, d):
 def document_file_count(spark, d):
     """Lines that look like file headings, but for the three of the document itself; content lines that look so count, too."""
     return render.file_count(render.document(S.corpus(spark, d), "."))
+
+
+DIFFED = """, x AS (SELECT path, content, doc_id % 6 = 0 AS changed, regexp_extract(path, '([^.]*)$', 1) AS e FROM c WHERE doc_id % 3 = 0),
+d(part, place, key, fragment) AS (SELECT 0, 0, '', '# Git Diff Analysis: a → b' || chr(10) || chr(10) || 'From: a' || chr(10) || 'To: b' || chr(10) || chr(10)
+ UNION ALL SELECT 1, 0, '', '## Diff Statistics' || chr(10) || chr(10) || '- **Files changed**: ' || count(*) FILTER (changed) || chr(10) || '- **Lines added**: 7' || chr(10) || '- **Lines removed**: 5' || chr(10) || chr(10) FROM x
+ UNION ALL SELECT 2, 0, '', '## Changed Files' || chr(10) || chr(10) UNION ALL SELECT 2, 1, path, '- `' || path || '`' || chr(10) FROM x WHERE changed UNION ALL SELECT 2, 2, '', chr(10)
+ UNION ALL SELECT 3, 0, '', '## Semantic Context Files' || chr(10) || chr(10) UNION ALL SELECT 3, 1, path, '- `' || path || '`' || chr(10) FROM x WHERE NOT changed UNION ALL SELECT 3, 2, '', chr(10)
+ UNION ALL SELECT 4, 0, '', '## File Contents' || chr(10) || chr(10)
+ UNION ALL SELECT 4, 1, path, '### ' || path || chr(10) || chr(10) || '```' || CASE e WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' ELSE 'markdown' END || chr(10) || content || chr(10) || '```' || chr(10) || chr(10) FROM x)
+SELECT * FROM d UNION ALL SELECT 5, 0, '', '## Context Statistics' || chr(10) || chr(10) || '- **Files processed**: ' || (SELECT count(*) FROM x) || chr(10) || '- **Estimated tokens**: ' || ceil(sum(strlen(fragment)) / 4.0)::BIGINT || chr(10) FROM d"""
+
+
+@query(CORPUS + DIFFED)
+def diff_document(spark, d):
+    files = S.corpus(spark, d).where("doc_id % 3 = 0").withColumns({"changed": F.col("doc_id") % 6 == 0, "error": F.lit(None).cast("string")})
+    totals = files.agg(F.count_if("changed").alias("files_changed"), F.lit(7).alias("insertions"), F.lit(5).alias("deletions"))
+    return render.diff_document(files, totals, "a", "b")

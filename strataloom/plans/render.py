@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import anchor, fence_language, human_size, type_display, type_order
+from ..functions.columns import anchor, fence_language, fence_of_extension, human_size, type_display, type_order
 
 RULE = "=" * 64
 LINE = "-" * 64
@@ -138,9 +138,29 @@ def metrics_report(metrics: DataFrame) -> DataFrame:
     return heads.union(metrics.select(F.struct("path", "name").alias("ord"), text.alias("fragment")))
 
 
-def diff_report(changes: DataFrame) -> DataFrame:
-    """ord, fragment of changed files (path, change)."""
-    return changes.select(F.col("path").alias("ord"), F.concat(F.lit("- "), F.col("path"), F.lit(" ("), F.col("change"), F.lit(")\n")).alias("fragment"))
+def diff_document(files: DataFrame, totals: DataFrame, old: str, new: str) -> DataFrame:
+    """part, place, key, fragment of the report on two revisions: totals, changed files, files of the context, contents, and what it all takes.
+
+    files: relative_path, content, error and changed; totals: one row of files_changed, insertions, deletions.
+    """
+    spark, path = files.sparkSession, F.col("relative_path")
+    named = files.select(path, "content", "error", F.col("changed").alias("changed"))
+    fixed = [(0, 0, f"# Git Diff Analysis: {old} → {new}\n\nFrom: {old}\nTo: {new}\n\n"), (2, 0, "## Changed Files\n\n"), (2, 2, "\n"), (4, 0, "## File Contents\n\n")]
+    out = spark.createDataFrame([(p, q, "", t) for p, q, t in fixed], "part int, place int, key string, fragment string")
+    row = lambda part, place, key, text: (F.lit(part).alias("part"), F.lit(place).alias("place"), key.alias("key"), text.alias("fragment"))
+    none, line = F.lit(""), F.concat(F.lit("- `"), path, F.lit("`\n"))
+    said = F.concat(*[x for label, c in (("Files changed", "files_changed"), ("Lines added", "insertions"), ("Lines removed", "deletions")) for x in (F.lit(f"- **{label}**: "), F.col(c).cast("string"), F.lit("\n"))])
+    out = out.union(totals.select(*row(1, 0, none, F.concat(F.lit("## Diff Statistics\n\n"), said, F.lit("\n")))))
+    out = out.union(named.where("changed").select(*row(2, 1, path, line)))
+    counts = named.agg(F.count_if("changed").alias("c"), F.count_if(~F.col("changed")).alias("s"), F.count("*").alias("n"))
+    out = out.union(counts.where("c = 0").select(*row(2, 1, none, F.lit("No files changed.\n"))))
+    out = out.union(counts.where("s > 0").select(*row(3, 0, none, F.lit("## Semantic Context Files\n\n")))).union(counts.where("s > 0").select(*row(3, 2, none, F.lit("\n"))))
+    out = out.union(named.where("not changed").select(*row(3, 1, path, line)))
+    body = F.when(F.col("error").isNull(), F.concat(F.lit("```"), fence_of_extension(path), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n```\n\n"))).otherwise(F.concat(F.lit("*Error reading file: "), F.col("error"), F.lit("*\n\n")))
+    out = out.union(named.select(*row(4, 1, path, F.concat(F.lit("### "), path, F.lit("\n\n"), body))))
+    taken = out.agg(F.ceil(F.sum(F.octet_length("fragment")) / 4).cast("bigint").alias("t"))
+    last = counts.crossJoin(taken)  # one row each
+    return out.union(last.select(*row(5, 0, none, F.concat(F.lit("## Context Statistics\n\n- **Files processed**: "), F.col("n").cast("string"), F.lit("\n- **Estimated tokens**: "), F.col("t").cast("string"), F.lit("\n")))))
 
 
 def join_fragments(fragments: DataFrame, between: str = "") -> DataFrame:

@@ -208,6 +208,11 @@ def test_git_diff_query(spark, tmp_path):
     files, stats = api.diff_query(spark, root, "HEAD~1", "HEAD", config.Settings(callers=True))
     assert {r["relative_path"]: r["changed"] for r in files.collect()} == {"utils.py": True, "main.py": False, "api.py": False}
     assert stats.first().asDict() == {"files_changed": 1, "insertions": 1, "deletions": 0}
+    text = render.joined(api.diff_document(spark, root, "HEAD~1", "HEAD", config.Settings(callers=True)))
+    assert text.startswith("# Git Diff Analysis: HEAD~1 → HEAD\n\nFrom: HEAD~1\n") and "- **Lines added**: 1\n" in text and "## Changed Files\n\n- `utils.py`\n\n## Semantic Context Files\n\n- `api.py`\n- `main.py`\n\n" in text
+    assert "### main.py\n\n```python\nfrom utils" in text and text.rstrip().rpartition("\n")[2].startswith("- **Estimated tokens**: ")
+    same = render.joined(api.diff_document(spark, root, "HEAD", "HEAD", config.Settings()))
+    assert "No files changed.\n" in same and "Semantic" not in same
     assert [(r["ord"], r["message"]) for r in gitlog.history(spark, root).where("path = 'utils.py'").orderBy("ord").collect()] == [(1, "two"), (2, "one")]
     for bad in ("--output=x", "a..b", "a;b"):
         with pytest.raises(gitlog.GitError):
