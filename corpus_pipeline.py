@@ -10,6 +10,13 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before has
 5. packing: what is left becomes token sequences.
 
 All but the last return the columns of their input; n_chars follows the text.
+
+A null text is scored like an empty one and goes with the language stage, as an empty one does. A
+null id counts as a number beyond 2**62 that its text gives. Of repeated rows one stays (stage 4);
+of equal texts the one with the smallest id. Ties between lines go to the smaller id, then the text,
+then the position. Texts of any length pass whole. An empty table gives no sequences. Columns beside
+those of documents pass through to stage 4, whatever their names, save for names that begin with
+_line_, _copy_, _lang, _lines, _gone or _toxicity.
 """
 
 from __future__ import annotations
@@ -59,7 +66,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the trained models nor the packing; tests/llm checks shares and exact copies, not against brute force.
+#: SQL can express neither the trained models nor the packing; tests/llm/test_brute_force.py holds the rows against all pairs of lines and of 5-gram sets.
 ORACLE_SQL = None
 
 
