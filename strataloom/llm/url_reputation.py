@@ -6,10 +6,12 @@ shrink to the whole corpus) and whose strength comes from the moments of its own
 page is allowed when the lower posterior bound of its host's good rate reaches `least`.
 Hosts without labels get their domain's prior, unknown domains their suffix's, and so on.
 
-Nulls: a null url or one without `://` has an empty host and path and is judged by the
-corpus prior; a null outcome or a label without a page counts nowhere. Repeated labels
+Nulls: a null url or one without `://` has an empty host and path; such pages are one host of
+their own, shrunk like any other. A null outcome or a label without a page counts nowhere. Repeated labels
 each count. Without any label the prior mean is one half. Only sums by key are shuffled
-(pre-aggregated), and the pages meet the host table by a join that AQE can split.
+(pre-aggregated), and the pages meet the host table by a join that AQE can split. Urls of any
+length pass whole; an empty table gives no rows; columns other than id and url do not matter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, save_stage
+from .common import Scratch, checked, save_stage
 
 #: Fixed values: (rule host, rule path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -75,8 +77,8 @@ def _strength(level: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.6448536269514722) -> tuple[DataFrame, float, float]:
-    """(host, n_labelled, mean, lower) for every host, and the mean and lower bound of a page without a host.
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.6448536269514722) -> DataFrame:
+    """host, n_labelled, mean, lower for every host; written to a stage table.
 
     pages: page_id, url; outcomes: page_id, good (0 or 1). The bound is the normal one of the beta posterior at z.
     """
@@ -84,7 +86,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.64485362
     labelled = outcomes.where("good is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("s"))
     per_page = pages.select("page_id", host.alias("host")).join(labelled, "page_id", "left")
     hosts = per_page.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"))
-    hosts = save_stage(hosts.select("host", "n", "s", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "hosts")
+    scratch = Scratch()
+    hosts = scratch.save(hosts.select("host", "n", "s", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "hosts")
     all_n, all_s = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
     top = (all_s + 1) / (all_n + 2)
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("m", F.lit(top))
@@ -93,19 +96,18 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.64485362
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(suffixes, "suffix")
     k_domain = _strength(domains)
     domains = domains.select("domain", "suffix", ((F.col("s") + k_domain * F.col("m")) / (F.col("n") + k_domain)).alias("m"))
-    known = hosts.join(domains, ["domain", "suffix"])
+    known = hosts.join(scratch.save(domains, "domains"), ["domain", "suffix"])
     k_host = _strength(known)
     a, b = F.col("s") + k_host * F.col("m"), F.col("n") - F.col("s") + k_host * (1 - F.col("m"))
     mean = a / (a + b)
     lower = F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1)))
-    bare = top - z * (top * (1 - top) / (k_suffix + 1)) ** 0.5
-    return known.select("host", F.col("n").alias("n_labelled"), mean.alias("mean"), lower.alias("lower")), top, max(0.0, bare)
+    with scratch:
+        return save_stage(known.select("host", F.col("n").alias("n_labelled"), mean.alias("mean"), lower.alias("lower")), "reputation")
 
 
 def judge_pages(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict (the rule's, else by the posterior bound), n_labelled, good_rate, good_lower."""
-    rep, _, _ = host_reputation(pages, outcomes)
-    rep = save_stage(rep, "reputation")
+    rep = host_reputation(pages, outcomes)
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     seen = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_key", plain_host(F.col("host")))
