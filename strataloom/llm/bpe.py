@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import thrifty
 
 #: Entries of the word memo and of the pair memo of a worker; longer words (LONG characters) are not remembered.
-WORDS, PAIRS, LONG = 200_000, 500_000, 64
+WORDS, PAIRS, LONG = 300_000, 1_000_000, 64
 #: Characters that are cut into words at once, about.
 SLICE = 1 << 17
 
@@ -192,20 +192,24 @@ class WordEncoder:
         memo = self.words
         if len(memo) > WORDS:
             memo.clear()
-        for w in set(cut):  # byte-level words have a memo key of their own
-            if len(w) <= LONG and mark + w not in memo:
-                memo[mark + w] = self._word(w, bool(mark))
-        if max(map(len, cut), default=0) <= LONG:
-            keys = map(mark.__add__, cut) if mark else cut
-            yield list(chain.from_iterable(map(memo.__getitem__, keys)))
+        if mark:  # byte-level words have a memo key of their own
+            cut = list(map(mark.__add__, cut))
+        long = False
+        for w in set(cut).difference(memo):  # long words are never in it
+            if len(w) <= LONG:
+                memo[w] = self._word(w[len(mark) :], bool(mark))
+            else:
+                long = True
+        if not long:
+            yield list(chain.from_iterable(map(memo.__getitem__, cut)))
             return
         out: list[int] = []
         for w in cut:
             if len(w) <= LONG:
-                out += memo[mark + w]
+                out += memo[w]
                 continue
             yield out
-            ids, out = self._word(w, bool(mark)), []
+            ids, out = self._word(w[len(mark) :], bool(mark)), []
             for k in range(0, len(ids), SLICE):
                 yield list(ids[k : k + SLICE])
         yield out
