@@ -198,12 +198,13 @@ def resolve(imports: DataFrame, files: DataFrame, project: Project | None = None
 
     asked = imports.select("path", "module", F.explode_outer("items").alias("item")).distinct()
     wanted = asked.mapInArrow(run, CANDIDATES)
+    # Merge joins: estimates know nothing of the dozen candidates that Python makes of an import, so Spark would broadcast all of them.
     known = files.select(F.col("relative_path").alias("target"), F.col("relative_path").alias("file")).union(package_files(files).select(F.col("folder").alias("target"), "file"))
-    hits = wanted.join(known, "target").where("file <> path").withColumn("found", F.struct("ord", "file", "confidence"))
+    hits = wanted.join(known.hint("merge"), "target").where("file <> path").withColumn("found", F.struct("ord", "file", "confidence"))
     best = hits.groupBy("path", "module", "item").agg(F.min("found").alias("found"))
     last = wanted.where(F.col("ord") == 1 << 30).select("path", "module", "item", F.col("confidence").alias("outside"))
     same = (last["path"] == best["path"]) & (last["module"] == best["module"]) & last["item"].eqNullSafe(best["item"])
-    out = last.join(best, same, "left")
+    out = last.join(best.hint("merge"), same, "left")
     return out.select(last["path"], last["module"], last["item"], F.col("found.file").alias("target"), F.col("found").isNull().alias("is_external"), F.coalesce("found.confidence", "outside").alias("confidence"))
 
 

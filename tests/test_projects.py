@@ -373,3 +373,13 @@ def test_a_program_reads_prompt_and_document(spark, tmp_path):
         api.ask(spark, config.Settings(paths=[root], max_tokens=5000), ["false"])
     with pytest.raises(ValueError):
         api.ask(spark, config.Settings(paths=[root]), ["cat"])
+
+
+def test_resolution_never_broadcasts_candidates(spark, sf):
+    """An import has a dozen candidates that no estimate foresees: at 512,820 files they broke the driver (project_resolution)."""
+    from strataloom.plans import catalog
+
+    df = catalog.queries()["project_resolution"](spark, sf)
+    assert df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
