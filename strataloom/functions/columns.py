@@ -98,10 +98,12 @@ def custom_priority(base: Column, relative_path: Column, rules: Iterable[tuple[s
     return base + F.coalesce(*gains, F.lit(0.0))
 
 
-def human_size(n: Column) -> Column:
+def human_size(n: Column, largest: str = "GB") -> Column:
+    """Bytes in units up to `largest`, MB or GB."""
     k = 1024.0
     shown = lambda unit, by: F.concat(F.format_string("%.2f", F.bround(n / by, 2)), F.lit(f" {unit}"))
-    return F.when(n < k, F.concat(n.cast("string"), F.lit(" B"))).when(n < k**2, shown("KB", k)).when(n < k**3, shown("MB", k**2)).otherwise(shown("GB", k**3))
+    out = F.when(n < k, F.concat(n.cast("string"), F.lit(" B"))).when(n < k**2, shown("KB", k))
+    return out.otherwise(shown("MB", k**2)) if largest == "MB" else out.when(n < k**3, shown("MB", k**2)).otherwise(shown("GB", k**3))
 
 
 def anchor(path: Column) -> Column:

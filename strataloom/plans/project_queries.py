@@ -221,8 +221,8 @@ UNION ALL SELECT 2, 0, '', '## File Structure' || chr(10) || chr(10) || '```' ||
 UNION ALL SELECT 3, 0, '', '## Table of Contents' || chr(10) || chr(10) UNION ALL SELECT 3, 1, r, '- [' || path || '](#' || lower(translate(path, '/\\. ', '----')) || ')' || chr(10) FROM b UNION ALL SELECT 3, 2, '', chr(10)
 UNION ALL SELECT 4, 1, r, '## ' || path || chr(10) || chr(10) || '```' || CASE file_type WHEN 'Rust' THEN 'rust' WHEN 'Python' THEN 'python' WHEN 'TypeScript' THEN 'typescript' WHEN 'Go' THEN 'go' ELSE 'markdown' END || chr(10) || content || CASE WHEN suffix(content, chr(10)) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10) FROM b""")
 def whole_document(spark, d):
-    """Header, statistics, tree, table of contents and bodies, with the keys that order them."""
-    return render.document(S.corpus(spark, d), ".")
+    """Header, statistics, tree, table of contents and bodies, with the keys that order them; the SQL tells the total size in MB at most."""
+    return render.document(S.corpus(spark, d), ".", largest="MB")
 
 
 @query(CORPUS + "SELECT count(*) AS file_count FROM (SELECT unnest(string_split('## ' || path || chr(10) || content, chr(10))) AS line FROM c) WHERE starts_with(line, '## ') AND line NOT IN ('## Statistics', '## File Structure', '## Table of Contents')")

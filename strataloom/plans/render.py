@@ -56,10 +56,10 @@ def toc_lines(files: DataFrame) -> DataFrame:
     return files.select(F.struct((-F.col("priority")).alias("p"), F.col("relative_path").alias("path")).alias("ord"), F.concat(F.lit("- ["), F.col("relative_path"), F.lit("](#"), anchor(F.col("relative_path")), F.lit(")")).alias("fragment"))
 
 
-def statistics(files: DataFrame) -> DataFrame:
-    """ord, fragment: totals and counts by type, the commonest first."""
+def statistics(files: DataFrame, largest: str = "GB") -> DataFrame:
+    """ord, fragment: totals (the size in units up to `largest`) and counts by type, the commonest first."""
     total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s"))
-    head = total.select(F.struct(F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit("").alias("c")).alias("ord"), F.concat(F.lit("## Statistics\n\n- Total files: "), F.col("n").cast("string"), F.lit("\n- Total size: "), human_size(F.col("s")), F.lit("\n")).alias("fragment"))
+    head = total.select(F.struct(F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit("").alias("c")).alias("ord"), F.concat(F.lit("## Statistics\n\n- Total files: "), F.col("n").cast("string"), F.lit("\n- Total size: "), human_size(F.col("s"), largest), F.lit("\n")).alias("fragment"))
     kinds = files.groupBy("file_type").count()
     rows = kinds.select(F.struct(F.lit(1).alias("a"), (-F.col("count")).alias("b"), F.col("file_type").alias("c")).alias("ord"), F.concat(F.lit("  - "), type_display(F.col("file_type")), F.lit(": "), F.col("count").cast("string"), F.lit("\n")).alias("fragment"))
     return head.unionByName(rows)
@@ -87,7 +87,7 @@ FORMATS = {"markdown": markdown_files, "xml": xml_files, "plain": plain_files, "
 HEADINGS = ("## Statistics", "## File Structure", "## Table of Contents")
 
 
-def document(files: DataFrame, label: str = ".", statistics_: bool = True, tree_: bool = True, toc: bool = True) -> DataFrame:
+def document(files: DataFrame, label: str = ".", statistics_: bool = True, tree_: bool = True, toc: bool = True, largest: str = "GB") -> DataFrame:
     """part, place, key, fragment of a whole Markdown document, in that order: header, statistics, tree, table of contents, files.
 
     Everything stays a table: `write_document` sorts it over the cluster, and no part is gathered.
@@ -103,7 +103,7 @@ def document(files: DataFrame, label: str = ".", statistics_: bool = True, tree_
     at = lambda p, q: (F.lit(p).alias("part"), F.lit(q).alias("place"))
     if statistics_:
         common = F.format_string("%012d", F.lit(999_999_999_999) + F.col("ord.b"))
-        rows = statistics(files)
+        rows = statistics(files, largest)
         out = out.union(rows.select(F.lit(1), F.col("ord.a"), F.when(F.col("ord.a") == 0, F.lit("")).otherwise(F.concat(common, F.col("ord.c"))), "fragment"))
     if tree_:
         out = out.union(tree_lines(files).select(*at(2, 1), F.col("sort_key"), F.concat("line", F.lit("\n"))))

@@ -383,3 +383,17 @@ def test_resolution_never_broadcasts_candidates(spark, sf):
     assert df.count() > 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
+
+
+def test_whole_document_of_more_than_a_gigabyte(spark, sf, monkeypatch):
+    """As in the SQL, the query's total stays in MB; other documents tell it in GB, as the engine does."""
+    from strataloom.plans import catalog, project_queries
+    from tests.oracle import connect, same_rows
+
+    own, sql = project_queries.S.corpus, catalog.oracle_sql()["whole_document"]
+    monkeypatch.setattr(project_queries.S, "corpus", lambda s, d: own(s, d).withColumn("size", F.col("size") + (1 << 26)))
+    large = sql.replace("strlen(text)::BIGINT AS size", f"(strlen(text) + {1 << 26})::BIGINT AS size")
+    assert large != sql
+    same_rows(catalog.queries()["whole_document"](spark, sf), connect(sf), large)
+    total = render.statistics(project_queries.S.corpus(spark, sf)).orderBy("ord").first()["fragment"]
+    assert total.endswith(" GB\n")
