@@ -52,6 +52,8 @@ HELD, LINKS = 1 << 18, 1 << 16
 LINES, CHARS, PROFILE = 8192, 1 << 21, 512
 #: Letter masks of 64 bits that side by side comparison holds, and how often a comparison looks whether the pair is out of reach.
 MASKS, LOOKS = 1 << 20, 8
+#: Pairs of like lengths beyond which they are compared side by side.
+SIDE = 256
 
 _DIGITS = re.compile("[1-9]")
 
@@ -89,25 +91,22 @@ def _distance(a: str, b: str, most: int) -> int:
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
+    full = (1 << m) - 1
+    masks = [at.get(c, 0) for c in b]
     up, down, d = full, 0, m
     every = max(32, n // LOOKS)
-    for k, c in enumerate(b):
-        eq = at.get(c, 0)
-        diag = (((eq & up) + up) ^ up) | eq | down
-        more = down | (full & ~(diag | up))
-        less = up & diag
-        if more & top:
-            d += 1
-        elif less & top:
-            d -= 1
-        if d - (n - k - 1) > most:
+    for lo in range(0, n, every):
+        for eq in masks[lo : lo + every]:  # the bits of up beyond the column are never read
+            diag = ((eq & up) + up ^ up | eq | down) & full
+            more = ((down | (diag | up) ^ full) << 1 | 1) & full
+            up = (up & diag) << 1 | (diag | more) ^ full
+            down = more & diag
+        up &= full
+        done = min(n, lo + every)
+        d = done + up.bit_count() - down.bit_count()  # the last cell of column `done`, whose first cell is `done`
+        if d - (n - done) > most:
             return most + 1
-        more = more << 1 & full | 1
-        less = less << 1 & full
-        up = less | (full & ~(diag | more))
-        down = more & diag
-        if k % every == every - 1 and _least(*(np.frombuffer(x.to_bytes(-(-m // 64) * 8, "little"), np.uint64)[None] for x in (up, down)), np.array([m]), np.array([n - k - 1]), k + 1)[0] > most:
+        if done < n and _least(*(np.frombuffer(x.to_bytes(-(-m // 64) * 8, "little"), np.uint64)[None] for x in (up, down)), np.array([m]), np.array([n - done]), done)[0] > most:
             return most + 1
     return d
 
@@ -234,7 +233,7 @@ def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
         step = max(1, min(2048, (1 << 22) // (width * 64)))
         for lo in range(0, len(held), step):
             some = held[lo : lo + step]
-            if len(some) > 64:
+            if len(some) > SIDE:
                 apart = _apart([h[1] for h in some], [h[2] for h in some], np.array([h[3] for h in some]))
                 out[[h[0] for h in some]] = ~apart
             else:

@@ -352,3 +352,27 @@ def test_a_text_of_20_million_characters_takes_bounded_memory(name, text):
     done = subprocess.run([sys.executable, "-c", LONG.format(root=str(ROOT), text=text, name=name)], capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-500:]
     assert int(done.stdout.split()[-1]) < 500
+
+
+def test_distances_by_columns_equal_a_plain_table():
+    """Whatever the bound, the length and the letters: the distance itself within the bound, more than the bound beyond it."""
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            below = [i]
+            for j, y in enumerate(b, 1):
+                below.append(min(row[j] + 1, below[-1] + 1, row[j - 1] + (x != y)))
+            row = below
+        return row[-1]
+
+    rng = random.Random(8)
+    for letters in ("ab", "abcdefgh ", "aé漢\U0001f600 "):
+        for _ in range(150):
+            a = [rng.choice(letters) for _ in range(rng.randint(1, 140))]
+            b = [x if rng.random() < 0.8 else rng.choice(letters) for x in a for _ in range(rng.choice((0, 1, 1, 1, 1, 2)))]
+            a, b = sorted(("".join(a), "".join(b)), key=len)
+            if a:
+                d = plain(a, b)
+                for most in (0, d - 1, d, d + 3):
+                    assert (line_dedup._distance(a, b, most) == d) if d <= most else (line_dedup._distance(a, b, most) > most)
