@@ -198,7 +198,7 @@ def resolve(imports: DataFrame, files: DataFrame, project: Project | None = None
 
     asked = imports.select("path", "module", F.explode_outer("items").alias("item")).distinct()
     wanted = asked.mapInArrow(run, CANDIDATES)
-    # Merge joins: estimates know nothing of the dozen candidates that Python makes of an import, so Spark would broadcast all of them.
+    # Merge joins: estimates know nothing of the several candidates that Python makes of an import, so Spark would broadcast all of them.
     known = files.select(F.col("relative_path").alias("target"), F.col("relative_path").alias("file")).union(package_files(files).select(F.col("folder").alias("target"), "file"))
     hits = wanted.join(known.hint("merge"), "target").where("file <> path").withColumn("found", F.struct("ord", "file", "confidence"))
     best = hits.groupBy("path", "module", "item").agg(F.min("found").alias("found"))

@@ -376,7 +376,7 @@ def test_a_program_reads_prompt_and_document(spark, tmp_path):
 
 
 def test_resolution_never_broadcasts_candidates(spark, sf):
-    """An import has a dozen candidates that no estimate foresees: at 512,820 files they broke the driver (project_resolution)."""
+    """An import has several candidates that no estimate foresees: at 512,820 files they broke the driver (project_resolution)."""
     from strataloom.plans import catalog
 
     df = catalog.queries()["project_resolution"](spark, sf)
