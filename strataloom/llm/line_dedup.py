@@ -7,10 +7,11 @@
    bands of ROWS rows, chosen once for RECALL at the Jaccard similarity of two lines with a fifth
    of their words replaced; the number of lines plays no part. Band keys travel as sorted blocks
    of bytes, one for each range of keys; members of a band are linked to its smallest one.
-3. Linked lines form candidate clusters. One that fits a block is verified as a whole; the lines
-   of a larger one are dealt out by the bands they share, so that no line is copied more often
-   than it has bands (and a band that exceeds a block in pairs of blocks). All pairs that share a
-   band and are not connected yet are verified by edit similarity.
+3. Linked lines form candidate clusters. One that fits a block is verified as a whole; a larger
+   one is verified block by block first, then its lines are dealt out by the bands in which lines
+   meet that are not connected yet, so that no line is copied more often than it has bands (and a
+   band that exceeds a block in pairs of blocks). All pairs that share a band and are not
+   connected yet are verified by edit similarity.
 4. Of each connected group the first occurrence stays (by document, text, then position).
 
 Lines without letters or digits are never removed. A null text stays null; an empty one
@@ -50,10 +51,8 @@ BLOCK, CROWD = 2048, 8
 HELD, LINKS = 1 << 18, 1 << 16
 #: Lines and characters that are verified in one go, and buckets of the profile that rules pairs out.
 LINES, CHARS, PROFILE = 8192, 1 << 21, 512
-#: Letter masks of 64 bits that side by side comparison holds, and how often a comparison looks whether the pair is out of reach.
-MASKS, LOOKS = 1 << 20, 8
-#: Pairs of like lengths beyond which they are compared side by side.
-SIDE = 256
+#: Letters of pairs that are compared side by side, bits of their letter masks, and how often a comparison looks whether a pair is out of reach.
+SIDE, MASKS, LOOKS = 1 << 14, 1 << 23, 8
 
 _DIGITS = re.compile("[1-9]")
 
@@ -106,19 +105,28 @@ def _distance(a: str, b: str, most: int) -> int:
         d = done + up.bit_count() - down.bit_count()  # the last cell of column `done`, whose first cell is `done`
         if d - (n - done) > most:
             return most + 1
-        if done < n and _least(*(np.frombuffer(x.to_bytes(-(-m // 64) * 8, "little"), np.uint64)[None] for x in (up, down)), np.array([m]), np.array([n - done]), done)[0] > most:
+        if done < n and _least(_bits(up, 1, m // 8 + 1), _bits(down, 1, m // 8 + 1), np.array([m]), np.array([n - done]), np.array([done]))[0] > most:
             return most + 1
     return d
 
 
-def _least(up: np.ndarray, down: np.ndarray, m: np.ndarray, left: np.ndarray, t: int) -> np.ndarray:
-    """The distance that each pair reaches at least, t columns done and `left` to come: the best cell of its column and what it lacks to the corner."""
-    step = np.unpackbits(up.view(np.uint8), axis=1, bitorder="little").view(np.int8) - np.unpackbits(down.view(np.uint8), axis=1, bitorder="little").view(np.int8)
+def _bits(x: int, count: int, width: int) -> np.ndarray:
+    """The fields of `width` bytes that x holds, the first one lowest."""
+    return np.frombuffer(x.to_bytes(count * width, "little"), np.uint8).reshape(count, width)
+
+
+def _number(fields: np.ndarray) -> int:
+    return int.from_bytes(fields.tobytes(), "little")
+
+
+def _least(up: np.ndarray, down: np.ndarray, m: np.ndarray, left: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """The distance that each pair reaches at least, `done` columns done and `left` to come: the best cell of its column and what it lacks to the corner."""
+    step = np.unpackbits(up, axis=1, bitorder="little").view(np.int8) - np.unpackbits(down, axis=1, bitorder="little").view(np.int8)
     cell = np.cumsum(step, axis=1, dtype=np.int32)
     i = np.arange(1, cell.shape[1] + 1, dtype=np.int32)
     cell += np.abs((m[:, None] - i).astype(np.int32) - left[:, None].astype(np.int32))
     cell[i > m[:, None]] = 1 << 30
-    return t + np.minimum(cell.min(axis=1), np.abs(m - left))
+    return done + np.minimum(cell.min(axis=1), np.abs(m - left))
 
 
 def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
@@ -130,72 +138,59 @@ def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
 
 
 def _apart(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """Whether each pair is further apart than `most` edits: bit-parallel columns, all pairs side by side.
+    """Whether each pair is further apart than `most` edits: _distance of all pairs at once, each in a field of the same numbers.
 
-    a: the shorter strings (none empty), of like lengths.
+    a: the shorter strings (none empty), of like lengths. A field has a bit more than its string, which takes the carry.
+    All pairs end at the last column; one whose b is shorter begins later and keeps its first column until then.
     """
-    m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    by = np.argsort(-n, kind="stable")
-    a, b, m, n, most = [a[i] for i in by], [b[i] for i in by], m[by], n[by], most[by]
-    width, count = int(-(-m.max() // 64)), len(a)
+    m, n, count = np.array([len(x) for x in a]), np.array([len(x) for x in b]), len(a)
     flat = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = np.zeros(int(flat.max()) + 1, np.int32)
-    table[flat] = 1
-    letters = int(table.sum())
-    if count > 1 and count * letters * width > MASKS:
-        half = count // 2
-        parts = [_apart(a[p:q], b[p:q], most[p:q]) for p, q in ((0, half), (half, count))]
-        out = np.zeros(count, bool)
-        out[by] = np.concatenate(parts)
-        return out
-    table = np.cumsum(table, dtype=np.int32) - 1
-    code = table[flat]
-    of = np.repeat(np.arange(count), m)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
-    eq = np.zeros((count, letters, width), np.uint64)
-    for bit in range(64):  # at most one letter of a pair and word stands at each bit
-        here = np.flatnonzero((at & 63) == bit)
-        eq[of[here], code[here], at[here] >> 6] |= np.uint64(1 << bit)
-    text = np.zeros((int(n[0]), count), np.int32)
-    of = np.repeat(np.arange(count), n)
-    text[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of] = code[int(m.sum()) :]
-    one, high = np.uint64(1), np.uint64(63)
-    up, down = np.full((count, width), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((count, width), np.uint64)
-    top, final = ((m - 1) & 63).astype(np.uint64), (m - 1) >> 6
-    out, d, rows, own = np.zeros(count, bool), m.copy(), np.arange(count), by
-    every = max(32, int(n[0]) // LOOKS)
-    for t in range(int(n[0])):
-        k = int(np.searchsorted(-n, -t, side="left"))
-        e, p, q = eq[rows[:k], text[t, :k]], up[:k], down[:k]
-        total = (e & p) + p
-        if width > 1:
-            carry = (total < p)[:, :-1]
-            while True:  # a carry that runs on through a word of ones is rare
-                total[:, 1:] += carry
-                carry = carry & (total[:, 1:] == 0)
-                if not carry[:, :-1].any():
-                    break
-                carry = np.concatenate([np.zeros((k, 1), bool), carry[:, :-1]], 1)
-        diag = (total ^ p) | e | q
-        more, less = q | ~(diag | p), p & diag
-        d[:k] += ((more[rows[:k], final[:k]] >> top[:k]) & one).astype(np.int64) - ((less[rows[:k], final[:k]] >> top[:k]) & one).astype(np.int64)
-        plus, minus = more << one, less << one
-        plus[:, 0] |= one
-        if width > 1:
-            plus[:, 1:] |= more[:, :-1] >> high
-            minus[:, 1:] |= less[:, :-1] >> high
-        up[:k], down[:k] = minus | ~(diag | plus), plus & diag
-        if t % every == every - 1:  # pairs that are out of reach go
-            far = np.zeros(len(m), bool)
-            far[:k] = _least(up[:k], down[:k], m[:k], n[:k] - t - 1, t + 1) > most[:k]
-            if far.any():
-                out[own[far]] = True
-                stay = ~far
-                eq, text, up, down, top, final, d, m, n, most, own = eq[stay], text[:, stay], up[stay], down[stay], top[stay], final[stay], d[stay], m[stay], n[stay], most[stay], own[stay]
-                rows = np.arange(len(m))
-                if not len(m):
-                    break
-    out[own[d > most]] = True
+    if int(flat.max()) < 1 << 13:
+        table = np.zeros(int(flat.max()) + 1, np.int32)
+        table[flat] = 1
+        code = (np.cumsum(table, dtype=np.int32) - 1)[flat]
+    else:
+        code = np.unique(flat, return_inverse=True)[1]
+    columns, letters, width = int(n.max()), int(code.max()) + 1, int(m.max()) // 8 + 1
+    if count == 1 or count * letters * width * 8 > MASKS:
+        return np.array([_distance(x, y, k) > k for x, y, k in zip(a, b, most.tolist(), strict=True)])
+    here = np.arange(width * 8) < m[:, None]
+    pattern = np.full(here.shape, -1, np.int64)
+    pattern[here] = code[: int(m.sum())]
+    eq = np.zeros((count, letters + 1, width), np.uint8)  # the last letter is none: it fills the columns before a pair begins
+    eq[:, :letters] = np.packbits(pattern[:, None] == np.arange(letters)[:, None], axis=2, bitorder="little")
+    begin = columns - n
+    text = np.full((count, columns), letters, np.int64)
+    text[np.arange(columns) >= begin[:, None]] = code[int(m.sum()) :]
+    cell, text = np.packbits(here, axis=1, bitorder="little"), text.T.copy()
+    full = up = _number(cell)
+    down, out, own = 0, np.zeros(count, bool), np.arange(count)
+    every = max(64, columns // LOOKS)
+    lo = 0
+    for hi in sorted({*begin[begin > 0].tolist(), *range(every, columns, every), columns}):
+        size = len(own) * width
+        masks = eq[np.arange(len(own)), text[lo:hi]].tobytes()
+        one = np.zeros((len(own), width), np.uint8)
+        one[:, 0] = begin <= lo
+        one = _number(one)
+        for at in range(0, len(masks), size):
+            e = int.from_bytes(masks[at : at + size], "little")
+            diag = ((e & up) + up ^ up | e | down) & full
+            more = (down | (diag | up) ^ full) << 1 | one
+            up = ((up & diag) << 1 | (diag | more) ^ full) & full
+            down = more & diag
+        lo = hi
+        if hi < columns and hi % every:
+            continue
+        ups, downs, left = _bits(up, len(own), width), _bits(down, len(own), width), np.minimum(columns - hi, n)
+        far = _least(ups, downs, m, left, n - left) > most  # at the last column, the distance itself
+        out[own[far]] = True
+        if far.all():
+            break
+        if hi < columns and 2 * far.sum() >= len(far):  # pairs that are out of reach go
+            stay = ~far
+            eq, text, cell, begin, m, n, most, own = eq[stay], text[:, stay], cell[stay], begin[stay], m[stay], n[stay], most[stay], own[stay]
+            up, down, full = _number(ups[stay]), _number(downs[stay]), _number(cell)
     return out
 
 
@@ -218,27 +213,23 @@ def _replaced(a: str, b: str) -> int:
 def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
     """Whether the edit similarity of each pair reaches `least`, as edit_similarity gives it; the distance itself is found only where bounds don't decide."""
     out = np.zeros(len(a), bool)
-    by_width: dict[int, list[tuple[int, str, str, int]]] = {}
+    held: list[tuple[int, str, str, int]] = []
     for i, (one, two) in enumerate(zip(a, b, strict=True)):
         x, y, most = _trimmed(one, two, least)
         if len(y) <= most:
             out[i] = True
         elif not x or len(y) - len(x) > most:
             continue
-        elif _replaced(one, two) <= most:
+        elif _replaced(x, y) <= most:
             out[i] = True
         else:
-            by_width.setdefault(1 << (-(-len(x) // 64) - 1).bit_length(), []).append((i, x, y, most))
-    for width, held in by_width.items():
-        step = max(1, min(2048, (1 << 22) // (width * 64)))
-        for lo in range(0, len(held), step):
-            some = held[lo : lo + step]
-            if len(some) > SIDE:
-                apart = _apart([h[1] for h in some], [h[2] for h in some], np.array([h[3] for h in some]))
-                out[[h[0] for h in some]] = ~apart
-            else:
-                for i, x, y, most in some:
-                    out[i] = _distance(x, y, most) <= most
+            held.append((i, x, y, most))
+    held.sort(key=lambda h: len(h[2]))
+    while held:
+        step = max(1, SIDE // (len(held[-1][2]) + 8))
+        some = held[-step:]
+        del held[-step:]
+        out[[h[0] for h in some]] = ~_apart([h[1] for h in some], [h[2] for h in some], np.array([h[3] for h in some]))
     return out
 
 
@@ -485,11 +476,14 @@ def _profiles(lines: list[str]) -> np.ndarray:
     return out.reshape(len(lines), PROFILE)
 
 
-def _connect(group: np.ndarray, ident: np.ndarray, side: np.ndarray, lines: list[str], least: float) -> np.ndarray:
-    """Links (index pairs) that connect the lines of each group that are similar and share a band; side: 1 and 2 meet, 3 meets all."""
+def _connect(group: np.ndarray, ident: np.ndarray, known: np.ndarray, side: np.ndarray, lines: list[str], least: float) -> np.ndarray:
+    """Links (index pairs) that connect the lines of each group that are similar and share a band; side: 1 and 2 meet, 3 meets all.
+
+    Lines of a group with the same `known` are connected already: one link to the smallest line joins all of them to others.
+    """
     n = len(lines)
     order = np.argsort(ident, kind="stable")  # the result does not depend on the order of rows
-    group, side, lines = group[order], side[order], [lines[i] for i in order.tolist()]
+    group, known, side, lines = group[order], known[order], side[order], [lines[i] for i in order.tolist()]
     of, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, whole in portions(lines):
         *_, line, k = read_lines("\n".join(lines[i:j] if whole is None else whole))
@@ -499,7 +493,11 @@ def _connect(group: np.ndarray, ident: np.ndarray, side: np.ndarray, lines: list
     by = np.lexsort((of, key, group[of]))
     of, key = of[by], key[by]
     run = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (group[of[1:]] != group[of[:-1]]))) if len(of) else np.zeros(0, np.int64)
-    root, links, seen = np.arange(n), [], set()
+    root, seen = np.arange(n), set()
+    by = np.lexsort((root, known, group))
+    head = np.flatnonzero(np.append(True, (known[by[1:]] != known[by[:-1]]) | (group[by[1:]] != group[by[:-1]])))
+    root[by] = np.repeat(by[head], np.diff(np.append(head, n)))
+    first = root == np.arange(n)
     size = np.array([len(x) for x in lines], np.int64)
     profile = _profiles(lines)
 
@@ -546,7 +544,6 @@ def _connect(group: np.ndarray, ident: np.ndarray, side: np.ndarray, lines: list
                 a, b = find(i), find(j)
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    links.append((i, j))
         while (root[root] != root).any():
             root[:] = root[root]
 
@@ -565,8 +562,8 @@ def _connect(group: np.ndarray, ident: np.ndarray, side: np.ndarray, lines: list
         pair = run[step:] == run[:-step]
         hear(of[:-step][pair], of[step:][pair])
         step += 1
-    found = np.array(links, np.int64).reshape(-1, 2)
-    return order[found]
+    linked = np.flatnonzero(first & (root != np.arange(n)))
+    return order[np.stack([linked, root[linked]], 1)]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -576,9 +573,9 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
 
     def flush() -> pa.RecordBatch:
         t = pa.concat_tables(held)
-        ident, blk = t.column("id").to_numpy(), t.column("blk").to_numpy()
+        ident, known, blk = (t.column(c).to_numpy() for c in ("id", "known", "blk"))
         side = (blk == t.column("i").to_numpy()) + 2 * (blk == t.column("j").to_numpy())
-        found = _connect(np.repeat(np.arange(len(held)), [x.num_rows for x in held]), ident, side, t.column("line").to_pylist(), least)
+        found = _connect(np.repeat(np.arange(len(held)), [x.num_rows for x in held]), ident, known, side, t.column("line").to_pylist(), least)
         return pa.RecordBatch.from_arrays([pa.array(ident[found[:, 0]]), pa.array(ident[found[:, 1]])], ["a", "b"])
 
     for t in groups(batches, ["cluster", "i", "j"]):
@@ -592,19 +589,19 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield flush()
 
 
-def _dealt(lines: DataFrame, label: str) -> DataFrame:
-    """Lines (label, blocks, id, line) as members (cluster, i, j, blk, id, line) of each pair of blocks that they belong to."""
+def _dealt(lines: DataFrame) -> DataFrame:
+    """Lines (cluster, blocks, id, known, line) as members (cluster, i, j, blk, id, known, line) of each pair of blocks that they belong to."""
     blk = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j"))))
-    return lines.withColumn("blk", blk).select(F.col(label).alias("cluster"), "blk", "id", "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "id", "line")
+    return lines.withColumn("blk", blk).select("cluster", "blk", "id", "known", "line", pair.alias("ij")).select("cluster", "ij.i", "ij.j", "blk", "id", "known", "line")
 
 
 def _own_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        ident, lines = x.column(0).to_numpy(), x.column(1).to_pylist()
+        ident, known, lines = x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_pylist()
         for i, j, whole in portions(lines):
             *_, of, key = read_lines("\n".join(lines[i:j] if whole is None else whole))
-            yield pa.RecordBatch.from_arrays([pa.array(ident[i:j][of]), pa.array(key)], ["id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ident[i:j][of]), pa.array(known[i:j][of]), pa.array(key)], ["id", "known", "cluster"])
 
 
 def _similar_lines(found: DataFrame, least: float, parts: int, scratch: Scratch) -> DataFrame:
@@ -616,15 +613,17 @@ def _similar_lines(found: DataFrame, least: float, parts: int, scratch: Scratch)
     def verified(dealt: DataFrame) -> DataFrame:
         return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(thrifty(run), "a long, b long")
 
-    same = scratch.save(verified(_dealt(found.where("blocks = 1"), "cluster")), "same")
+    blk = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    same = scratch.save(verified(found.select("cluster", blk.alias("i"), blk.alias("j"), blk.alias("blk"), "id", F.col("id").alias("known"), "line")), "same")
     large = found.where("blocks > 1")
     if large.isEmpty():
         return same
-    large = scratch.save(large.select("id", "line"), "large")
-    bands = scratch.save(large.mapInArrow(thrifty(_own_bands), "id long, key long"), "bands")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    by_band = bands.join(shared, "key").join(large, "id")
-    return same.union(scratch.save(verified(_dealt(by_band, "key")), "same"))
+    # Each block has linked its lines to the smallest of their group; across blocks, bands in which groups meet are verified.
+    large = scratch.save(large.join(same.toDF("id", "b"), "id", "left").select("id", F.coalesce("b", "id").alias("known"), "line"), "large")
+    bands = scratch.save(large.select("id", "known", "line").mapInArrow(thrifty(_own_bands), "id long, known long, cluster long"), "bands")
+    shared = bands.groupBy("cluster").agg(F.count("*").alias("n"), F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    by_band = bands.select("id", "cluster").join(shared, "cluster").join(large, "id")
+    return same.union(scratch.save(verified(_dealt(by_band)), "same"))
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strataloom.llm import langid, line_dedup, mjpeg, ngram_join, packing, textkernel, toxicity, vafile
@@ -322,6 +323,7 @@ LONG = """
 import resource, sys
 sys.path.insert(0, {root!r})
 import numpy as np
+import pyarrow as pa
 from strataloom.llm import bpe, langid, line_dedup, mjpeg, ngram_join, packing, textkernel, tokens, toxicity
 text = {text}
 name = {name!r}
@@ -376,3 +378,36 @@ def test_distances_by_columns_equal_a_plain_table():
                 d = plain(a, b)
                 for most in (0, d - 1, d, d + 3):
                     assert (line_dedup._distance(a, b, most) == d) if d <= most else (line_dedup._distance(a, b, most) > most)
+
+
+def test_pairs_of_unlike_lengths_and_letters_are_compared_at_once(monkeypatch):
+    """The same answers as pair by pair, and no pair goes alone."""
+    rng = random.Random(9)
+    a, b = [], []
+    for k in range(240):
+        letters = ("ab", "abcdefgh ", "aé漢\U0001f600 ")[k % 3]
+        x = [rng.choice(letters) for _ in range(rng.choice((1, 7, 8, 9, 63, 64, 65, 200, 900)))]
+        y = [c if rng.random() < 0.85 else rng.choice(letters) for c in x for _ in range(rng.choice((0, *[1] * 12, 2)))]
+        a.append("é" + "".join(x) + "z")
+        b.append("a" + "".join(y) + "y")
+    want = [line_dedup.edit_similarity(x, y, 0.8) >= 0.8 - 1e-9 for x, y in zip(a, b)]
+    assert 40 < sum(want) < 200
+    monkeypatch.setattr(line_dedup, "_distance", None)
+    assert line_dedup.similar(a, b, 0.8).tolist() == want
+
+
+def test_lines_known_to_be_connected_are_not_compared_again(monkeypatch):
+    rng = random.Random(3)
+    base = [phrase(rng, 40).split() for _ in range(2)]
+    lines = [" ".join([*w[:k], phrase(rng, 1), *w[k + 1 :]]) for w in base for k in range(30)]
+    compared = []
+    similar = line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda x, y, least: compared.extend(zip(x, y)) or similar(x, y, least))
+    n = len(lines)
+    for known, most in (([*range(n)], n * n), ([k // 15 * 15 for k in range(n)], 20), ([k // 30 * 30 for k in range(n)], 0)):
+        compared.clear()
+        rows = {"cluster": [0] * n, "i": [0] * n, "j": [0] * n, "blk": [0] * n, "id": [*range(n)], "known": known, "line": lines}
+        links = [r for x in line_dedup._verify(iter([pa.RecordBatch.from_pydict(rows)]), 0.8) for r in x.to_pylist()]
+        assert len(compared) <= most
+        assert len(links) == len(set(known)) - 2
+        assert groups_of(n, [(r["a"], r["b"]) for r in links] + list(enumerate(known))) == [k // 30 * 30 for k in range(n)]
