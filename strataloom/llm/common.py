@@ -169,17 +169,19 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         if not n:
             continue
         change = np.zeros(n, bool)
-        for k in keys:
-            v = b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+        columns = [b.column(b.schema.get_field_index(k)) for k in keys]
+        for c in columns:
+            v = c.to_numpy(zero_copy_only=False)
             change[1:] |= v[1:] != v[:-1]
         cuts = [0, *np.flatnonzero(change).tolist(), n]
+        same = last == tuple(c[0].as_py() for c in columns)  # the first run goes on with the batch before
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            now = tuple(b.column(b.schema.get_field_index(k))[lo].as_py() for k in keys)
-            if held and now != last:
+            if held and not same:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(b.slice(lo, hi - lo))
-            last = now
+            same = False
+        last = tuple(c[n - 1].as_py() for c in columns)
     if held:
         yield pa.Table.from_batches(held)
 

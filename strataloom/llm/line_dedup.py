@@ -25,6 +25,7 @@ empty table stays empty.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,10 +59,14 @@ _DIGITS = re.compile("[1-9]")
 
 
 _WORD = re.compile(r"[^\W_]+")
+#: What becomes of each ASCII character in a normal form.
+_PLAIN = bytes((48 if 48 <= c < 58 else ord(chr(c).lower())) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 
 
 def normal_line(line: str) -> str:
     """Lower-cased words of letters and digits (as 0), one space between them; empty without any."""
+    if line.isascii():
+        return b" ".join(line.encode().translate(_PLAIN).split()).decode()
     return " ".join(_WORD.findall(_DIGITS.sub("0", fold(line))))
 
 
@@ -226,9 +231,11 @@ def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
             held.append((i, x, y, most))
     held.sort(key=lambda h: len(h[2]))
     while held:
-        step = max(1, SIDE // (len(held[-1][2]) + 8))
-        some = held[-step:]
-        del held[-step:]
+        longest = len(held[-1][2])
+        step = max(1, SIDE // (longest + 8))
+        lo = max(len(held) - step, bisect_right(held, longest * 2 // 3, key=lambda h: len(h[2])))
+        some = held[lo:]
+        del held[lo:]
         out[[h[0] for h in some]] = ~_apart([h[1] for h in some], [h[2] for h in some], np.array([h[3] for h in some]))
     return out
 
@@ -362,6 +369,15 @@ def line_table(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
         yield text, number.astype(np.int32), lo, hi, head
 
 
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Where the keys are that occur more than once."""
+    by = np.argsort(key)
+    same = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+    on = np.zeros(len(key), bool)
+    on[by[same]] = on[by[same + 1]] = True
+    return np.flatnonzero(on)
+
+
 def _runs(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """key and ident sorted by key, and for each row the smallest ident and the size of its run."""
     by = np.argsort(key)
@@ -382,7 +398,7 @@ def _range(key: np.ndarray, parts: int) -> np.ndarray:
 def _blocks(kind: int, key: np.ndarray, rows: np.ndarray, parts: int) -> pa.RecordBatch:
     """A row for each range of keys that has any: part, kind, and its rows (pairs of numbers) as bytes."""
     part = _range(key, parts)
-    by = np.argsort(part, kind="stable")
+    by = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # short numbers are sorted faster
     part, rows = part[by], rows[by]
     start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
     ends = [*start[1:].tolist(), len(part)]
@@ -402,10 +418,18 @@ def _band_links(texts: DataFrame, parts: int, ranges: int) -> DataFrame:
             on = np.zeros(len(name), bool)
             on[one] = True
             on = on[owner]
-            key, ident, least, size = _runs(key[on], name[owner[on]])
-            linked = (size > CROWD) & (ident != least)
+            key, ident = key[on], name[owner[on]]
+            least = ident.copy()
+            many = np.sort(key)
+            many = np.unique(many[CROWD:][many[CROWD:] == many[: len(many) - CROWD]])
+            if len(many):  # crowded bands are linked here; their links need no meeting
+                at = many[np.minimum(np.searchsorted(many, key), len(many) - 1)] == key
+                crowd, own, first, _ = _runs(key[at], ident[at])
+                rest = ~at
+                key, ident, least = np.append(key[rest], crowd), np.append(ident[rest], own), np.append(least[rest], first)
+            linked = ident != least
             yield _blocks(0, key[~linked], np.stack([key[~linked], ident[~linked]], 1), ranges)
-            if linked.any():  # crowded bands are linked here; their links need no meeting
+            if linked.any():
                 yield _blocks(1, mix(ident[linked].view(np.uint64)), np.stack([ident[linked], least[linked]], 1), ranges)
 
         for x in batches:
@@ -428,6 +452,7 @@ def _band_links(texts: DataFrame, parts: int, ranges: int) -> DataFrame:
         met = [np.frombuffer(r.as_buffer(), np.int64).reshape(-1, 2) for k, r in zip(kind, blobs, strict=True) if k == 0]
         if met:
             met = np.concatenate(met)
+            met = met[_repeated(met[:, 0].copy())]
             _, ident, least, _ = _runs(met[:, 0].copy(), met[:, 1].copy())
             on = ident != least
             links.append(np.stack([ident[on], least[on]], 1))
@@ -490,6 +515,8 @@ def _connect(group: np.ndarray, ident: np.ndarray, known: np.ndarray, side: np.n
         of.append(line + i)
         key.append(k)
     of, key = np.concatenate(of), np.concatenate(key)
+    on = _repeated(key)
+    of, key = of[on], key[on]
     by = np.lexsort((of, key, group[of]))
     of, key = of[by], key[by]
     run = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (group[of[1:]] != group[of[:-1]]))) if len(of) else np.zeros(0, np.int64)

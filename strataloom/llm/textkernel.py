@@ -147,14 +147,19 @@ def split_words(texts: list[str | None], prefix: tuple[int, ...] = (), zeros: bo
 
 def _words(u: np.ndarray, first: np.ndarray, prefix: tuple[int, ...]) -> Words:
     inside = class_table("word")[u]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(u):
+        edge = np.flatnonzero(np.concatenate([inside[:1], inside[1:] != inside[:-1], inside[-1:]]))  # words begin and end in turn
+    else:
+        edge = np.zeros(0, np.int64)
+    start, end = edge[::2], edge[1::2]
     if len(start) and int((end - start).max()) > LONGEST:
         start, end = _split_long(start, end)
     up, down = _powers(len(u) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(u) + 1, np.uint64)
-        np.cumsum((u.astype(np.uint64) + np.uint64(1)) * up[: len(u)], out=total[1:])
+        np.add(u, np.uint64(1), out=total[1:])
+        total[1:] *= up[: len(u)]
+        np.cumsum(total[1:], out=total[1:])
         h = mix((total[end] - total[start]) * down[start])
         short = [mix((total[np.minimum(start + n, end)] - total[start]) * down[start] + np.uint64(77 + n)) for n in prefix]
     offsets = np.searchsorted(start, first)

@@ -396,6 +396,13 @@ def test_pairs_of_unlike_lengths_and_letters_are_compared_at_once(monkeypatch):
     assert line_dedup.similar(a, b, 0.8).tolist() == want
 
 
+def test_normal_form_of_ascii_lines_is_that_of_any_line():
+    rng = random.Random(5)
+    for _ in range(500):
+        x = "".join(chr(rng.randrange(128)) for _ in range(rng.randint(0, 40)))
+        assert f"{line_dedup.normal_line(x)} é".strip() == line_dedup.normal_line(f"{x} é")
+
+
 def test_lines_known_to_be_connected_are_not_compared_again(monkeypatch):
     rng = random.Random(3)
     base = [phrase(rng, 40).split() for _ in range(2)]
